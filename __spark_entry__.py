@@ -181,14 +181,14 @@ def queries() -> dict[str, Query]:
         "high_risk_mcc_top": on_clean(reports.high_risk_categories, min_transactions=MIN_TRANSACTIONS),
         "high_risk_mcc_described": describe_top,
         "amount_stats_by_label": on_clean(reports.amount_by_label),
-        "amount_stats_narrowed": on_clean(reports.amount_by_label, direct_rows=SMALL_DIRECT),
+        "amount_stats_narrowed": on_clean(reports.amount_by_label, direct_values=SMALL_DIRECT),
         "behavior_median_by_label": ratios,
         "drift_overall": drift(reports.drift_overall),
         "drift_payment_method": drift(reports.drift_by_payment_method),
         "drift_amount": drift(reports.drift_of_amount),
-        "drift_amount_narrowed": drift(reports.drift_of_amount, direct_rows=SMALL_DIRECT),
+        "drift_amount_narrowed": drift(reports.drift_of_amount, direct_values=SMALL_DIRECT),
         "time_quantile_cutoffs": on_clean(cutoffs),
-        "time_quantile_cutoffs_narrowed": lambda s, d: cutoffs(fx.long_period(s, d), direct_rows=SMALL_DIRECT),
+        "time_quantile_cutoffs_narrowed": lambda s, d: cutoffs(fx.long_period(s, d), direct_values=SMALL_DIRECT),
         # Data sets and model inputs
         "baseline_train_set": lambda s, d: splits(s, d)["baseline_train"],
         "recent_train_set": lambda s, d: splits(s, d)["recent_train"],

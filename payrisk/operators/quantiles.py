@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from payrisk.session import store
 
-# Up to this many rows the built-in exact percentile is used as it is.
-DIRECT_ROWS = 5_000_000
+# Up to this many values (rows times columns) the built-in exact percentile, which
+# keeps its distinct values in one task's memory, is used as it is.
+DIRECT_VALUES = 5_000_000
 
 # Accuracy of the sketches that bracket a rank on larger tables.
 SKETCH_ACCURACY = 10_000
@@ -26,7 +27,7 @@ def exact_quantiles(
     wanted: dict[str, tuple[str, float]],
     by: list[str] | None = None,
     *,
-    direct_rows: int = DIRECT_ROWS,
+    direct_values: int = DIRECT_VALUES,
 ) -> DataFrame:
     """One row per group: each output name maps to (column, fraction).
 
@@ -38,10 +39,11 @@ def exact_quantiles(
     sketches, counts and those few rows.
     """
     by = by or []
-    if df.count() <= direct_rows:
+    n_columns = len({column for column, _ in wanted.values()})
+    if df.count() * n_columns <= direct_values:
         aggregates = [F.percentile(column, fraction).alias(name) for name, (column, fraction) in wanted.items()]
         return df.groupBy(*by).agg(*aggregates)
-    return _by_narrowing(df, wanted, by, direct_rows)
+    return _by_narrowing(df, wanted, by, direct_values)
 
 
 @dataclass
@@ -62,7 +64,7 @@ class _Rank:
         return self.group, self.column, self.low, self.high
 
 
-def _by_narrowing(df: DataFrame, wanted: dict, by: list[str], direct_rows: int) -> DataFrame:
+def _by_narrowing(df: DataFrame, wanted: dict, by: list[str], direct_values: int) -> DataFrame:
     spark = df.sparkSession
     columns = sorted({column for column, _ in wanted.values()})
     groups = df.groupBy(*by).agg(*[F.count(c).alias(f"_n_{c}") for c in columns]).limit(MAX_GROUPS + 1).collect()
@@ -81,10 +83,11 @@ def _by_narrowing(df: DataFrame, wanted: dict, by: list[str], direct_rows: int)
                 ranks[g, column, rank] = _Rank(g, column, rank, n)
 
     rows = df.select(*by, *columns)
-    while open_ranks := [r for r in ranks.values() if r.value is None and r.inside > direct_rows]:
+    while open_ranks := [r for r in ranks.values() if r.value is None and r.inside > direct_values]:
         _narrow(rows, open_ranks, in_group)
-        rows = store(rows.where(reduce(Column.__or__, [_within(r, in_group) for r in _open(ranks)], F.lit(False))),
-                     "quantile-rows")
+        if left := _open(ranks):
+            near = reduce(Column.__or__, [_within(r, in_group) for r in left])
+            rows = store(rows.where(near), "quantile-rows")
     _pick(rows, _open(ranks), in_group)
 
     def interpolate(g: int, row, column: str, fraction: float):

@@ -8,29 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
-from payrisk.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from payrisk.operators.quantiles import DIRECT_VALUES, exact_quantiles
 
 # Where the splits lie in time, and how many of 100 buckets are kept.
 RECENT_START, TEST_START = 0.60, 0.80
 BASELINE_TRAIN_PERCENT, RECENT_TRAIN_PERCENT, TEST_PERCENT = 15, 35, 25
 
 
-def time_quantiles(clean: DataFrame, fractions: dict[str, float], *, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def time_quantiles(clean: DataFrame, fractions: dict[str, float], *, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """One row: the time below which each fraction of the transactions lies.
 
     Computed on microseconds and rounded to the nearest one.
     """
     micros = clean.select(c.epoch_micros(F.col("transaction_time")).alias("micros"))
     found = exact_quantiles(
-        micros, {name: ("micros", fraction) for name, fraction in fractions.items()}, direct_rows=direct_rows
+        micros, {name: ("micros", fraction) for name, fraction in fractions.items()}, direct_values=direct_values
     )
     return found.select(*[c.from_epoch_micros(F.round(name).cast("bigint")).alias(name) for name in fractions])
 
 
-def time_cutoffs(clean: DataFrame, *, direct_rows: int = DIRECT_ROWS) -> tuple[datetime, datetime]:
+def time_cutoffs(clean: DataFrame, *, direct_values: int = DIRECT_VALUES) -> tuple[datetime, datetime]:
     """(start of the recent window, start of the test period), as two plain values."""
     wanted = {"recent_start": RECENT_START, "test_start": TEST_START}
-    row = time_quantiles(clean, wanted, direct_rows=direct_rows).first()
+    row = time_quantiles(clean, wanted, direct_values=direct_values).first()
     return row["recent_start"], row["test_start"]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
-from payrisk.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from payrisk.operators.quantiles import DIRECT_VALUES, exact_quantiles
 from payrisk.plans.metrics import decide
 from payrisk.schemas import MODEL_FEATURES
 from payrisk.session import scratch_folder, store
@@ -32,9 +32,9 @@ EARLY_STOP_ROWS = 10_000  # above this, a tenth of the rows decides when to stop
 EARLY_STOP_PERCENT = 10
 
 
-def column_medians(train: DataFrame, features: list[str] = MODEL_FEATURES, *, direct_rows: int = DIRECT_ROWS):
+def column_medians(train: DataFrame, features: list[str] = MODEL_FEATURES, *, direct_values: int = DIRECT_VALUES):
     """One row with the exact median of each feature."""
-    return exact_quantiles(train.select(*features), {f: (f, 0.5) for f in features}, direct_rows=direct_rows)
+    return exact_quantiles(train.select(*features), {f: (f, 0.5) for f in features}, direct_values=direct_values)
 
 
 def fill_values(train: DataFrame, features: list[str] = MODEL_FEATURES) -> dict[str, float]:
@@ -134,7 +134,7 @@ def fit_recent(train: DataFrame, rounds: int = BOOST_ROUNDS) -> PipelineModel:
     if rows.count() > EARLY_STOP_ROWS:
         held_out = c.hash_bucket(F.concat(F.lit("stop"), F.col("transaction_id").cast("string"))) < EARLY_STOP_PERCENT
         rows = rows.withColumn("held_out", held_out)
-        classifier = classifier.setValidationIndicatorCol("held_out").setValidationTol(1e-7)
+        classifier = classifier.setParams(validationIndicatorCol="held_out", validationTol=1e-7)
     return Pipeline(stages=[*_prepare(fill_values(rows)), classifier]).fit(rows)
 
 

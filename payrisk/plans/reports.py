@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
-from payrisk.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from payrisk.operators.quantiles import DIRECT_VALUES, exact_quantiles
 
 MIN_CATEGORY_TRANSACTIONS = 10_000
 
@@ -82,7 +82,7 @@ def high_risk_category_table(
     return described.orderBy(F.col("fraud_rate_percent").desc_nulls_last(), F.col("mcc").asc_nulls_last())
 
 
-def amount_by_label(clean: DataFrame, *, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def amount_by_label(clean: DataFrame, *, direct_values: int = DIRECT_VALUES) -> DataFrame:
     known = clean.where(F.col("amount").isNotNull()).select("is_fraud", "amount")
     plain = known.groupBy("is_fraud").agg(
         F.count(F.lit(1)).alias("transactions"),
@@ -90,13 +90,13 @@ def amount_by_label(clean: DataFrame, *, direct_rows: int = DIRECT_ROWS) -> Data
         F.round(F.min("amount"), 2).alias("minimum_amount"),
         F.round(F.max("amount"), 2).alias("maximum_amount"),
     )
-    medians = exact_quantiles(known, {"median_amount": ("amount", 0.5)}, ["is_fraud"], direct_rows=direct_rows)
+    medians = exact_quantiles(known, {"median_amount": ("amount", 0.5)}, ["is_fraud"], direct_values=direct_values)
     return _with_medians(plain, medians, ["is_fraud"]).select(
         "is_fraud", "transactions", "average_amount", "median_amount", "minimum_amount", "maximum_amount"
     )
 
 
-def ratio_by_label(basic: DataFrame, behavior: DataFrame, *, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def ratio_by_label(basic: DataFrame, behavior: DataFrame, *, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """Median of both spending ratios by label, over payments that have both."""
     has_both = F.col("amount_vs_customer_avg").isNotNull() & F.col("amount_vs_card_avg").isNotNull()
     joined = basic.select("transaction_id", "is_fraud").join(behavior.where(has_both), "transaction_id")
@@ -104,7 +104,7 @@ def ratio_by_label(basic: DataFrame, behavior: DataFrame, *, direct_rows: int =
         "median_vs_customer_avg": ("amount_vs_customer_avg", 0.5),
         "median_vs_card_avg": ("amount_vs_card_avg", 0.5),
     }
-    medians = exact_quantiles(joined, wanted, ["is_fraud"], direct_rows=direct_rows)
+    medians = exact_quantiles(joined, wanted, ["is_fraud"], direct_values=direct_values)
     rounded = medians.select("is_fraud", *[F.round(name, 2).alias(name) for name in wanted])
     return rounded.orderBy(F.col("is_fraud").asc_nulls_last())
 
@@ -120,13 +120,13 @@ def drift_by_payment_method(clean: DataFrame, cutoff) -> DataFrame:
     return grouped.orderBy("dataset", F.col("fraud_rate_pct").desc_nulls_last(), F.col("use_chip").asc_nulls_last())
 
 
-def drift_of_amount(clean: DataFrame, cutoff, *, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def drift_of_amount(clean: DataFrame, cutoff, *, direct_values: int = DIRECT_VALUES) -> DataFrame:
     sized = clean.select(
         c.period(F.col("transaction_time"), cutoff).alias("dataset"), "is_fraud", F.abs("amount").alias("size")
     )
     keys = ["dataset", "is_fraud"]
     plain = sized.groupBy(*keys).agg(F.round(F.avg("size"), 2).alias("avg_amount"))
-    medians = exact_quantiles(sized, {"median_amount": ("size", 0.5)}, keys, direct_rows=direct_rows)
+    medians = exact_quantiles(sized, {"median_amount": ("size", 0.5)}, keys, direct_values=direct_values)
     return _with_medians(plain, medians, keys).select(*keys, "avg_amount", "median_amount")
 
 
