@@ -6,14 +6,17 @@ from dataclasses import dataclass
 from functools import reduce
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from payrisk.session import store
 
-# Up to this many values (rows times columns) the built-in exact percentile, which
-# keeps its distinct values in one task's memory, is used as it is.
-DIRECT_VALUES = 5_000_000
+# The built-in exact percentile keeps all distinct values in one task's memory; it
+# is used where there are at most this many, over all groups and columns.
+DIRECT_VALUES = 1_000_000
+
+# Distinct values are estimated to within a few percent.
+DISTINCT_MARGIN = 1.25
 
 # Accuracy of the sketches that bracket a rank on larger tables.
 SKETCH_ACCURACY = 10_000
@@ -32,18 +35,30 @@ def exact_quantiles(
     """One row per group: each output name maps to (column, fraction).
 
     Values between two neighbours are interpolated; NULLs are skipped; a group
-    with no values gets NULL. Small tables use ``percentile``. Larger ones keep
-    narrowing an open interval around each wanted rank: a sketch proposes two
-    values near it, one counting pass tells on which side the rank lies, and only
-    when few rows remain between them are those ordered. Nothing is shuffled but
+    with no values gets NULL. Tables with few rows or few distinct values use
+    ``percentile``. For others the needed columns are stored once, and an open
+    interval around each wanted rank is narrowed: a sketch proposes two values
+    near it, one counting pass tells on which side the rank lies, and only when
+    few rows remain between them are those ordered. Nothing is shuffled but
     sketches, counts and those few rows.
     """
     by = by or []
-    n_columns = len({column for column, _ in wanted.values()})
-    if df.count() * n_columns <= direct_values:
-        aggregates = [F.percentile(column, fraction).alias(name) for name, (column, fraction) in wanted.items()]
-        return df.groupBy(*by).agg(*aggregates)
-    return _by_narrowing(df, wanted, by, direct_values)
+    columns = sorted({column for column, _ in wanted.values()})
+    if df.count() * len(columns) <= direct_values:
+        return _percentiles(df, wanted, by)
+    rows = store(df.select(*by, *columns), "quantile-values")
+    sizes = [F.count(c).alias(f"_n_{c}") for c in columns]
+    distinct = [F.approx_count_distinct(c).alias(f"_d_{c}") for c in columns]
+    groups = rows.groupBy(*by).agg(*sizes, *distinct).limit(MAX_GROUPS + 1).collect()
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"exact quantiles of a large table support at most {MAX_GROUPS} groups")
+    if sum(g[f"_d_{c}"] for g in groups for c in columns) * DISTINCT_MARGIN <= direct_values:
+        return _percentiles(rows, wanted, by)
+    return _by_narrowing(rows, wanted, by, groups, direct_values)
+
+
+def _percentiles(df: DataFrame, wanted: dict, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(*[F.percentile(c, fraction).alias(name) for name, (c, fraction) in wanted.items()])
 
 
 @dataclass
@@ -64,12 +79,7 @@ class _Rank:
         return self.group, self.column, self.low, self.high
 
 
-def _by_narrowing(df: DataFrame, wanted: dict, by: list[str], direct_values: int) -> DataFrame:
-    spark = df.sparkSession
-    columns = sorted({column for column, _ in wanted.values()})
-    groups = df.groupBy(*by).agg(*[F.count(c).alias(f"_n_{c}") for c in columns]).limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"exact quantiles of a large table support at most {MAX_GROUPS} groups")
+def _by_narrowing(rows: DataFrame, wanted: dict, by: list[str], groups: list[Row], direct_values: int) -> DataFrame:
     in_group = [
         reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(row[k])) for k in by], F.lit(True)) for row in groups
     ]
@@ -82,7 +92,6 @@ def _by_narrowing(df: DataFrame, wanted: dict, by: list[str], direct_values: int
             for rank in {floor(position), ceil(position)} if n else ():
                 ranks[g, column, rank] = _Rank(g, column, rank, n)
 
-    rows = df.select(*by, *columns)
     while open_ranks := [r for r in ranks.values() if r.value is None and r.inside > direct_values]:
         _narrow(rows, open_ranks, in_group)
         if left := _open(ranks):
@@ -105,8 +114,8 @@ def _by_narrowing(df: DataFrame, wanted: dict, by: list[str], direct_values: int
         (*[row[k] for k in by], *[interpolate(g, row, column, fraction) for column, fraction in wanted.values()])
         for g, row in enumerate(groups)
     ]
-    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields]
-    return spark.createDataFrame(result, ", ".join(keys + [f"`{name}` double" for name in wanted]))
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields]
+    return rows.sparkSession.createDataFrame(result, ", ".join(keys + [f"`{name}` double" for name in wanted]))
 
 
 def _open(ranks: dict) -> list[_Rank]:

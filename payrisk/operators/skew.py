@@ -16,6 +16,10 @@ MAX_GROUP_ROWS = 4_000_000
 MAX_BROADCAST_ROWS = 500_000
 
 
+# Hash buckets for finding heavy keys: enough that an ordinary bucket stays well below the limit.
+BUCKETS_PER_GROUP, MIN_BUCKETS, MAX_BUCKETS = 16, 1024, 1 << 22
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """Stored list of the heavy values of one column, and how much they hold."""
@@ -26,27 +30,40 @@ class HotKeys:
     n_rows: int
 
 
-def find_hot_keys(df: DataFrame, column: str, max_group_rows: int = MAX_GROUP_ROWS) -> HotKeys | None:
-    """Values of ``column`` (NULL included) with more than ``max_group_rows`` rows.
+def find_hot_keys(df: DataFrame, column: str, n_rows: int, max_group_rows: int = MAX_GROUP_ROWS) -> HotKeys | None:
+    """Values of ``column`` (NULL included) with more than ``max_group_rows`` of the ``n_rows`` rows.
 
-    Counts are combined on the map side, so a heavy key costs one row per task.
-    There can be no more than rows / max_group_rows such keys.
+    A key cannot have more rows than its hash bucket. So buckets are counted
+    first, which shuffles a small table however many keys there are, and keys
+    only within the buckets that are too full. Neither can be more than
+    n_rows / max_group_rows, and counts are combined on the map side.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_group_rows)
+    n_buckets = min(max(BUCKETS_PER_GROUP * n_rows // max_group_rows, MIN_BUCKETS), MAX_BUCKETS)
+    keyed = df.select(column, F.pmod(F.xxhash64(column), F.lit(n_buckets)).alias("_bucket"))
+    full, n_full, _ = _over_limit(keyed, "_bucket", max_group_rows)
+    if n_full == 0:
+        return None
+    suspects = keyed.join(broadcast_if_small(full, n_full), "_bucket", "left_semi")
+    keys, n_keys, n_hot = _over_limit(suspects, column, max_group_rows)
+    return HotKeys(column, keys, n_keys, n_hot) if n_keys else None
+
+
+def _over_limit(df: DataFrame, column: str, limit: int) -> tuple[DataFrame, int, int]:
+    """(stored values of ``column`` with more rows than the limit, how many, their rows)."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     stored = store(counts, "hot-keys")
     found = stored.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
-    if found["n"] == 0:
-        return None
-    return HotKeys(column, stored.select(column), found["n"], found["rows"])
+    return stored.select(column), found["n"], found["rows"] or 0
 
 
 def find_hot_keys_of(
     df: DataFrame, columns: list[str], max_group_rows: int = MAX_GROUP_ROWS
 ) -> dict[str, HotKeys | None]:
     """Heavy keys per column; one plain row count is enough for a small table."""
-    if df.count() <= max_group_rows:
+    n_rows = df.count()
+    if n_rows <= max_group_rows:
         return dict.fromkeys(columns)
-    return {column: find_hot_keys(df, column, max_group_rows) for column in columns}
+    return {column: find_hot_keys(df, column, n_rows, max_group_rows) for column in columns}
 
 
 def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:

@@ -6,6 +6,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
+from payrisk.operators import skew
 from payrisk.operators.history import add_prior_average
 from payrisk.operators.running import prior_totals
 from payrisk.operators.skew import find_hot_keys, find_hot_keys_of, left_lookup, split_hot
@@ -119,14 +120,18 @@ def test_input_order_does_not_matter(spark):
     assert history_of(payments(spark, items).repartition(7)) == history_of(payments(spark, shuffled).coalesce(1))
 
 
-def test_hot_keys_are_found_with_their_rows(spark):
+def test_hot_keys_are_found_with_their_rows(spark, monkeypatch):
     df = payments(spark, skewed())
-    hot = find_hot_keys(df, "client_id", 150)
+    hot = find_hot_keys(df, "client_id", 3000, 150)
     assert {r[0] for r in hot.keys.collect()} == {1, None}
     assert hot.n_keys == 2 and hot.n_rows > 1000
+    monkeypatch.setattr(skew, "MIN_BUCKETS", 2)  # ordinary keys share full buckets with heavy ones
+    monkeypatch.setattr(skew, "BUCKETS_PER_GROUP", 0)
+    again = find_hot_keys(df, "client_id", 3000, 150)
+    assert {r[0] for r in again.keys.collect()} == {1, None} and again.n_rows == hot.n_rows
     ordinary, heavy = split_hot(df, hot)
     assert heavy.count() == hot.n_rows and ordinary.count() + heavy.count() == df.count()
-    assert find_hot_keys(df, "client_id", 10**6) is None
+    assert find_hot_keys(df, "client_id", 3000, 10**6) is None
     assert find_hot_keys_of(df, ["client_id", "card_id"], 10**6) == {"client_id": None, "card_id": None}
 
 
@@ -141,7 +146,7 @@ def test_blocks_are_bounded(spark):
 def test_left_lookup_of_heavy_keys_keeps_all_rows(spark):
     df = payments(spark, skewed())
     lookup = spark.createDataFrame([(k, k * 10) for k in range(1, 200)], "key bigint, worth bigint")
-    hot = find_hot_keys(df, "card_id", 150)
+    hot = find_hot_keys(df, "card_id", 3000, 150)
     split = left_lookup(df, lookup, "card_id", "key", hot)
     whole = left_lookup(df, lookup, "card_id", "key")
     pick = lambda d: sorted((r["transaction_id"], r["worth"] or -1) for r in d.collect())
