@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The test tables are small: the volume a category needs, and the row counts from
 # which the split paths start, are lowered so that the queries use them.
 MIN_TRANSACTIONS = 100
-SMALL_GROUP = 60
+SMALL_GROUP = 150
 SMALL_DIRECT = 200
 QUERY_ROUNDS = 20
 
@@ -37,8 +37,13 @@ def on_clean(report: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, folder: report(fx.clean(spark, folder), *args, **kwargs)
 
 
-def _with_cards(build: Callable[..., DataFrame], **kwargs) -> Query:
-    return lambda s, d: build(fx.clean(s, d), fx.raw_cards(s, d), fx.raw_users(s, d), **kwargs)
+def _with_cards(build: Callable[..., DataFrame], clean: Query = fx.clean, **kwargs) -> Query:
+    return lambda s, d: build(clean(s, d), fx.raw_cards(s, d), fx.raw_users(s, d), **kwargs)
+
+
+def _skewed(build: Callable[..., DataFrame]) -> Query:
+    """Some keys own a large part of the rows, and a group may have few rows."""
+    return _with_cards(build, clean=fx.clean_skewed, max_group_rows=SMALL_GROUP)
 
 
 def clean_from_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,6 +131,10 @@ def recent_scores(spark: SparkSession, folder: str) -> DataFrame:
     return models.score(models.fit_recent(parts["recent_train"], QUERY_ROUNDS), parts["future_test"])
 
 
+def evaluated(scores: Query) -> Query:
+    return lambda spark, folder: models.evaluate(scores(spark, folder))
+
+
 def on_scored(report: Callable[..., DataFrame]) -> Query:
     return lambda spark, folder: report(metrics.decide(fx.scored(spark, folder)))
 
@@ -146,12 +155,14 @@ def queries() -> dict[str, Query]:
         "stored_table_rates": stored_table_rates,
         "fraud_labels": fx.labels,
         "model_features_basic": _with_cards(tables.model_features_basic),
-        "model_features_basic_hot_keys": _with_cards(tables.model_features_basic, max_group_rows=SMALL_GROUP),
+        "model_features_basic_hot_keys": _skewed(tables.model_features_basic),
         "behavior_features": on_clean(tables.behavior_features),
-        "behavior_features_hot_keys": on_clean(tables.behavior_features, max_group_rows=SMALL_GROUP),
+        "behavior_features_hot_keys": lambda s, d: tables.behavior_features(
+            fx.clean_skewed(s, d), max_group_rows=SMALL_GROUP
+        ),
         "behavior_features_long_period": lambda s, d: tables.behavior_features(fx.long_period(s, d)),
         "model_matrix": _with_cards(tables.model_matrix),
-        "model_matrix_hot_keys": _with_cards(tables.model_matrix, max_group_rows=SMALL_GROUP),
+        "model_matrix_hot_keys": _skewed(tables.model_matrix),
         "model_matrix_from_tables": matrix_from_tables,
         # Checks and previews
         "label_summary": lambda s, d: quality.label_summary(fx.raw_labels(s, d)),
@@ -164,6 +175,7 @@ def queries() -> dict[str, Query]:
         "behavior_row_count": lambda s, d: quality.row_count(fx.behavior(s, d)),
         "join_coverage": _with_cards(quality.join_coverage),
         "connected_transactions": _with_cards(quality.connected_transactions),
+        "connected_transactions_hot_keys": _skewed(quality.connected_transactions),
         "connected_preview": _with_cards(quality.connected_preview),
         "clean_preview": on_clean(quality.clean_preview),
         "feature_preview": lambda s, d: quality.feature_preview(fx.basic(s, d)),
@@ -203,6 +215,8 @@ def queries() -> dict[str, Query]:
         # Models and evaluation
         "baseline_model_scores": baseline_scores,
         "recent_model_scores": recent_scores,
+        "baseline_model_evaluation": evaluated(baseline_scores),
+        "recent_model_evaluation": evaluated(recent_scores),
         "threshold_decision": lambda s, d: metrics.decide(fx.scored(s, d)),
         "confusion_matrix": on_scored(metrics.confusion_matrix),
         "classification_report": on_scored(metrics.classification_report),

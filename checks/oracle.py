@@ -57,7 +57,7 @@ raw_cards AS (
     CASE WHEN p_partkey % 25 = 0 THEN 'Yes' ELSE 'No' END AS card_on_dark_web,
     CASE WHEN p_partkey % 50 = 7 THEN '$0'
          ELSE '$' || format('{{:,.2f}}', p_retailprice * 10) END AS credit_limit
-  FROM part WHERE p_partkey < 100 AND p_partkey % 10 <> 3),
+  FROM part WHERE p_partkey % 10 <> 3),
 raw_users AS (
   SELECT c_custkey AS id, cast(300 + (c_custkey * 37) % 550 AS INTEGER) AS credit_score,
     '$' || format('{{:,.2f}}', abs(c_acctbal) * 100) AS yearly_income,
@@ -197,6 +197,16 @@ def query(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
 
 
+def skewed(sql: str) -> str:
+    """The same query with one customer, one card and no card owning many transactions."""
+    return sql.replace(
+        "SELECT t.id AS transaction_id, t.date AS transaction_time, t.client_id, t.card_id,",
+        """SELECT t.id AS transaction_id, t.date AS transaction_time,
+    CASE WHEN t.use_chip = 'Online Transaction' THEN 1 ELSE t.client_id END AS client_id,
+    CASE WHEN t.use_chip = 'Chip Transaction' THEN 7 WHEN t.use_chip <> 'Swipe Transaction' THEN t.card_id END AS card_id,""",
+    )
+
+
 def rates(key: str) -> str:
     return query(CLEAN, f"SELECT {key}, {counts()} FROM transactions_clean GROUP BY {key} ORDER BY {key}")
 
@@ -222,7 +232,6 @@ FROM dated GROUP BY dataset, is_fraud ORDER BY dataset, is_fraud"""
 
 def oracle_sql() -> dict[str, str]:
     everything = "SELECT * FROM "
-    behavior = query(BEHAVIOR, everything + "behavior_features")
     matrix = query(MATRIX, everything + "model_matrix")
     clean = query(CLEAN, everything + "transactions_clean")
     top = "HAVING count(*) >= 100 ORDER BY {rate} DESC, mcc LIMIT {n}"
@@ -261,12 +270,12 @@ WHERE f.is_fraud = 1 ORDER BY t.id LIMIT 10""",
 FROM raw_transactions t JOIN fraud_labels f ON t.id = f.transaction_id""",
         ),
         "model_features_basic": query(BASIC, everything + "model_features_basic"),
-        "model_features_basic_hot_keys": query(BASIC, everything + "model_features_basic"),
-        "behavior_features": behavior,
-        "behavior_features_hot_keys": behavior,
+        "model_features_basic_hot_keys": skewed(query(BASIC, everything + "model_features_basic")),
+        "behavior_features": query(BEHAVIOR, everything + "behavior_features"),
+        "behavior_features_hot_keys": skewed(query(BEHAVIOR, everything + "behavior_features")),
         "behavior_features_long_period": query(LONG + "," + history("transactions_clean"), everything + "behavior_features"),
         "model_matrix": matrix,
-        "model_matrix_hot_keys": matrix,
+        "model_matrix_hot_keys": skewed(matrix),
         "model_matrix_from_tables": matrix,
         "feature_table_check": query(
             BASIC,
@@ -331,6 +340,7 @@ WHERE h.amount_vs_customer_avg IS NOT NULL AND h.amount_vs_card_avg IS NOT NULL
 FROM transactions_clean t LEFT JOIN raw_cards c ON t.card_id = c.id LEFT JOIN raw_users u ON t.client_id = u.id""",
         ),
         "connected_transactions": query(CLEAN, CONNECTED),
+        "connected_transactions_hot_keys": skewed(query(CLEAN, CONNECTED)),
         "connected_preview": query(CLEAN, CONNECTED + " ORDER BY t.transaction_id LIMIT 10"),
         "clean_preview": query(
             CLEAN,

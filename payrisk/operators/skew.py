@@ -79,7 +79,7 @@ def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
 
 
 def left_lookup(df: DataFrame, lookup: DataFrame, column: str, lookup_key: str, hot: HotKeys | None = None) -> DataFrame:
-    """Left join to a lookup table, keeping the row order of neither side.
+    """Left join to a lookup table.
 
     Ordinary keys use whichever join Spark picks from its own size estimates.
     Rows of heavy keys never shuffle: only the lookup rows of those few keys are

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
 from payrisk.operators.quantiles import DIRECT_VALUES, exact_quantiles
-from payrisk.plans.metrics import decide
+from payrisk.plans.metrics import decide, ranking_scores
 from payrisk.schemas import MODEL_FEATURES
 from payrisk.session import scratch_folder, store
 
@@ -96,12 +96,16 @@ def with_fraud_weight(df: DataFrame, label: str = "is_fraud", fraud_weight: floa
 
 def _prepare(fills: dict[str, float], scaling: dict[str, Scaling] | None = None) -> list:
     """Pipeline stages that hold the fill values, the scaling and the feature order."""
+
+    def number(value: float) -> str:
+        return f"double('{value!r}')"
+
     inputs = []
     for f, fill in fills.items():
-        value = f"coalesce(cast({f} as double), {fill!r}D)"
+        value = f"coalesce(double({f}), {number(fill)})"
         if scaling:
             s = scaling[f]
-            value = f"({value} - {s.mean!r}D) / {s.deviation!r}D" if s.deviation else "0.0D"
+            value = f"({value} - {number(s.mean)}) / {number(s.deviation)}" if s.deviation else number(0.0)
         inputs.append(f"{value} AS in_{f}")
     statement = f"SELECT *, {', '.join(inputs)} FROM __THIS__"
     assembler = VectorAssembler(inputCols=[f"in_{f}" for f in fills], outputCol="features")
@@ -144,6 +148,24 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = THRESHOLD) ->
     return decide(model.transform(df).select("transaction_id", "is_fraud", fraud), threshold)
 
 
+def evaluate(scored: DataFrame) -> DataFrame:
+    """One row: size of the scored set, outcome counts, and the exact ranking scores.
+
+    The scores are stored first, so that the model is applied once.
+    """
+    kept = store(scored, "scored")
+    fraud, flagged = F.col("is_fraud") == 1, F.col("predicted") == 1
+    counts = kept.agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.count_if(fraud).alias("fraud_transactions"),
+        F.count_if(flagged).alias("flagged_transactions"),
+        F.count_if(fraud & flagged).alias("fraud_caught"),
+    ).first()
+    shown = [F.lit(counts[name]).cast("bigint").alias(name) for name in counts.asDict()]
+    ranked = ranking_scores(kept)
+    return ranked.select(*shown, *[F.round(name, 4).alias(name) for name in ranked.columns])
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

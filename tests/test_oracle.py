@@ -15,7 +15,8 @@ def duck(folder):
 
 def test_every_twin_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"baseline_model_scores", "recent_model_scores"}
+    fitted = {f"{model}_model_{what}" for model in ("baseline", "recent") for what in ("scores", "evaluation")}
+    assert set(QUERIES) - set(SQL) == fitted
 
 
 def test_entry(spark):
