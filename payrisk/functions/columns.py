@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def day_of_week(time: Column) -> Column:
 
 
 def month_start(time: Column) -> Column:
-    return F.date_trunc("month", time).cast("timestamp_ntz")
+    return F.trunc(time.cast("date"), "month").cast("timestamp_ntz")
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -75,9 +77,15 @@ def percent(part: Column, whole: Column) -> Column:
     return F.round(F.lit(100.0) * part / whole, 4)
 
 
-def period(time: Column, cutoff) -> Column:
+def time_literal(value: datetime | str) -> Column:
+    """A time without zone; a plain datetime literal would be shifted into the session zone."""
+    text = value.isoformat(sep=" ") if isinstance(value, datetime) else value
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def period(time: Column, cutoff: datetime | str) -> Column:
     """Side of the split. A missing time is not before the cut-off, so it is 'future'."""
-    return F.when(time < F.lit(cutoff).cast("timestamp_ntz"), PAST_LABEL).otherwise(FUTURE_LABEL)
+    return F.when(time < time_literal(cutoff), PAST_LABEL).otherwise(FUTURE_LABEL)
 
 
 def method_label(method: Column) -> Column:

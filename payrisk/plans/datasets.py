@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
@@ -34,27 +34,23 @@ def time_cutoffs(clean: DataFrame, *, direct_values: int = DIRECT_VALUES) -> tup
     return row["recent_start"], row["test_start"]
 
 
-def _time(value) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
-
-
 def sample(matrix: DataFrame, percent: int, method: str = "xxhash64") -> DataFrame:
     """Repeatable sample by transaction id: a smaller percent is a subset of a larger one."""
     return matrix.where(c.hash_bucket(F.col("transaction_id"), method) < percent)
 
 
 def baseline_train(matrix: DataFrame, cutoff, method: str = "xxhash64") -> DataFrame:
-    past = matrix.where(F.col("transaction_time") < _time(cutoff))
+    past = matrix.where(F.col("transaction_time") < c.time_literal(cutoff))
     return sample(past, BASELINE_TRAIN_PERCENT, method)
 
 
 def recent_train(matrix: DataFrame, start, end, method: str = "xxhash64") -> DataFrame:
     time = F.col("transaction_time")
-    return sample(matrix.where((time >= _time(start)) & (time < _time(end))), RECENT_TRAIN_PERCENT, method)
+    return sample(matrix.where((time >= c.time_literal(start)) & (time < c.time_literal(end))), RECENT_TRAIN_PERCENT, method)
 
 
 def future_test(matrix: DataFrame, cutoff, method: str = "xxhash64") -> DataFrame:
-    future = matrix.where(F.col("transaction_time") >= _time(cutoff))
+    future = matrix.where(F.col("transaction_time") >= c.time_literal(cutoff))
     return sample(future, TEST_PERCENT, method)
 
 

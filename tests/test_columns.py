@@ -72,6 +72,19 @@ def test_micros_round_trip_in_any_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_cut_offs_mean_the_same_in_any_session_zone(spark):
+    times = [datetime(2024, 1, 1, 11, 59, 59, 999999), datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 12, 0, 0, 1)]
+    expected = ["TRAIN - Past", "TEST - Future", "TEST - Future"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/Sao_Paulo", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            for cut in (datetime(2024, 1, 1, 12), "2024-01-01 12:00:00"):
+                assert values(spark, times, lambda v: c.period(v, cut), "timestamp_ntz") == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_buckets_are_nested_and_repeatable(spark):
     ids = spark.range(20_000).withColumn("b", c.hash_bucket(F.col("id"))).withColumn(
         "m", c.hash_bucket(F.col("id"), "md5")
