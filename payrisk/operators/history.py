@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payrisk.operators.running import prior_totals
-from payrisk.operators.skew import MAX_GROUP_ROWS, HotKeys, split_hot
+from payrisk.operators.skew import MAX_GROUP_ROWS, HotKeys, apart
+
+ORDER = ["transaction_time", "transaction_id"]
 
 
 def add_prior_average(
@@ -14,53 +16,56 @@ def add_prior_average(
     key: str,
     output: str,
     *,
-    size: str = "absolute_amount",
-    time: str = "transaction_time",
-    identifier: str = "transaction_id",
     decimals: int | None = 2,
     hot: HotKeys | None = None,
     rows_per_block: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Adds ``output``: mean ``size`` over the key's rows strictly before this one.
+    """Adds ``output``: mean absolute amount over the key's payments strictly before this one.
 
-    Rows are ordered by (time, id); rows without a size are skipped; the first
-    row of a key has no average. Sizes with at most ``decimals`` decimals are
-    summed as whole units, which makes the result independent of how rows are
-    spread over tasks. ``decimals=None`` sums doubles, for sizes of any precision.
+    Payments are ordered by (time, id); those without an amount are skipped; the
+    first one of a key has no average. Amounts with at most ``decimals`` decimals
+    are summed as whole units, which makes the result independent of how rows are
+    spread over tasks. ``decimals=None`` sums doubles, for amounts of any precision.
 
     Keys in ``hot`` hold more rows than one task should see; they are cut into
     blocks, all other keys use one window.
     """
-    if decimals is None:
-        measured = df.withColumn("_size", F.col(size).cast("double"))
-    else:
-        units = F.round(F.col(size) * F.lit(float(10**decimals)))
-        measured = df.withColumn("_size", units.try_cast("bigint"))
-    order = [time, identifier]
-
-    if hot is None:
-        result = _plain(measured, key, order, output, decimals)
-    else:
-        ordinary, heavy = split_hot(measured, hot)
-        counted = heavy.withColumn("_one", F.col("_size").isNotNull().cast("bigint"))
-        totals = prior_totals(
-            counted, [key], order, ["_size", "_one"], hot.n_rows, hot.n_keys, rows_per_block=rows_per_block
-        )
-        average = _average(F.col("prior__size"), F.col("prior__one"), decimals)
-        heavy_done = totals.withColumn(output, average).drop("_one", "prior__size", "prior__one")
-        result = _plain(ordinary, key, order, output, decimals).unionByName(heavy_done)
-    return result.drop("_size")
-
-
-def _plain(df: DataFrame, key: str, order: list[str], output: str, decimals: int | None) -> DataFrame:
+    return apart(
+        df,
+        hot,
+        lambda rows: prior_average(rows, key, output, decimals),
+        lambda rows: prior_average_in_blocks(rows, key, output, decimals, hot, rows_per_block),
+    )
+
+
+def prior_average(df: DataFrame, key: str, output: str, decimals: int | None = 2) -> DataFrame:
+    """One window per key."""
     earlier = (
         Window.partitionBy(key)
-        .orderBy(*[F.col(name).asc_nulls_last() for name in order])
+        .orderBy(*[F.col(name).asc_nulls_last() for name in ORDER])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return df.withColumn(
-        output, _average(F.sum("_size").over(earlier), F.count("_size").over(earlier), decimals)
+    total, count = F.sum("_size").over(earlier), F.count("_size").over(earlier)
+    return _sized(df, decimals).withColumn(output, _average(total, count, decimals)).drop("_size")
+
+
+def prior_average_in_blocks(
+    df: DataFrame, key: str, output: str, decimals: int | None, hot: HotKeys, rows_per_block: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """The same for rows of heavy keys only, however many rows each of them has."""
+    counted = _sized(df, decimals).withColumn("_one", F.col("_size").isNotNull().cast("bigint"))
+    totals = prior_totals(
+        counted, [key], ORDER, ["_size", "_one"], hot.n_rows, hot.n_keys, rows_per_block=rows_per_block
     )
+    average = _average(F.col("prior__size"), F.col("prior__one"), decimals)
+    return totals.withColumn(output, average).drop("_size", "_one", "prior__size", "prior__one")
+
+
+def _sized(df: DataFrame, decimals: int | None) -> DataFrame:
+    if decimals is None:
+        return df.withColumn("_size", F.col("absolute_amount").cast("double"))
+    units = F.round(F.col("absolute_amount") * F.lit(float(10**decimals)))
+    return df.withColumn("_size", units.try_cast("bigint"))
 
 
 def _average(total: Column, count: Column, decimals: int | None) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from payrisk.session import store
 
+Step = Callable[[DataFrame], DataFrame]
+
 # A key with more rows than this is split over several tasks.
 MAX_GROUP_ROWS = 4_000_000
 
@@ -78,6 +81,21 @@ def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
     return df.join(marks, same_key, "left_anti"), df.join(marks, same_key, "left_semi")
 
 
+def apart(df: DataFrame, hot: HotKeys | None, ordinary: Step, heavy: Step) -> DataFrame:
+    """Treat the rows of heavy keys with one step and all others with another."""
+    if hot is None:
+        return ordinary(df)
+    ordinary_rows, heavy_rows = split_hot(df, hot)
+    return ordinary(ordinary_rows).unionByName(heavy(heavy_rows))
+
+
+def lookup_of_hot(lookup: DataFrame, lookup_key: str, hot: HotKeys) -> DataFrame:
+    """The lookup rows of the heavy keys only: few, and counted before they are broadcast."""
+    wanted = broadcast_if_small(hot.keys.select(F.col(hot.column).alias("_hot_key")), hot.n_keys)
+    few = store(lookup.join(wanted, F.col(lookup_key) == F.col("_hot_key"), "left_semi"), "hot-lookup")
+    return broadcast_if_small(few, few.count())
+
+
 def left_lookup(df: DataFrame, lookup: DataFrame, column: str, lookup_key: str, hot: HotKeys | None = None) -> DataFrame:
     """Left join to a lookup table.
 
@@ -85,12 +103,25 @@ def left_lookup(df: DataFrame, lookup: DataFrame, column: str, lookup_key: str,
     Rows of heavy keys never shuffle: only the lookup rows of those few keys are
     sent to them. Should even these be many, AQE's skew join has to split them.
     """
-    if hot is None:
-        return df.join(lookup, F.col(column) == F.col(lookup_key), "left")
-    ordinary, heavy = split_hot(df, hot)
-    wanted = hot.keys.select(F.col(hot.column).alias("_hot_key"))
-    wanted = broadcast_if_small(wanted, hot.n_keys)
-    few = store(lookup.join(wanted, F.col(lookup_key) == F.col("_hot_key"), "left_semi"), "hot-lookup")
-    few = broadcast_if_small(few, few.count())
     on = F.col(column) == F.col(lookup_key)
-    return ordinary.join(lookup, on, "left").unionByName(heavy.join(few, on, "left"))
+    return apart(
+        df,
+        hot,
+        lambda rows: rows.join(lookup, on, "left"),
+        lambda rows: rows.join(lookup_of_hot(lookup, lookup_key, hot), on, "left"),
+    )
+
+
+def left_lookups(
+    df: DataFrame, lookups: list[tuple[DataFrame, str, str]], hot: dict[str, HotKeys | None]
+) -> DataFrame:
+    """Several left look-ups, each given as (lookup, column, lookup key).
+
+    Rows already joined are stored before they are split by the next column's
+    heavy keys, since a split reads its input twice.
+    """
+    for i, (lookup, column, lookup_key) in enumerate(lookups):
+        if i > 0 and hot[column] is not None:
+            df = store(df, "looked-up")
+        df = left_lookup(df, lookup, column, lookup_key, hot[column])
+    return df

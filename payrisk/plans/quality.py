@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
-from payrisk.operators.skew import MAX_GROUP_ROWS, find_hot_keys_of, left_lookup
+from payrisk.operators.skew import MAX_GROUP_ROWS, find_hot_keys_of, left_lookups
 from payrisk.plans.tables import labelled
 from payrisk.sources.files import preview
 
@@ -77,9 +77,8 @@ def connected_transactions(
     user_side = users.select(F.col("id").alias("found_user"), "credit_score", "yearly_income")
     hot = find_hot_keys_of(clean, ["card_id", "client_id"], max_group_rows)
     payments = clean.select("transaction_id", "amount", "use_chip", "client_id", "card_id")
-    joined = left_lookup(payments, card_side, "card_id", "found_card", hot["card_id"])
-    joined = left_lookup(joined, user_side, "client_id", "found_user", hot["client_id"])
-    return joined.select(
+    lookups = [(card_side, "card_id", "found_card"), (user_side, "client_id", "found_user")]
+    return left_lookups(payments, lookups, hot).select(
         "transaction_id", "amount", "use_chip", "client_id", F.col("found_card").alias("card_id"),
         "card_brand", "card_type", "credit_limit", "has_chip", "card_on_dark_web",
         "credit_score", "yearly_income",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
-from payrisk.operators.history import add_prior_average
-from payrisk.operators.skew import MAX_GROUP_ROWS, find_hot_keys_of, left_lookup
+from payrisk.operators.history import add_prior_average, prior_average, prior_average_in_blocks
+from payrisk.operators.skew import MAX_GROUP_ROWS, HotKeys, apart, find_hot_keys_of, left_lookups, lookup_of_hot
 from payrisk.schemas import BASIC_FEATURE_COLUMNS, BEHAVIOR_COLUMNS, CLEAN_COLUMNS, MODEL_FEATURES
 from payrisk.session import store
 
@@ -85,8 +85,15 @@ def model_features_basic(
 ) -> DataFrame:
     """Payment, card and customer features; payments without a match are kept."""
     hot = find_hot_keys_of(clean, ["card_id", "client_id"], max_group_rows)
-    joined = left_lookup(clean, card_attributes(cards), "card_id", "lookup_card_id", hot["card_id"])
-    joined = left_lookup(joined, user_attributes(users), "client_id", "lookup_client_id", hot["client_id"])
+    lookups = [
+        (card_attributes(cards), "card_id", "lookup_card_id"),
+        (user_attributes(users), "client_id", "lookup_client_id"),
+    ]
+    payments = clean.select(
+        "transaction_id", "client_id", "card_id", "amount", "use_chip", "transaction_hour", "day_of_week",
+        "has_error", "mcc", "is_fraud",
+    )
+    joined = left_lookups(payments, lookups, hot)
     return joined.withColumns(_payment_flags()).withColumns(_card_columns()).select(*BASIC_FEATURE_COLUMNS)
 
 
@@ -146,10 +153,28 @@ def model_matrix(
         ("card_id", "card_previous_avg", card_attributes(cards), "lookup_card_id"),
     )
     for key, output, lookup, lookup_key in steps:
-        rows = add_prior_average(rows, key, output, decimals=decimals, hot=hot[key], rows_per_block=max_group_rows)
-        if hot[key] is not None:
-            rows = store(rows, "history")
-        rows = left_lookup(rows, lookup, key, lookup_key, hot[key])
+        rows = _history_and_lookup(rows, key, output, decimals, lookup, lookup_key, hot[key], max_group_rows)
         if key == "client_id" and hot["card_id"] is not None:
             rows = store(rows, "customer-side")
     return rows.withColumns(_card_columns()).withColumns(_behavior_columns()).select(*_matrix_columns())
+
+
+def _history_and_lookup(
+    df: DataFrame,
+    key: str,
+    output: str,
+    decimals: int | None,
+    lookup: DataFrame,
+    lookup_key: str,
+    hot: HotKeys | None,
+    rows_per_block: int,
+) -> DataFrame:
+    on = F.col(key) == F.col(lookup_key)
+    return apart(
+        df,
+        hot,
+        lambda rows: prior_average(rows, key, output, decimals).join(lookup, on, "left"),
+        lambda rows: prior_average_in_blocks(rows, key, output, decimals, hot, rows_per_block).join(
+            lookup_of_hot(lookup, lookup_key, hot), on, "left"
+        ),
+    )
