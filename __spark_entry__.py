@@ -20,6 +20,15 @@ from payrisk.sources import files  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Operations of the training-data pipeline are registered where they are delivered.
+WITH_LLM = all(
+    os.path.exists(os.path.join(os.path.dirname(os.path.abspath(__file__)), *part))
+    for part in (("payrisk", "llm", "queries.py"), ("corpus_pipeline.py",))
+)
+if WITH_LLM:
+    import corpus_pipeline  # noqa: E402
+    from payrisk.llm import queries as llm_queries  # noqa: E402
+
 # The test tables are small: the volume a category needs, and the row counts from
 # which the split paths start, are lowered so that the queries use them.
 MIN_TRANSACTIONS = 100
@@ -148,6 +157,10 @@ def ranking(*names: str, **kwargs) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    return own_queries() | (llm_queries.queries() | {"pipeline": corpus_pipeline.run} if WITH_LLM else {})
+
+
+def own_queries() -> dict[str, Query]:
     return {
         # Data products
         "transactions_clean": fx.clean,
@@ -227,4 +240,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    twins = oracle.oracle_sql()
+    if WITH_LLM:
+        twins = twins | llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            twins["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return twins
