@@ -9,7 +9,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from payrisk.session import scratch_path
 
@@ -46,7 +48,7 @@ def store(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def over_batches(df: DataFrame, step: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def over_batches(df: DataFrame, step: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` for a step that yields record batches."""
     ready(df.sparkSession)
     return df.mapInArrow(step, schema)
@@ -110,3 +112,27 @@ class CachedTokenizer:
 def tokenizer(path: str) -> CachedTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return CachedTokenizer(path)
+
+
+def as_records(docs: DataFrame) -> DataFrame:
+    """Two columns, ``doc`` with all columns of ``docs`` and ``text``: no name that an operator adds can clash."""
+    return docs.select(F.struct("*").alias("doc"), docs["text"].cast("string").alias("text"))
+
+
+def with_record(docs: DataFrame, added: str) -> StructType:
+    """Schema of ``doc`` followed by the added columns."""
+    return StructType([StructField("doc", docs.schema, False), *StructType.fromDDL(added)])
+
+
+def documents_from(records: DataFrame, names: list[str], text: Column, changed: Column) -> DataFrame:
+    """The columns ``names`` out of ``doc``, with ``text`` where it changed; a column ``n_chars`` follows it."""
+
+    def column(name: str) -> Column:
+        own = F.col(f"doc.`{name}`")
+        if name == "text":
+            return F.when(changed, text).otherwise(own).alias(name)
+        if name == "n_chars":
+            return F.when(changed, F.length(text).cast("bigint")).otherwise(own).alias(name)
+        return own.alias(name)
+
+    return records.select(*[column(n) for n in names])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrisk.llm import binary_ids, packing
+from payrisk.llm import binary_ids, decontaminate, packing, quality, secrets
 from payrisk.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,64 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    hits = decontaminate.find(docs, read_table(spark, folder, "benchmark").select("item_id", "text"))
+    return hits.select(
+        "doc.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP3_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, rowid AS r, text FROM (SELECT doc_id, text, row_number() OVER () AS rowid FROM documents)
+  UNION ALL
+  SELECT 'i', item_id, row_number() OVER (), text FROM benchmark
+), worded AS (
+  SELECT kind, id, r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), sizes AS (
+  SELECT DISTINCT least(len(w), 10) AS m FROM worded WHERE kind = 'i' AND len(w) > 0
+), item_windows AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 10) AS m, w[p : p + least(len(w), 10) - 1] AS win
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM worded WHERE kind = 'i' AND len(w) > 0)
+), doc_windows AS (
+  SELECT r, m, p, w[p : p + m - 1] AS win
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM worded, sizes WHERE kind = 'd' AND len(w) >= m)
+), found AS (
+  SELECT r, p, d.m, item_id FROM doc_windows d JOIN item_windows i ON d.m = i.m AND d.win = i.win
+), hit AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT r, p, m FROM found)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY r
+)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN hit USING (r) LEFT JOIN named USING (r) WHERE kind = 'd'
+"""
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.learn(docs, read_table(spark, folder, "labels")))
+    return judged.select("doc.doc_id", *quality.MEASURES, "base_failed", "kept", "rule")
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess"
+    )
+
+
 def op8_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
     blocks = binary_ids.write_ids(
         read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), BYTE_END
@@ -36,9 +94,12 @@ def op8_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op3_decontamination": op3_decontamination,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_secrets": op5_secrets,
         "op8_binary_ids": op8_binary_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL}
