@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrisk.llm import binary_ids, chat, decontaminate, packing, quality, secrets
+from payrisk.llm import binary_ids, chat, decontaminate, langid, packing, quality, secrets
 from payrisk.llm.common import read_table, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,14 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    net = langid.train(langid.sample(docs.where(~held_out)))
+    found = langid.predict(docs.select("doc_id", "text"), net).select("doc.doc_id", "lang_pred", "score", "n_windows")
+    return found.withColumn("held_out", held_out)
+
+
 def op8_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
     blocks = binary_ids.write_ids(
         read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), BYTE_END
@@ -111,6 +119,7 @@ def queries() -> dict[str, Query]:
         "op3_decontamination": op3_decontamination,
         "op4_quality_rules": op4_quality_rules,
         "op5_secrets": op5_secrets,
+        "op7_language_id": op7_language_id,
         "op8_binary_ids": op8_binary_ids,
     }
 
