@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrisk.llm import binary_ids, chat, decontaminate, langid, packing, quality, secrets
+from payrisk.llm import binary_ids, chat, decontaminate, langid, packing, quality, secrets, substrings
 from payrisk.llm.common import read_table, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,32 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, w[p : p + 19] AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM worded WHERE len(w) >= 20)
+), judged AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS gone FROM windows
+), hit AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM judged WHERE gone
+), kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.q) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM worded) a
+  ANTI JOIN hit ON hit.doc_id = a.doc_id AND hit.q = a.q GROUP BY a.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
@@ -119,10 +145,11 @@ def queries() -> dict[str, Query]:
         "op3_decontamination": op3_decontamination,
         "op4_quality_rules": op4_quality_rules,
         "op5_secrets": op5_secrets,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_language_id": op7_language_id,
         "op8_binary_ids": op8_binary_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL}
