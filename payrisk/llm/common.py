@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa
 SPACED_CHUNK = re.compile(rb" ?\S+|\s+(?!\S)|\s+")
 
 # Distinct chunks whose ids a worker keeps; beyond it starts afresh.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 500_000
 
 
 def ready(spark: SparkSession) -> None:
@@ -78,11 +78,23 @@ def crossing_free_chunks(text: bytes, word_level: bool) -> list[bytes]:
     return SPACED_CHUNK.findall(text)
 
 
+# Letters of which every version of Unicode says the same, alone or with plain marks behind them: no rule of either
+# file splits the letters, or joins them with the marks.
+PLAIN_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def byte_characters() -> dict[int, str]:
+    """Characters that byte-level vocabularies write for bytes: the visible ones of Latin-1, and from 256 on for the rest."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class CachedTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit integers, with the ids of chunks kept.
 
-    Strings that name special tokens are ordinary text. Texts that hold chunks not
-    seen before have those encoded by the library in one call.
+    Strings that name special tokens are ordinary text. Chunks not seen before go to the
+    library: plain words straight to its model, the others through all its steps.
     """
 
     def __init__(self, path: str):
@@ -90,22 +102,43 @@ class CachedTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.word_level = self.library.normalizer is not None
+        self.characters = byte_characters()
         self.known: dict[bytes, bytes] = {}
 
+    def _plain(self, piece: str) -> list[int]:
+        if self.word_level:
+            piece = piece.lower()
+        if not piece.isascii() or " " in piece:
+            piece = piece.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(piece)]
+
     def learn(self, chunks: list[bytes]) -> None:
-        found = self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(chunks, found))
+        others = []
+        for chunk in chunks:
+            text = chunk.decode()
+            if m := PLAIN_WORD.fullmatch(text):
+                word, marks = m.groups()
+                ids = self._plain(word) + self._plain(marks) if marks else self._plain(word)
+                self.known[chunk] = array("I", ids).tobytes()
+            else:
+                others.append((chunk, text))
+        if others:
+            found = self.library.encode_batch_fast([t for _, t in others], add_special_tokens=False)
+            self.known.update((c, array("I", e.ids).tobytes()) for (c, _), e in zip(others, found))
 
     def encode(self, text: bytes | None) -> bytes:
         chunks = crossing_free_chunks(text or b"", self.word_level)
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            self.learn(new)
-        return b"".join(map(known.__getitem__, chunks))
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            new = {c for c, found in zip(chunks, ids) if found is None}
+            if len(self.known) > CACHED_CHUNKS:
+                self.known.clear()
+                new.update(chunks)
+            self.learn(list(new))
+            ids = map(self.known.__getitem__, chunks)
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=4)
