@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrisk.llm import binary_ids, chat, decontaminate, langid, packing, quality, secrets, substrings
+from payrisk.llm import binary_ids, chat, decontaminate, jaccard, langid, packing, quality, secrets, substrings
 from payrisk.llm.common import read_table, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,38 @@ def op8_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
     return binary_ids.read_ids(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.join_documents(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, w[p : p + 4] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM worded WHERE len(w) > 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM worded
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -148,8 +180,9 @@ def queries() -> dict[str, Query]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_language_id": op7_language_id,
         "op8_binary_ids": op8_binary_ids,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
