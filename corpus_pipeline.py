@@ -1,21 +1,47 @@
-"""From raw documents to packed training windows: filter, deduplicate, decontaminate, mask secrets, pack."""
+"""From raw documents to packed training windows: filter, join near copies, decontaminate, mask secrets, pack."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from payrisk.llm import packing
+from payrisk.llm import decontaminate, jaccard, packing, quality, secrets
 from payrisk.llm.common import read_table, store
 from payrisk.llm.queries import WORD_BPE, WORD_END
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the rules learned from ``labels``; nothing learned rejects without labels."""
+    return quality.keep_good(docs, quality.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of documents that a similarity of 0.8 of their five-word shingles links."""
+    return jaccard.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of ``benchmark``; those that consist of them for the most part go."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret replaced by its kind."""
+    return secrets.mask(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token of every document in one window of 2048, mixed by source."""
     return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE), WORD_END)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("jaccard join", join_near_copies),
+    ("decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("packing", packed),
+]
 
 # The learned rules, the guess cost and the tokenizer have no SQL form.
 ORACLE_SQL = None
@@ -24,5 +50,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

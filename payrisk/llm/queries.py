@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrisk.llm import binary_ids, chat, decontaminate, jaccard, langid, packing, quality, secrets, substrings
+from payrisk.llm import binary_ids, chat, decontaminate, jaccard, langid, licenses, packing, quality, secrets, substrings
 from payrisk.llm.common import read_table, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,12 @@ def op8_binary_ids(spark: SparkSession, folder: str) -> DataFrame:
     return binary_ids.read_ids(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.train(licenses.corpus_lines(docs)))
+    return found.select("doc.doc_id", "families", "n_notices", "score", "spans")
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.join_documents(read_table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -180,6 +186,7 @@ def queries() -> dict[str, Query]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_language_id": op7_language_id,
         "op8_binary_ids": op8_binary_ids,
+        "op9_license_scans": op9_license_scans,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
