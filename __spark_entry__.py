@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import oracle  # noqa: E402
 from payrisk import fixtures as fx  # noqa: E402
+from payrisk.operators.quantiles import exact_quantiles  # noqa: E402
 from payrisk.plans import datasets, lookup, metrics, models, quality, reports, tables  # noqa: E402
 from payrisk.schemas import MODEL_FEATURES  # noqa: E402
-from payrisk.session import scratch_path  # noqa: E402
+from payrisk.session import scratch_path, store  # noqa: E402
 from payrisk.sources import files  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +36,6 @@ if WITH_LLM:
 MIN_TRANSACTIONS = 100
 SMALL_GROUP = 150
 SMALL_DIRECT = 200
-QUERY_ROUNDS = 20
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -46,7 +47,12 @@ def on_clean(report: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, folder: report(fx.clean(spark, folder), *args, **kwargs)
 
 
-def _with_cards(build: Callable[..., DataFrame], clean: Query = fx.clean, **kwargs) -> Query:
+def on_stored_clean(report: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    """For reports that read their input more than once."""
+    return lambda spark, folder: report(fx.stored_clean(spark, folder), *args, **kwargs)
+
+
+def _with_cards(build: Callable[..., DataFrame], clean: Query = fx.stored_clean, **kwargs) -> Query:
     return lambda s, d: build(clean(s, d), fx.raw_cards(s, d), fx.raw_users(s, d), **kwargs)
 
 
@@ -70,11 +76,52 @@ def stored_table_rates(spark: SparkSession, folder: str) -> DataFrame:
     return reports.rate_by_payment_method(stored)
 
 
+def cards_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Delivered with other columns, in another order."""
+    path = scratch_path(spark, "cards-csv")
+    cards = fx.raw_cards(spark, folder)
+    files.write_csv(cards.select(F.lit("x,y").alias("card_number"), *reversed(cards.columns), F.lit(1).alias("cvv")), path)
+    return files.read_cards(spark, path)
+
+
+def users_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "users-csv")
+    users = fx.raw_users(spark, folder)
+    shuffled = ["num_credit_cards", "id", "total_debt", "credit_score", "yearly_income"]
+    files.write_csv(users.select(*shuffled, F.lit(None).cast("string").alias("address")), path)
+    return files.read_users(spark, path)
+
+
+def labels_from_json(spark: SparkSession, folder: str) -> DataFrame:
+    """All labels as one JSON document in many files, read back; a tenth of the ids has an earlier pair that does not count."""
+    path, labels = scratch_path(spark, "labels-json"), fx.raw_labels(spark, folder)
+    flipped = F.when(F.col("label") == "Yes", "No").otherwise("Yes")
+    earlier = labels.where(F.col("transaction_id") % 10 == 0).withColumn("label", flipped)
+    both = earlier.withColumn("turn", F.lit(0)).unionByName(labels.withColumn("turn", F.lit(1)))
+    place = F.struct("turn", "transaction_id").alias("place")
+    files.write_label_json(both.select("transaction_id", "label", place), path, "place")
+    return files.encode_labels(files.read_label_json(spark, path))
+
+
 def matrix_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     clean = fx.clean(spark, folder)
     return tables.model_matrix_from_tables(fx.basic(spark, folder), fx.behavior(spark, folder), clean)
 
 
+def behavior_of_fine_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Averages of amounts with many decimals, as doubles."""
+    fine = fx.stored_clean(spark, folder).withColumn("amount", F.col("amount") * 0.7310585786300049)
+    history = tables.behavior_features(fine)
+    return history.select("transaction_id", *[F.round(c, 6).alias(c) for c in history.columns if c != "transaction_id"])
+
+
+def median_by_many_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Median amount of each of many customers, by counting."""
+    orders = fx.long_period(spark, folder)
+    found = exact_quantiles(orders, {"median_amount": ("amount", 0.5)}, ["client_id"], direct_values=SMALL_DIRECT)
+    return found.select("client_id", F.round("median_amount", 6).alias("median_amount"))
+
+
 def describe_top(spark: SparkSession, folder: str) -> DataFrame:
     return reports.high_risk_category_table(
         fx.clean(spark, folder), files.category_lookup(spark), min_transactions=MIN_TRANSACTIONS
@@ -101,8 +148,9 @@ def drift(report: Callable[..., DataFrame], **kwargs) -> Query:
 
 
 def splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    matrix = fx.matrix(spark, folder)
-    recent_start, test_start = datasets.time_cutoffs(fx.clean(spark, folder))
+    """The three sets, cut from a matrix that is stored once."""
+    matrix = store(fx.matrix(spark, folder), "matrix")
+    recent_start, test_start = datasets.time_cutoffs(matrix)
     return {
         "baseline_train": datasets.baseline_train(matrix, test_start, fx.BUCKETS),
         "recent_train": datasets.recent_train(matrix, recent_start, test_start, fx.BUCKETS),
@@ -137,7 +185,48 @@ def baseline_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def recent_scores(spark: SparkSession, folder: str) -> DataFrame:
     parts = splits(spark, folder)
-    return models.score(models.fit_recent(parts["recent_train"], QUERY_ROUNDS), parts["future_test"])
+    return models.score(models.fit_recent(parts["recent_train"]), parts["future_test"])
+
+
+def baseline_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """A fit with a free intercept gives the weighted mean label as its weighted mean score."""
+    train = store(splits(spark, folder)["baseline_train"], "train")
+    scored = models.score(models.fit_baseline(train), train)
+    weighed = models.with_balanced_weight(store(scored, "scored"))
+
+    def mean(name: str):
+        return F.round(F.sum(F.col("weight") * F.col(name)) / F.sum("weight"), 4).alias(f"mean_{name}")
+
+    return weighed.agg(F.count(F.lit(1)).alias("rows"), F.sum("is_fraud").alias("fraud_cases"), mean("is_fraud"), mean("score"))
+
+
+def recent_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes, and what any sound fit of the trees has to show on its own train set."""
+    train = store(splits(spark, folder)["recent_train"], "train")
+    scored = models.with_fraud_weight(store(models.score(models.fit_recent(train), train), "scored"))
+    fraud = F.col("is_fraud") == 1
+    sizes = scored.agg((F.sum(F.when(fraud, F.col("weight"))) / F.sum("weight")).alias("share")).first()
+    near = F.greatest(F.least("score", F.lit(1 - 1e-9)), F.lit(1e-9))
+    loss = F.sum(-F.col("weight") * F.when(fraud, F.log(near)).otherwise(F.log(1 - near)))
+    constant = F.sum(-F.col("weight") * F.when(fraud, F.lit(log(sizes["share"]))).otherwise(F.lit(log(1 - sizes["share"]))))
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("is_fraud").alias("fraud_cases"),
+        F.min(F.col("score").between(0, 1)).alias("scores_in_range"),
+        F.min((F.col("predicted") == 1) == (F.col("score") >= models.THRESHOLD)).alias("decisions_match"),
+        (loss < constant).alias("better_than_constant"),
+    )
+
+
+def saved_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of a fitted model beside those of the same model saved and loaded."""
+    parts, path = splits(spark, folder), scratch_path(spark, "model")
+    model = models.fit_baseline(parts["baseline_train"])
+    models.save_model(model, path)
+    first, second = (models.score(m, parts["future_test"]) for m in (model, models.load_model(path)))
+    again = second.select(F.col("transaction_id").alias("_id"), F.col("score").alias("_score"))
+    both = first.join(again, F.col("transaction_id") == F.col("_id"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score") != F.col("_score")).alias("rows_that_differ"))
 
 
 def evaluated(scores: Query) -> Query:
@@ -167,15 +256,23 @@ def own_queries() -> dict[str, Query]:
         "transactions_clean_from_csv": clean_from_csv,
         "stored_table_rates": stored_table_rates,
         "fraud_labels": fx.labels,
+        "labels_from_json": labels_from_json,
+        "cards_from_csv": cards_from_csv,
+        "users_from_csv": users_from_csv,
         "model_features_basic": _with_cards(tables.model_features_basic),
         "model_features_basic_hot_keys": _skewed(tables.model_features_basic),
-        "behavior_features": on_clean(tables.behavior_features),
+        "behavior_features": on_stored_clean(tables.behavior_features, decimals=fx.DECIMALS),
+        "behavior_features_any_decimals": behavior_of_fine_amounts,
         "behavior_features_hot_keys": lambda s, d: tables.behavior_features(
-            fx.clean_skewed(s, d), max_group_rows=SMALL_GROUP
+            fx.clean_skewed(s, d), max_group_rows=SMALL_GROUP, decimals=fx.DECIMALS
+        ),
+        "behavior_features_long_period": lambda s, d: tables.behavior_features(
+            fx.long_period(s, d), decimals=fx.DECIMALS
+        ),
+        "model_matrix": _with_cards(tables.model_matrix, decimals=fx.DECIMALS),
+        "model_matrix_hot_keys": _with_cards(
+            tables.model_matrix, clean=fx.clean_skewed, max_group_rows=SMALL_GROUP, decimals=fx.DECIMALS
         ),
-        "behavior_features_long_period": lambda s, d: tables.behavior_features(fx.long_period(s, d)),
-        "model_matrix": _with_cards(tables.model_matrix),
-        "model_matrix_hot_keys": _skewed(tables.model_matrix),
         "model_matrix_from_tables": matrix_from_tables,
         # Checks and previews
         "label_summary": lambda s, d: quality.label_summary(fx.raw_labels(s, d)),
@@ -187,13 +284,16 @@ def own_queries() -> dict[str, Query]:
         "feature_table_check": lambda s, d: quality.feature_table_check(fx.basic(s, d)),
         "behavior_row_count": lambda s, d: quality.row_count(fx.behavior(s, d)),
         "join_coverage": _with_cards(quality.join_coverage),
+        "join_coverage_hot_keys": _skewed(quality.join_coverage),
         "connected_transactions": _with_cards(quality.connected_transactions),
         "connected_transactions_hot_keys": _skewed(quality.connected_transactions),
         "connected_preview": _with_cards(quality.connected_preview),
         "clean_preview": on_clean(quality.clean_preview),
         "feature_preview": lambda s, d: quality.feature_preview(fx.basic(s, d)),
         "behavior_preview": lambda s, d: quality.behavior_preview(fx.behavior(s, d)),
-        "transaction_investigation": lambda s, d: lookup.investigate(fx.clean(s, d), fx.behavior(s, d), 842),
+        "transaction_investigation": lambda s, d: lookup.investigate_payment(
+            files.replace_table(fx.clean(s, d), scratch_path(s, "clean"), sort_by="transaction_id"), 842
+        ),
         # Fraud rates, amounts, drift
         "overall_summary": on_clean(reports.overall_rate),
         "dashboard_summary": on_clean(reports.dashboard_summary),
@@ -205,14 +305,15 @@ def own_queries() -> dict[str, Query]:
         "rate_by_month": lambda s, d: reports.rate_by_month(fx.long_period(s, d)),
         "high_risk_mcc_top": on_clean(reports.high_risk_categories, min_transactions=MIN_TRANSACTIONS),
         "high_risk_mcc_described": describe_top,
-        "amount_stats_by_label": on_clean(reports.amount_by_label),
-        "amount_stats_narrowed": on_clean(reports.amount_by_label, direct_values=SMALL_DIRECT),
+        "amount_stats_by_label": on_stored_clean(reports.amount_by_label),
+        "amount_stats_narrowed": on_stored_clean(reports.amount_by_label, direct_values=SMALL_DIRECT),
         "behavior_median_by_label": ratios,
+        "median_by_many_groups": median_by_many_groups,
         "drift_overall": drift(reports.drift_overall),
         "drift_payment_method": drift(reports.drift_by_payment_method),
         "drift_amount": drift(reports.drift_of_amount),
         "drift_amount_narrowed": drift(reports.drift_of_amount, direct_values=SMALL_DIRECT),
-        "time_quantile_cutoffs": on_clean(cutoffs),
+        "time_quantile_cutoffs": on_stored_clean(cutoffs),
         "time_quantile_cutoffs_narrowed": lambda s, d: cutoffs(fx.long_period(s, d), direct_values=SMALL_DIRECT),
         # Data sets and model inputs
         "baseline_train_set": lambda s, d: splits(s, d)["baseline_train"],
@@ -221,7 +322,7 @@ def own_queries() -> dict[str, Query]:
         "split_counts": split_counts,
         "median_imputed_features": imputed,
         "standard_scaled_features": scaled,
-        "balanced_class_weights": on_clean(models.balanced_class_weights),
+        "balanced_class_weights": on_stored_clean(models.balanced_class_weights),
         "fraud_sample_weights": lambda s, d: models.with_fraud_weight(
             fx.clean(s, d).select("transaction_id", "is_fraud")
         ),
@@ -230,6 +331,9 @@ def own_queries() -> dict[str, Query]:
         "recent_model_scores": recent_scores,
         "baseline_model_evaluation": evaluated(baseline_scores),
         "recent_model_evaluation": evaluated(recent_scores),
+        "baseline_model_balance": baseline_balance,
+        "recent_model_check": recent_check,
+        "saved_model_scores": saved_model_scores,
         "threshold_decision": lambda s, d: metrics.decide(fx.scored(s, d)),
         "confusion_matrix": on_scored(metrics.confusion_matrix),
         "classification_report": on_scored(metrics.classification_report),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payrisk import fixtures as fx
+from payrisk.operators.quantiles import exact_quantiles
 from payrisk.plans import datasets, lookup, metrics, models, quality, reports, tables
 from payrisk.session import build_session, scratch_path
 from payrisk.sources import files
@@ -47,13 +48,13 @@ def main() -> None:
     raw = save(fx.raw_transactions(spark, folder), "raw")
     raw_labels = save(fx.raw_labels(spark, folder), "labels")
     cards, users = save(fx.raw_cards(spark, folder), "cards"), save(fx.raw_users(spark, folder), "users")
-    orders = save(fx.long_period(spark, folder), "orders")
+    orders, skewed = save(fx.long_period(spark, folder), "orders"), save(fx.clean_skewed(spark, folder), "skewed")
 
     labels = build("fraud_labels", lambda: files.encode_labels(raw_labels))
     clean = build("transactions_clean", lambda: tables.transactions_clean(raw, labels))
     basic = build("model_features_basic", lambda: tables.model_features_basic(clean, cards, users))
-    behavior = build("behavior_features", lambda: tables.behavior_features(clean))
-    matrix = build("model_matrix", lambda: tables.model_matrix(clean, cards, users))
+    behavior = build("behavior_features", lambda: tables.behavior_features(clean, decimals=fx.DECIMALS))
+    matrix = build("model_matrix", lambda: tables.model_matrix(clean, cards, users, decimals=fx.DECIMALS))
 
     run("overall_summary", lambda: reports.overall_rate(clean))
     run("rate_by_payment_method", lambda: reports.rate_by_payment_method(clean))
@@ -66,6 +67,18 @@ def main() -> None:
     run("behavior_median_by_label", lambda: reports.ratio_by_label(basic, behavior))
     run("join_coverage", lambda: quality.join_coverage(clean, cards, users))
     run("transaction_investigation", lambda: lookup.investigate(clean, behavior, 842))
+    by_id = build("clean_sorted", lambda: clean.repartitionByRange("transaction_id").sortWithinPartitions("transaction_id"))
+    run("investigation_sorted", lambda: lookup.investigate_payment(by_id, 842))
+    wide = 500  # lowered, so that the paths for heavy keys and large tables run
+    run("behavior_features_hot_keys", lambda: tables.behavior_features(skewed, decimals=fx.DECIMALS, max_group_rows=wide))
+    run("model_matrix_hot_keys", lambda: tables.model_matrix(skewed, cards, users, decimals=fx.DECIMALS, max_group_rows=wide))
+    run("amount_stats_narrowed", lambda: reports.amount_by_label(clean, direct_values=wide))
+    run("median_by_many_groups", lambda: exact_quantiles(orders, {"m": ("amount", 0.5)}, ["client_id"], direct_values=wide))
+    csv, document = scratch_path(spark, "csv"), scratch_path(spark, "json")
+    files.write_csv(raw, csv)
+    files.write_label_json(raw_labels, document, "transaction_id")
+    run("transactions_csv", lambda: files.read_transactions(spark, csv))
+    run("labels_json", lambda: files.read_label_json(spark, document))
     run("drift_payment_method", lambda: reports.drift_by_payment_method(orders, datasets.time_cutoffs(orders)[1]))
     run("drift_amount", lambda: reports.drift_of_amount(orders, datasets.time_cutoffs(orders)[1]))
 
@@ -77,6 +90,15 @@ def main() -> None:
     run("recent_train_set", lambda: datasets.recent_train(matrix, recent_start, test_start))
     run("column_medians", lambda: models.column_medians(datasets.recent_train(matrix, recent_start, test_start)))
 
+    past, recent = datasets.baseline_train(matrix, test_start), datasets.recent_train(matrix, recent_start, test_start)
+    future = datasets.future_test(matrix, test_start)
+    for name, fit, train in (("baseline", models.fit_baseline, past), ("recent", models.fit_recent, recent)):
+        start = time.perf_counter()
+        model = fit(train)
+        seconds[f"fit_{name}"] = round(time.perf_counter() - start, 3)
+        run(f"score_{name}", lambda: models.score(model, future))
+        run(f"evaluate_{name}", lambda: models.evaluate(models.score(model, future)))
+
     bucket = (F.xxhash64("transaction_id") % 1_000_000).cast("double") / 1_000_000
     scored = save(clean.select("transaction_id", "is_fraud", F.abs(bucket).alias("score")), "scored")
     run("classification_report", lambda: metrics.classification_report(metrics.decide(scored)))

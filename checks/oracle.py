@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from payrisk.functions.mcc import MCC_DESCRIPTIONS
-from payrisk.schemas import MODEL_FEATURES
+from payrisk.schemas import BEHAVIOR_COLUMNS, MODEL_FEATURES
 
 PLAIN = "replace(format('{:,.2f}', value), ',', '')"
 
@@ -43,27 +43,27 @@ raw_transactions AS (
          CASE event_id % 3 WHEN 0 THEN '   ' WHEN 1 THEN '' ELSE 'Bad PIN,Insufficient Balance' END END AS errors
   FROM events),
 raw_labels AS (
-  SELECT event_id AS transaction_id,
+  SELECT CASE WHEN event_id % 10 = 9 THEN event_id + 1000000000 ELSE event_id END AS transaction_id,
     CASE WHEN {bucket('event_id')} <
          CASE WHEN event_type = 'click' AND ts < TIMESTAMP '2024-01-20' THEN 12
               WHEN event_type = 'view' AND ts >= TIMESTAMP '2024-01-20' THEN 15 ELSE 2 END
          THEN 'Yes' ELSE 'No' END AS label
-  FROM events WHERE event_id % 10 <> 9),
+  FROM events),
 fraud_labels AS (
   SELECT transaction_id, cast(CASE WHEN label = 'Yes' THEN 1 ELSE 0 END AS BIGINT) AS is_fraud FROM raw_labels),
 raw_cards AS (
-  SELECT p_partkey AS id, p_brand AS card_brand, p_type AS card_type,
+  SELECT CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 1000000000 ELSE p_partkey END AS id, p_brand AS card_brand, p_type AS card_type,
     CASE WHEN p_size > 10 THEN 'YES' ELSE 'NO' END AS has_chip,
     CASE WHEN p_partkey % 25 = 0 THEN 'Yes' ELSE 'No' END AS card_on_dark_web,
     CASE WHEN p_partkey % 50 = 7 THEN '$0'
          ELSE '$' || format('{{:,.2f}}', p_retailprice * 10) END AS credit_limit
-  FROM part WHERE p_partkey % 10 <> 3),
+  FROM part),
 raw_users AS (
-  SELECT c_custkey AS id, cast(300 + (c_custkey * 37) % 550 AS INTEGER) AS credit_score,
+  SELECT CASE WHEN c_custkey % 50 = 49 THEN c_custkey + 1000000000 ELSE c_custkey END AS id, cast(300 + (c_custkey * 37) % 550 AS INTEGER) AS credit_score,
     '$' || format('{{:,.2f}}', abs(c_acctbal) * 100) AS yearly_income,
     '$' || format('{{:,.2f}}', abs(c_acctbal) * 10) AS total_debt,
     cast(1 + c_custkey % 7 AS INTEGER) AS num_credit_cards
-  FROM customer WHERE c_custkey % 50 <> 49)"""
+  FROM customer)"""
 
 CLEAN = RAW + """,
 transactions_clean AS (
@@ -159,6 +159,19 @@ dated AS (
                  THEN 'TRAIN - Past' ELSE 'TEST - Future' END AS dataset
   FROM transactions_clean)"""
 
+FINE_FRAME = "ORDER BY transaction_time, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+FINE_HISTORY = f"""
+fine_averages AS (
+  SELECT transaction_id, abs(amount * 0.7310585786300049::DOUBLE) AS size,
+    avg(abs(amount * 0.7310585786300049::DOUBLE)) OVER (PARTITION BY client_id {FINE_FRAME}) AS customer_previous_avg,
+    avg(abs(amount * 0.7310585786300049::DOUBLE)) OVER (PARTITION BY card_id {FINE_FRAME}) AS card_previous_avg
+  FROM transactions_clean),
+fine_features AS (
+  SELECT transaction_id, customer_previous_avg, card_previous_avg,
+    CASE WHEN customer_previous_avg > 0 THEN size / customer_previous_avg END AS amount_vs_customer_avg,
+    CASE WHEN card_previous_avg > 0 THEN size / card_previous_avg END AS amount_vs_card_avg
+  FROM fine_averages)"""
+
 SCORED = CLEAN + f""",
 scored AS (
   SELECT transaction_id, is_fraud,
@@ -334,11 +347,7 @@ WHERE h.amount_vs_customer_avg IS NOT NULL AND h.amount_vs_card_avg IS NOT NULL
         "drift_amount_narrowed": query(LONG, DRIFT_AMOUNT),
         "time_quantile_cutoffs": query(CLEAN, CUTOFFS),
         "time_quantile_cutoffs_narrowed": query(LONG, CUTOFFS),
-        "join_coverage": query(
-            CLEAN,
-            """SELECT count(*) AS total_transactions, count(c.id) AS card_matches, count(u.id) AS customer_matches
-FROM transactions_clean t LEFT JOIN raw_cards c ON t.card_id = c.id LEFT JOIN raw_users u ON t.client_id = u.id""",
-        ),
+        "join_coverage": query(CLEAN, COVERAGE),
         "connected_transactions": query(CLEAN, CONNECTED),
         "connected_transactions_hot_keys": skewed(query(CLEAN, CONNECTED)),
         "connected_preview": query(CLEAN, CONNECTED + " ORDER BY t.transaction_id LIMIT 10"),
@@ -360,6 +369,31 @@ FROM model_features_basic ORDER BY transaction_id LIMIT 10""",
   round(amount_vs_card_avg, 2) AS amount_vs_card_avg
 FROM behavior_features WHERE customer_previous_avg IS NOT NULL ORDER BY transaction_id LIMIT 10""",
         ),
+        "labels_from_json": query(RAW, "SELECT * FROM fraud_labels"),
+        "cards_from_csv": query(RAW, "SELECT * FROM raw_cards"),
+        "users_from_csv": query(RAW, "SELECT * FROM raw_users"),
+        "join_coverage_hot_keys": skewed(query(CLEAN, COVERAGE)),
+        "median_by_many_groups": query(
+            LONG, "SELECT client_id, round(quantile_cont(amount, 0.5), 6) AS median_amount FROM transactions_clean GROUP BY client_id"
+        ),
+        "behavior_features_any_decimals": query(
+            CLEAN + "," + FINE_HISTORY,
+            "SELECT transaction_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in BEHAVIOR_COLUMNS[1:]) + " FROM fine_features",
+        ),
+        "baseline_model_balance": query(
+            MATRIX,
+            """SELECT count(*) AS rows, cast(sum(is_fraud) AS BIGINT) AS fraud_cases, round(sum(w * is_fraud) / sum(w), 4) AS mean_is_fraud,
+  round(sum(w * is_fraud) / sum(w), 4) AS mean_score
+FROM (SELECT is_fraud, 1.0 / count(*) OVER (PARTITION BY is_fraud) AS w FROM baseline_train)""",
+        ),
+        "recent_model_check": query(
+            MATRIX,
+            """SELECT count(*) AS rows, cast(sum(is_fraud) AS BIGINT) AS fraud_cases, true AS scores_in_range,
+  true AS decisions_match, true AS better_than_constant FROM recent_train""",
+        ),
+        "saved_model_scores": query(
+            MATRIX, "SELECT count(*) AS rows, cast(0 AS BIGINT) AS rows_that_differ FROM future_test"
+        ),
         "transaction_investigation": query(
             BEHAVIOR,
             """SELECT t.transaction_id, t.transaction_time, t.amount, t.use_chip, t.merchant_id, t.mcc, t.has_error, t.is_fraud,
@@ -426,6 +460,9 @@ UNION ALL SELECT 'weighted avg', round(sum(p * s) / sum(s), 4), round(sum(r * s)
     }
 
 
+COVERAGE = """SELECT count(*) AS total_transactions, count(c.id) AS card_matches, count(u.id) AS customer_matches
+FROM transactions_clean t LEFT JOIN raw_cards c ON t.card_id = c.id LEFT JOIN raw_users u ON t.client_id = u.id"""
+
 CONNECTED = """SELECT t.transaction_id, t.amount, t.use_chip, t.client_id, c.id AS card_id, c.card_brand, c.card_type,
   c.credit_limit, c.has_chip, c.card_on_dark_web, u.credit_score, u.yearly_income
 FROM transactions_clean t LEFT JOIN raw_cards c ON t.card_id = c.id LEFT JOIN raw_users u ON t.client_id = u.id"""

@@ -1,7 +1,7 @@
 """Raw payment inputs derived from the test tables, as set out in FIXTURES.md.
 
-Every input reads its whole table. Some cards, customers and labels are missing on
-purpose, so that the joins have rows without a match.
+Every input has a row for every row of its table. Some cards, customers and labels have
+ids beyond those of the payments, so that the joins have rows without a match.
 """
 
 from __future__ import annotations
@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 from payrisk.functions.columns import hash_bucket
 from payrisk.plans import tables
+from payrisk.session import store
 from payrisk.sources.files import encode_labels
 
 BUCKETS = "md5"
 
+# Added to the ids of labels, cards and customers that no payment is to find.
+OUT_OF_REACH = 1_000_000_000
+
+# The amounts have two decimals, so averages are summed in whole cents, exactly.
+DECIMALS = 2
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -54,8 +61,8 @@ def raw_labels(spark: SparkSession, folder: str) -> DataFrame:
     later = F.lit("2024-01-20").cast("timestamp_ntz")
     share = F.when((kind == "click") & (time < later), 12).when((kind == "view") & (time >= later), 15).otherwise(2)
     label = F.when(hash_bucket(number, BUCKETS) < share, "Yes").otherwise("No")
-    events = _table(spark, folder, "events").where(number % 10 != 9)
-    return events.select(number.alias("transaction_id"), label.alias("label"))
+    known = F.when(number % 10 == 9, number + OUT_OF_REACH).otherwise(number)
+    return _table(spark, folder, "events").select(known.alias("transaction_id"), label.alias("label"))
 
 
 def raw_cards(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,9 +70,8 @@ def raw_cards(spark: SparkSession, folder: str) -> DataFrame:
     limit = F.concat(F.lit("$"), F.format_number(F.col("p_retailprice") * 10, 2))
     return (
         _table(spark, folder, "part")
-        .where(number % 10 != 3)
         .select(
-            number.alias("id"),
+            F.when(number % 10 == 3, number + OUT_OF_REACH).otherwise(number).alias("id"),
             F.col("p_brand").alias("card_brand"),
             F.col("p_type").alias("card_type"),
             F.when(F.col("p_size") > 10, "YES").otherwise("NO").alias("has_chip"),
@@ -83,9 +89,8 @@ def raw_users(spark: SparkSession, folder: str) -> DataFrame:
 
     return (
         _table(spark, folder, "customer")
-        .where(number % 50 != 49)
         .select(
-            number.alias("id"),
+            F.when(number % 50 == 49, number + OUT_OF_REACH).otherwise(number).alias("id"),
             (300 + (number * 37) % 550).cast("int").alias("credit_score"),
             dollars(balance * 100).alias("yearly_income"),
             dollars(balance * 10).alias("total_debt"),
@@ -102,25 +107,33 @@ def clean(spark: SparkSession, folder: str) -> DataFrame:
     return tables.transactions_clean(raw_transactions(spark, folder), labels(spark, folder))
 
 
+def stored_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean table as a user would have it: written once, whatever reads it and however often."""
+    return store(clean(spark, folder), "clean")
+
+
 def clean_skewed(spark: SparkSession, folder: str) -> DataFrame:
     """The clean table with a large part of all rows on one customer, one card and no card."""
     kind = F.col("use_chip")
-    return clean(spark, folder).withColumns({
+    skewed = clean(spark, folder).withColumns({
         "client_id": F.when(kind == "Online Transaction", 1).otherwise(F.col("client_id")),
         "card_id": F.when(kind == "Chip Transaction", 7).when(kind != "Swipe Transaction", F.col("card_id")),
     })
+    return store(skewed, "clean-skewed")
 
 
 def basic(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.model_features_basic(clean(spark, folder), raw_cards(spark, folder), raw_users(spark, folder))
+    return tables.model_features_basic(stored_clean(spark, folder), raw_cards(spark, folder), raw_users(spark, folder))
 
 
 def behavior(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.behavior_features(clean(spark, folder))
+    return tables.behavior_features(stored_clean(spark, folder), decimals=DECIMALS)
 
 
 def matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.model_matrix(clean(spark, folder), raw_cards(spark, folder), raw_users(spark, folder))
+    return tables.model_matrix(
+        stored_clean(spark, folder), raw_cards(spark, folder), raw_users(spark, folder), decimals=DECIMALS
+    )
 
 
 def long_period(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +143,7 @@ def long_period(spark: SparkSession, folder: str) -> DataFrame:
     turn = F.lit("1999-01-01").cast("timestamp_ntz")
     share = F.when(urgent & (time < turn), 20).when(high & (time >= turn), 25).otherwise(3)
     method = F.when(urgent, "Online Transaction").when(high, "Chip Transaction").otherwise("Swipe Transaction")
-    return _table(spark, folder, "orders").select(
+    orders = _table(spark, folder, "orders").select(
         number.alias("transaction_id"),
         time.cast("timestamp_ntz").alias("transaction_time"),
         F.col("o_custkey").alias("client_id"),
@@ -139,6 +152,7 @@ def long_period(spark: SparkSession, folder: str) -> DataFrame:
         method.alias("use_chip"),
         F.when(hash_bucket(number, BUCKETS) < share, 1).otherwise(0).cast("bigint").alias("is_fraud"),
     )
+    return store(orders, "long-period")
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,22 +10,25 @@ from payrisk.operators.skew import MAX_GROUP_ROWS, HotKeys, apart
 
 ORDER = ["transaction_time", "transaction_id"]
 
+# A double holds whole numbers up to this one; and how far it may be from a whole number of units, relatively.
+MAX_UNITS, UNIT_ERROR = float(1 << 53), 1e-12
+
 
 def add_prior_average(
     df: DataFrame,
     key: str,
     output: str,
     *,
-    decimals: int | None = 2,
+    decimals: int | None = None,
     hot: HotKeys | None = None,
     rows_per_block: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Adds ``output``: mean absolute amount over the key's payments strictly before this one.
 
     Payments are ordered by (time, id); those without an amount are skipped; the
-    first one of a key has no average. Amounts with at most ``decimals`` decimals
-    are summed as whole units, which makes the result independent of how rows are
-    spread over tasks. ``decimals=None`` sums doubles, for amounts of any precision.
+    first one of a key has no average. Amounts are averaged as doubles. Given ``decimals``, they
+    are summed as whole units of so many decimals, which is exact and independent of how rows are
+    spread over tasks; an amount that has more decimals, or is too large for it, fails the run.
 
     Keys in ``hot`` hold more rows than one task should see; they are cut into
     blocks, all other keys use one window.
@@ -38,7 +41,7 @@ def add_prior_average(
     )
 
 
-def prior_average(df: DataFrame, key: str, output: str, decimals: int | None = 2) -> DataFrame:
+def prior_average(df: DataFrame, key: str, output: str, decimals: int | None = None) -> DataFrame:
     """One window per key."""
     earlier = (
         Window.partitionBy(key)
@@ -64,8 +67,13 @@ def prior_average_in_blocks(
 def _sized(df: DataFrame, decimals: int | None) -> DataFrame:
     if decimals is None:
         return df.withColumn("_size", F.col("absolute_amount").cast("double"))
-    units = F.round(F.col("absolute_amount") * F.lit(float(10**decimals)))
-    return df.withColumn("_size", units.try_cast("bigint"))
+    amount = F.col("absolute_amount").cast("double")
+    scaled = amount * F.lit(float(10**decimals))
+    units = F.round(scaled)
+    fits = (F.abs(scaled - units) <= F.lit(UNIT_ERROR) * F.greatest(units, F.lit(1.0))) & (units < F.lit(MAX_UNITS))
+    refused = F.raise_error(F.concat(F.lit(f"an amount does not have {decimals} decimals or is too large: "), amount))
+    exact = F.when(amount.isNull(), F.lit(None)).when(fits, units.cast("bigint")).otherwise(refused.cast("bigint"))
+    return df.withColumn("_size", exact)
 
 
 def _average(total: Column, count: Column, decimals: int | None) -> Column:

@@ -9,6 +9,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from payrisk.operators.running import prior_totals
 from payrisk.session import store
 
 # The built-in exact percentile keeps all distinct values in one task's memory; it
@@ -21,8 +22,8 @@ DISTINCT_MARGIN = 1.25
 # Accuracy of the sketches that bracket a rank on larger tables.
 SKETCH_ACCURACY = 10_000
 
-# One aggregate expression is built per group, column and rank.
-MAX_GROUPS = 64
+# Narrowing builds one aggregate expression per group, column and rank; with more groups, values are counted instead.
+FEW_GROUPS = 64
 
 
 def exact_quantiles(
@@ -40,18 +41,19 @@ def exact_quantiles(
     interval around each wanted rank is narrowed: a sketch proposes two values
     near it, one counting pass tells on which side the rank lies, and only when
     few rows remain between them are those ordered. Nothing is shuffled but
-    sketches, counts and those few rows.
+    sketches, counts and those few rows. With many groups the rows of each distinct value are
+    counted, and running counts show which values hold the wanted ranks.
     """
     by = by or []
     columns = sorted({column for column, _ in wanted.values()})
-    if df.count() * len(columns) <= direct_values:
-        return _percentiles(df, wanted, by)
-    rows = store(df.select(*by, *columns), "quantile-values")
+    rows = store(df.select(*by, *columns), "quantile-values")  # the input is computed once
+    if rows.count() * len(columns) <= direct_values:
+        return _percentiles(rows, wanted, by)
     sizes = [F.count(c).alias(f"_n_{c}") for c in columns]
     distinct = [F.approx_count_distinct(c).alias(f"_d_{c}") for c in columns]
-    groups = rows.groupBy(*by).agg(*sizes, *distinct).limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"exact quantiles of a large table support at most {MAX_GROUPS} groups")
+    groups = rows.groupBy(*by).agg(*sizes, *distinct).limit(FEW_GROUPS + 1).collect()
+    if len(groups) > FEW_GROUPS:
+        return _by_counting(rows, wanted, by, columns)
     if sum(g[f"_d_{c}"] for g in groups for c in columns) * DISTINCT_MARGIN <= direct_values:
         return _percentiles(rows, wanted, by)
     return _by_narrowing(rows, wanted, by, groups, direct_values)
@@ -61,6 +63,44 @@ def _percentiles(df: DataFrame, wanted: dict, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.percentile(c, fraction).alias(name) for name, (c, fraction) in wanted.items()])
 
 
+def _by_counting(rows: DataFrame, wanted: dict, by: list[str], columns: list[str]) -> DataFrame:
+    """Any number of groups: the values around each rank are found by running counts over the distinct values."""
+    keys = [f"_by{i}" for i in range(len(by))]
+    named = rows.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *[F.col(c).cast("double").alias(c) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(i).alias("_column"), F.col(c).alias("_value")) for i, c in enumerate(columns)])
+    long = named.select(*keys, F.inline(pairs)).where(F.col("_value").isNotNull())
+    counts = store(long.groupBy(*keys, "_column", "_value").agg(F.count(F.lit(1)).alias("_n")), "quantile-counts")
+    group = [*keys, "_column"]
+    sizes = store(counts.groupBy(*group).agg(F.sum("_n").alias("_size")), "quantile-sizes")
+    totals = prior_totals(counts, group, ["_value"], ["_n"], counts.count(), sizes.count())
+
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("_wanted"), F.lit(columns.index(c)).alias("_of"), F.lit(float(fraction)).alias("_fraction"))
+        for i, (c, fraction) in enumerate(wanted.values())
+    ])
+    ranks = sizes.select(*[F.col(k).alias(f"r{k}") for k in group], "_size", F.inline(asked)).where("r_column = _of")
+    position = (F.col("_size") - 1) * F.col("_fraction")
+    ranks = ranks.withColumns({"_position": position, "_below": F.floor(position), "_above": F.ceil(position)})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in group])
+
+    def value_at(rank: str) -> Column:
+        inside = (F.col("prior__n") <= F.col(rank)) & (F.col(rank) < F.col("prior__n") + F.col("_n"))
+        return F.max(F.when(inside, F.col("_value")))
+
+    found = totals.join(ranks, same).groupBy(*keys, "_wanted", "_position", "_below", "_above").agg(
+        value_at("_below").alias("_low"), value_at("_above").alias("_high")
+    )
+    mixed = (F.col("_above") - F.col("_position")) * F.col("_low") + (F.col("_position") - F.col("_below")) * F.col("_high")
+    value = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(mixed)
+    wide = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_wanted") == i, value)).alias(name) for i, name in enumerate(wanted)]
+    )
+    # A group whose values are all missing has a row too.
+    every = named.select(*[F.col(k).alias(f"g{k}") for k in keys]).distinct()
+    on = reduce(Column.__and__, [F.col(f"g{k}").eqNullSafe(F.col(k)) for k in keys])
+    return every.join(wide, on, "left").select(*[F.col(f"g{k}").alias(b) for b, k in zip(by, keys)], *wanted)
+
+
 @dataclass
 class _Rank:
     """A wanted rank (from 0) among the values of one column in one group."""

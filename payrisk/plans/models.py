@@ -28,8 +28,7 @@ BOOST_ROUNDS = 200
 BOOST_DEPTH = 5  # at most 32 leaves
 BOOST_BINS = 255
 MIN_LEAF_ROWS = 20
-EARLY_STOP_ROWS = 10_000  # above this, a tenth of the rows decides when to stop
-EARLY_STOP_PERCENT = 10
+STOP_TOLERANCE = 1e-7
 
 
 def column_medians(train: DataFrame, features: list[str] = MODEL_FEATURES, *, direct_values: int = DIRECT_VALUES):
@@ -71,23 +70,17 @@ def scale(df: DataFrame, scaling: dict[str, Scaling]) -> DataFrame:
 def balanced_class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """(label, weight) with weight = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    both = counts.agg(
-        F.collect_list(F.struct(label, "n")).alias("per_class"),
-        F.sum("n").alias("rows"),
-        F.count(F.lit(1)).alias("classes"),
-    )
-    return both.select("rows", "classes", F.inline("per_class")).select(
-        label, (F.col("rows").cast("double") / (F.col("classes") * F.col("n"))).alias("weight")
-    )
+    total = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(label)).alias("classes")).first()
+    share = F.lit(float(total["rows"])) / (F.lit(total["classes"]) * F.col("n"))
+    return counts.select(label, share.alias("weight"))
 
 
 def with_balanced_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:
-    """Adds ``weight`` from the class weights, of which there are two."""
-    weights = {row[label]: row["weight"] for row in balanced_class_weights(df, label).collect()}
-    chosen = F.lit(None).cast("double")
-    for value, weight in weights.items():
-        chosen = F.when(F.col(label) == value, weight).otherwise(chosen)
-    return df.withColumn("weight", chosen)
+    """Adds ``weight`` for a label of 0 and 1, from one row of counts; another label has none."""
+    n = df.agg(F.count_if(F.col(label) == 1).alias("one"), F.count_if(F.col(label) == 0).alias("zero")).first()
+    classes = (n["one"] > 0) + (n["zero"] > 0)
+    weight = {k: (n["one"] + n["zero"]) / (classes * c) if c else 0.0 for k, c in ((1, n["one"]), (0, n["zero"]))}
+    return df.withColumn("weight", F.when(F.col(label) == 1, weight[1]).when(F.col(label) == 0, weight[0]))
 
 
 def with_fraud_weight(df: DataFrame, label: str = "is_fraud", fraud_weight: float = FRAUD_WEIGHT) -> DataFrame:
@@ -127,18 +120,24 @@ def fit_baseline(train: DataFrame, max_passes: int = LINEAR_PASSES) -> PipelineM
     return Pipeline(stages=[*stages, classifier]).fit(rows)
 
 
-def fit_recent(train: DataFrame, rounds: int = BOOST_ROUNDS) -> PipelineModel:
-    """Filled, fraud-weighted gradient-boosted trees."""
+def fit_recent(
+    train: DataFrame, rounds: int = BOOST_ROUNDS, *, held_out_percent: int = 0, tolerance: float = STOP_TOLERANCE
+) -> PipelineModel:
+    """Filled, fraud-weighted gradient-boosted trees.
+
+    All rows are fitted in all rounds, however many rows there are. With ``held_out_percent`` that part of them, by a hash of
+    the id, is kept from the fit and ends it at the first round that lowers its loss by less than ``tolerance``.
+    """
     rows = with_fraud_weight(store(train, "recent-train"))
     scratch_folder(rows.sparkSession)  # the trees cut their lineage there
     classifier = GBTClassifier(
         labelCol="is_fraud", weightCol="weight", stepSize=BOOST_RATE, maxIter=rounds, maxDepth=BOOST_DEPTH,
         maxBins=BOOST_BINS, minInstancesPerNode=MIN_LEAF_ROWS, seed=SEED, checkpointInterval=10,
     )
-    if rows.count() > EARLY_STOP_ROWS:
-        held_out = c.hash_bucket(F.concat(F.lit("stop"), F.col("transaction_id").cast("string"))) < EARLY_STOP_PERCENT
+    if held_out_percent:
+        held_out = c.hash_bucket(F.concat(F.lit("stop"), F.col("transaction_id").cast("string"))) < held_out_percent
         rows = rows.withColumn("held_out", held_out)
-        classifier = classifier.setParams(validationIndicatorCol="held_out", validationTol=1e-7)
+        classifier = classifier.setParams(validationIndicatorCol="held_out", validationTol=tolerance)
     return Pipeline(stages=[*_prepare(fill_values(rows)), classifier]).fit(rows)
 
 

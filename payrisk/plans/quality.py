@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from payrisk.functions import columns as c
 from payrisk.operators.skew import MAX_GROUP_ROWS, find_hot_keys_of, left_lookups
 from payrisk.plans.tables import labelled
+from payrisk.session import store
 from payrisk.sources.files import preview
 
 
@@ -45,17 +46,20 @@ def fraud_examples(transactions: DataFrame, labels: DataFrame, n: int = 10) -> D
     return preview(labelled(transactions, labels.where(F.col("is_fraud") == 1)), "id", n)
 
 
-def join_coverage(clean: DataFrame, cards: DataFrame, users: DataFrame) -> DataFrame:
+def join_coverage(
+    clean: DataFrame, cards: DataFrame, users: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """How many transactions find their card and their customer.
 
     Transactions are first counted per (card, customer), so a busy card enters
-    the joins as one row per customer, not as all its transactions.
+    the joins as one row per customer, not as all its transactions. Pairs of a card with very many customers, or of none, do
+    not shuffle.
     """
-    pairs = clean.groupBy("card_id", "client_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = store(clean.groupBy("card_id", "client_id").agg(F.count(F.lit(1)).alias("n")), "pairs")
     card_ids = cards.select(F.col("id").alias("found_card"))
     user_ids = users.select(F.col("id").alias("found_user"))
-    joined = pairs.join(card_ids, F.col("card_id") == F.col("found_card"), "left")
-    joined = joined.join(user_ids, F.col("client_id") == F.col("found_user"), "left")
+    hot = find_hot_keys_of(pairs, ["card_id", "client_id"], max_group_rows)
+    joined = left_lookups(pairs, [(card_ids, "card_id", "found_card"), (user_ids, "client_id", "found_user")], hot)
 
     def rows_with(found: Column) -> Column:
         return F.coalesce(F.sum(F.when(found, F.col("n"))), F.lit(0).cast("bigint"))

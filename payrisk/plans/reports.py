@@ -65,12 +65,8 @@ def high_risk_categories(
 
 
 def describe_categories(ranked: DataFrame, categories: DataFrame) -> DataFrame:
-    """Adds the description of each code; unknown codes get NULL.
-
-    The look-up has one row per merchant category code, of four digits, so it
-    never exceeds 10,000 rows and can always be broadcast.
-    """
-    by_code = F.broadcast(categories.withColumnRenamed("mcc", "_code"))
+    """Adds the description of each code; unknown codes get NULL. Spark picks the join by the sizes it finds."""
+    by_code = categories.withColumnRenamed("mcc", "_code")
     return ranked.join(by_code, F.col("mcc").cast("string") == F.col("_code"), "left").drop("_code")
 
 

@@ -98,7 +98,7 @@ def model_features_basic(
 
 
 def behavior_features(
-    clean: DataFrame, *, decimals: int | None = 2, max_group_rows: int = MAX_GROUP_ROWS
+    clean: DataFrame, *, decimals: int | None = None, max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Each payment against the customer's and the card's earlier payments.
 
@@ -134,7 +134,7 @@ def model_matrix(
     cards: DataFrame,
     users: DataFrame,
     *,
-    decimals: int | None = 2,
+    decimals: int | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The same matrix in one pass over the clean table.

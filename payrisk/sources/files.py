@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from payrisk.functions.columns import yes_no_label
 from payrisk.functions.mcc import MCC_DESCRIPTIONS
@@ -16,25 +16,38 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "timestampNTZFormat": TIME_FORMAT}
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header; a quote inside a quoted field is doubled. Splits freely."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS, mode="FAILFAST").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType, *, line_breaks: bool = False) -> DataFrame:
+    """The columns of ``schema``, found by their names in the header; their order and further columns do not matter.
+
+    A quote inside a quoted field is doubled. The header of every file is checked against that of one, so files that do not
+    agree fail instead of being read by position. Files split freely; with ``line_breaks`` quoted fields may hold
+    line breaks, and each file is one task.
+    """
+    options = CSV_OPTIONS | {"multiLine": line_breaks}
+    names = spark.read.options(**options).csv(path).columns
+    missing = [f.name for f in schema if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(names)}")
+    wanted = {f.name: f for f in schema}
+    in_file = StructType([wanted.get(name, StructField(name, StringType())) for name in names])
+    rows = spark.read.schema(in_file).options(**options, mode="FAILFAST", enforceSchema=False).csv(path)
+    return rows.select(*[f.name for f in schema])
 
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, RAW_TRANSACTIONS)
+def read_transactions(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
+    return read_csv(spark, path, RAW_TRANSACTIONS, line_breaks=line_breaks)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, LABELS)
+def read_labels(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
+    return read_csv(spark, path, LABELS, line_breaks=line_breaks)
 
 
-def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, RAW_CARDS)
+def read_cards(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
+    return read_csv(spark, path, RAW_CARDS, line_breaks=line_breaks)
 
 
-def read_users(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, RAW_USERS)
+def read_users(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
+    return read_csv(spark, path, RAW_USERS, line_breaks=line_breaks)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -43,32 +56,47 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**CSV_OPTIONS, **keep_spaces).csv(path)
 
 
+# A string of a JSON document, and what may stand in a piece beside its pair.
+JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
+LABEL_PAIR = rf"{JSON_STRING}\s*:\s*{JSON_STRING}"
+LABEL_PIECE = rf'^\s*(?:\{{\s*"target"\s*:\s*\{{\s*)?(?:{LABEL_PAIR})?[\s}}]*$'
+
+
 def read_label_json(spark: SparkSession, path: str) -> DataFrame:
     """``{"target": {"<id>": "Yes" | "No", ...}}`` as (transaction_id, label).
 
     The document is one huge object, so it is not parsed as JSON: the text is cut
     at commas, which Spark can do from any offset in the file, and each piece
-    holds one pair. Ids are digits and labels hold no comma. Of a repeated id the
-    last pair counts, as in any JSON object.
+    holds one pair. A piece that is anything else, such as a label with a comma or an id that is no whole number, fails
+    the read. Of a repeated id the last pair counts, as in any JSON object.
     """
-    pair = r'"(\d+)"\s*:\s*"([^"]*)"'
     pieces = spark.read.text(path, lineSep=",").select(
-        F.regexp_extract("value", pair, 1).alias("id"),
-        F.regexp_extract("value", pair, 2).alias("label"),
+        "value",
+        F.regexp_extract("value", LABEL_PIECE, 1).alias("id"),
+        F.regexp_extract("value", LABEL_PIECE, 2).alias("label"),
         F.struct(
             F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
         ).alias("place"),
     )
-    pairs = pieces.where(F.col("id") != "").withColumn("transaction_id", F.col("id").cast("bigint"))
+    number = F.col("id").try_cast("bigint")
+    odd = ~F.col("value").rlike(LABEL_PIECE) | ((F.col("id") != "") & number.isNull())
+    plain = F.get_json_object(F.concat(F.lit('{"text":"'), F.col("label"), F.lit('"}')), "$.text")
+    pairs = pieces.where(odd | (F.col("id") != "")).select(
+        F.when(odd, F.raise_error(F.concat(F.lit("not one pair of id and label: "), F.col("value"))).cast("bigint"))
+        .otherwise(number)
+        .alias("transaction_id"),
+        F.when(F.instr("label", "\\") > 0, plain).otherwise(F.col("label")).alias("label"),
+        "place",
+    )
     return pairs.groupBy("transaction_id").agg(F.max_by("label", "place").alias("label"))
 
 
-def read_label_json_whole(spark: SparkSession, path: str) -> DataFrame:
-    """The same document read as one JSON object; for files one task can hold."""
-    document = spark.read.schema("target map<string,string>").json(path, multiLine=True)
-    pairs = document.select(F.posexplode("target").alias("place", "id", "label"))
-    by_id = pairs.groupBy(F.col("id").cast("bigint").alias("transaction_id"))
-    return by_id.agg(F.max_by("label", "place").alias("label"))
+def write_label_json(labels: DataFrame, path: str, order: str) -> None:
+    """(transaction_id, label) as the pairs of such a document, in many part files; later ones by ``order`` come last."""
+    quoted = F.to_json(F.struct("label"))
+    pair = F.concat(F.lit('"'), F.col("transaction_id"), F.lit('":'), F.regexp_extract(quoted, r'^\{"label":(.*)\}$', 1))
+    rows = labels.repartitionByRange(order).sortWithinPartitions(order).select(pair.alias("value"))
+    rows.write.mode("overwrite").text(path, lineSep=",")
 
 
 def encode_labels(labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from payrisk.operators import skew
 from payrisk.operators.history import add_prior_average
 from payrisk.operators.running import prior_totals
 from payrisk.operators.skew import find_hot_keys, find_hot_keys_of, left_lookup, split_hot
-from payrisk.plans import tables
+from payrisk.plans import lookup, tables
 
 SCHEMA = "transaction_id bigint, transaction_time timestamp_ntz, client_id bigint, card_id bigint, amount double"
 START = datetime(2024, 1, 1)
@@ -24,7 +24,7 @@ def payments(spark, items):
 
 
 def history_of(df, **kwargs):
-    return {r["transaction_id"]: r for r in tables.behavior_features(df, **kwargs).collect()}
+    return {r["transaction_id"]: r for r in tables.behavior_features(df, **({"decimals": 2} | kwargs)).collect()}
 
 
 def test_average_of_strictly_earlier_payments(spark):
@@ -100,6 +100,20 @@ def test_plain_doubles_are_an_option(spark):
         assert split[i]["customer_previous_avg"] == pytest.approx(row["customer_previous_avg"])
 
 
+def test_doubles_are_averaged_as_they_are(spark):
+    items = [(k + 1, k, 1, 1, a) for k, a in enumerate([0.004, 1.005, 2.0, 1e17, 2.0])]
+    found = history_of(payments(spark, items), decimals=None)
+    means = [found[k + 1]["customer_previous_avg"] for k in range(5)]
+    assert means[0] is None and means[1:] == pytest.approx([0.004, 0.5045, 1.003, 2.5e16], rel=1e-12)
+
+
+@pytest.mark.parametrize("amount", [0.004, 1e17, float("nan"), float("inf")])
+def test_amounts_that_do_not_fit_are_refused(spark, amount):
+    items = [(1, 0, 1, 1, 5.0), (2, 1, 1, 1, amount), (3, 2, 1, 1, 1.0)]
+    with pytest.raises(Exception, match="an amount does not have 2 decimals"):
+        history_of(payments(spark, items), decimals=2)
+
+
 def test_later_amounts_do_not_reach_back(spark):
     items = skewed(400)
     before = history_of(payments(spark, items))
@@ -154,6 +168,20 @@ def test_left_lookup_of_heavy_keys_keeps_all_rows(spark):
     assert hot is not None
 
 
+@pytest.mark.parametrize("wanted", [1, 7, 300, 10**9])
+def test_one_payment_like_its_whole_history(spark, wanted):
+    clean = payments(spark, skewed(500)).withColumns({
+        "use_chip": F.lit("x"), "merchant_id": F.lit(1), "mcc": F.lit(1), "has_error": F.lit(0), "is_fraud": F.lit(0),
+    })
+    one = lookup.investigate_payment(clean, wanted).collect()
+    whole = lookup.investigate(clean, tables.behavior_features(clean), wanted).collect()
+    assert one == whole and lookup.investigate_payment(clean, wanted).columns == whole_columns(clean)
+
+
+def whole_columns(clean):
+    return lookup.investigate(clean, tables.behavior_features(clean), 1).columns
+
+
 def test_no_window_without_a_key_on_the_plain_path(spark):
     plan = add_prior_average(
         payments(spark, skewed(10)).withColumn("absolute_amount", F.abs("amount")), "client_id", "before"

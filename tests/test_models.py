@@ -71,10 +71,10 @@ def test_model_learns_repeats_and_survives_saving(spark, planted, tmp_path, kind
     assert [r[2] for r in again] == pytest.approx([r[2] for r in first], abs=1e-9)
 
 
-def test_early_stop_rows_are_held_out(spark, planted, monkeypatch):
-    monkeypatch.setattr(models, "EARLY_STOP_ROWS", 100)
-    model = models.fit_recent(planted[0], rounds=4)
-    assert 1 <= len(model.stages[-1].trees) <= 4
+def test_early_stop_is_asked_for(spark, planted):
+    model = models.fit_recent(planted[0], rounds=4, held_out_percent=10, tolerance=0.5)
+    assert len(model.stages[-1].trees) < 4
+    assert len(models.fit_recent(planted[0], rounds=4).stages[-1].trees) == 4
 
 
 def test_medians_of_the_fixture(spark, folder):

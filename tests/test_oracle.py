@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as registry
+from checks import oracle
 from checks.compare import connect, differences
 
-QUERIES, SQL = registry.queries(), registry.oracle_sql()
+QUERIES, SQL = registry.own_queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +27,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, folder, duck, name):
     assert differences(QUERIES[name](spark, folder), duck.sql(SQL[name])) == []
+
+
+def test_all_are_registered():
+    assert set(QUERIES) <= set(registry.queries()) and set(SQL) <= set(registry.oracle_sql())

@@ -48,9 +48,28 @@ def test_group_without_values_gives_null(spark):
         assert found == {1: None, 2: 3.5}
 
 
-def test_too_many_groups_is_refused(spark):
-    with pytest.raises(ValueError):
-        exact_quantiles(spark.range(100).selectExpr("id", "id v"), {"m": ("v", 0.5)}, ["id"], direct_values=1)
+@pytest.mark.parametrize("limit", [1, 100_000])
+def test_any_number_of_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", 2)
+    rows, df = table(spark, 2000, 5)
+    rows.append((7, None, None))
+    df = df.union(spark.createDataFrame(rows[-1:], df.schema))
+    found = {r["g"]: r for r in exact_quantiles(df.repartition(5), WANTED, ["g"], direct_values=limit).collect()}
+    assert found.keys() == {0, 1, None, 7}
+    for g in (0, 1, None, 7):
+        for name, (column, fraction) in WANTED.items():
+            values = [r[1 if column == "tied" else 2] for r in rows if r[0] == g]
+            values = [v for v in values if v is not None]
+            expected = np.quantile(values, fraction) if values else None
+            assert found[g][name] == (pytest.approx(expected, rel=1e-12) if values else None), (g, name)
+
+
+def test_thousand_groups_like_the_built_in(spark):
+    df = spark.range(5000).selectExpr("id % 1000 AS k", "double(id * 7919 % 5000) AS v")
+    small, large = (
+        {r["k"]: r["m"] for r in exact_quantiles(df, {"m": ("v", 0.5)}, ["k"], direct_values=n).collect()} for n in (10, 10**6)
+    )
+    assert small == large and len(small) == 1000
 
 
 def test_time_quantiles_on_both_paths(spark):

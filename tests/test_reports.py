@@ -1,12 +1,15 @@
 """Reports, drift, look-up and data-set invariants."""
 
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from payrisk import fixtures as fx
 from payrisk.plans import datasets, lookup, quality, reports, tables
 from payrisk.schemas import MODEL_FEATURES
+from payrisk.session import scratch_scope, store
 from payrisk.sources import files
 
 
@@ -60,7 +63,7 @@ def test_coverage_counts_repeated_lookup_rows_as_the_joins_would(spark):
 
 def test_both_ways_to_the_model_matrix_agree(spark, folder):
     clean, cards, users = fx.clean(spark, folder), fx.raw_cards(spark, folder), fx.raw_users(spark, folder)
-    one_pass = tables.model_matrix(clean, cards, users)
+    one_pass = tables.model_matrix(clean, cards, users, decimals=fx.DECIMALS)
     joined = tables.model_matrix_from_tables(fx.basic(spark, folder), fx.behavior(spark, folder), clean)
     assert one_pass.columns == joined.columns == ["transaction_id", "transaction_time", *MODEL_FEATURES, "is_fraud"]
     key = lambda r: r["transaction_id"]
@@ -110,3 +113,23 @@ def test_previews_are_ordered_and_bounded(spark, folder):
     shown = quality.clean_preview(fx.clean(spark, folder).repartition(5))
     ids = [r["transaction_id"] for r in shown.collect()]
     assert ids == sorted(ids) and len(ids) == 10
+
+
+def test_look_up_pushes_its_filters_and_needs_no_window(spark, folder, tmp_path):
+    clean = files.replace_table(fx.clean(spark, folder), str(tmp_path / "clean"), sort_by="transaction_id")
+    plan = lookup.investigate_payment(clean, 842)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "EqualTo(transaction_id,842)" in plan
+
+
+def test_windows_run_once_for_all_three_sets(spark, folder):
+    for part in registry.splits(spark, folder).values():
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+
+
+def test_scratch_scope_removes_what_it_stored(spark):
+    with scratch_scope(spark):
+        kept = store(spark.range(5), "scoped")
+        path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)

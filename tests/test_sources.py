@@ -2,12 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from payrisk import fixtures as fx
 from payrisk.functions.mcc import MCC_DESCRIPTIONS
 from payrisk.plans import quality, tables
-from payrisk.schemas import BASIC_FEATURE_COLUMNS, CLEAN_COLUMNS
+from payrisk.schemas import BASIC_FEATURE_COLUMNS, CLEAN_COLUMNS, RAW_USERS
 from payrisk.sources import files
 
 TRANSACTIONS = '''id,date,client_id,card_id,amount,use_chip,merchant_id,merchant_city,merchant_state,zip,mcc,errors
@@ -74,11 +75,57 @@ def test_cards_and_users_csv_and_missing_matches(spark, tmp_path):
     assert (three["is_refund"], three["absolute_amount"], three["credit_score"]) == (0, None, None)
 
 
-def test_label_json_both_ways(spark, tmp_path):
+def test_label_json(spark, tmp_path):
     path = written(tmp_path / "l.json", '{"target": {"11":"Yes","12":"No", "13" : "yes"}}')
-    for read in (files.read_label_json, files.read_label_json_whole):
-        found = files.encode_labels(read(spark, path)).orderBy("transaction_id").collect()
-        assert [tuple(r) for r in found] == [(11, 1), (12, 0), (13, 0)]
+    found = files.encode_labels(files.read_label_json(spark, path)).orderBy("transaction_id").collect()
+    assert [tuple(r) for r in found] == [(11, 1), (12, 0), (13, 0)]
+
+
+def test_label_json_keeps_every_pair(spark, tmp_path):
+    pairs = {"-12": "Yes", "0": "No", "7": 'quo"ted \\ text', "9": "é", "10": ""}
+    path = written(tmp_path / "odd.json", json.dumps({"target": pairs}, indent=1))
+    assert {r[0]: r[1] for r in files.read_label_json(spark, path).collect()} == {int(k): v for k, v in pairs.items()}
+    assert files.read_label_json(spark, written(tmp_path / "empty.json", '{"target": {}}')).count() == 0
+
+
+@pytest.mark.parametrize("pair", ['"a13": "Yes"', '"13": "Yes, no"', '"13": 1', '"13" "Yes"', '"other": {"1": "Yes"}'])
+def test_label_json_that_is_no_pair_fails(spark, tmp_path, pair):
+    path = written(tmp_path / "bad.json", '{"target": {"1": "Yes", ' + pair + ', "2": "No"}}')
+    with pytest.raises(Exception, match="not one pair"):
+        files.read_label_json(spark, path).collect()
+
+
+def test_label_json_is_written_and_read(spark, tmp_path):
+    rows = [(k, ["Yes", 'a "b", \\ c'.replace(",", ";")][k % 2]) for k in range(50)]
+    labels = spark.createDataFrame(rows, "transaction_id bigint, label string")
+    files.write_label_json(labels, str(tmp_path / "out"), "transaction_id")
+    assert {r[0]: r[1] for r in files.read_label_json(spark, str(tmp_path / "out")).collect()} == dict(rows)
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = written(tmp_path / "u.csv", 'num_credit_cards,extra,id,"total_debt",yearly_income,credit_score\n3,"x, y",1,$5,$7,700\n')
+    assert tuple(files.read_users(spark, path).first()) == (1, 700, "$7", "$5", 3)
+    assert files.read_users(spark, path).columns == [f.name for f in RAW_USERS]
+
+
+def test_csv_without_a_column_is_refused(spark, tmp_path):
+    path = written(tmp_path / "u.csv", "id,credit_score,yearly_income,num_credit_cards\n1,700,$7,3\n")
+    with pytest.raises(ValueError, match="no column total_debt"):
+        files.read_users(spark, path)
+
+
+def test_csv_files_that_disagree_are_refused(spark, tmp_path):
+    (tmp_path / "two").mkdir()
+    written(tmp_path / "two" / "a.csv", "transaction_id,is_fraud\n1,0\n")
+    written(tmp_path / "two" / "b.csv", "is_fraud,transaction_id\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_labels(spark, str(tmp_path / "two")).collect()
+
+
+def test_csv_line_breaks_are_an_option(spark, tmp_path):
+    path = written(tmp_path / "t.csv", TRANSACTIONS.replace("Bad PIN,Insufficient", "Bad PIN\nInsufficient"))
+    rows = files.read_transactions(spark, path, line_breaks=True).orderBy("id").collect()
+    assert len(rows) == 3 and rows[1]["errors"] == "Bad PIN\nInsufficient Balance"
 
 
 def test_label_json_is_cut_anywhere_and_the_last_of_a_repeated_id_counts(spark, tmp_path):
@@ -94,7 +141,6 @@ def test_label_json_is_cut_anywhere_and_the_last_of_a_repeated_id_counts(spark,
         assert {r[0]: r[1] for r in labels.collect()} == expected
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-    assert {r[0]: r[1] for r in files.read_label_json_whole(spark, path).collect()} == expected
 
 
 def test_label_summary_counts_yes_and_no_apart(spark):
