@@ -395,9 +395,17 @@ def join_documents(
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` that have the least doc_id of their component, unchanged: one document of each group.
 
-    Of rows that share that doc_id one stays. Rows without doc_id stay if nothing links them to another with one.
+    Of rows that repeat a doc_id and its text one stays; different texts under one doc_id all stay if it is the least. Rows
+    without doc_id stay, one of each text, if any of them is linked with no row that has one.
     """
     found = join_documents(docs, **options).select("doc_id", "component_id")
     # A row that has no words is linked with nothing, so it is always its own component.
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = least.groupBy(F.col("doc_id").alias("_stay_id")).agg(F.count(F.lit(1)).alias("_stay_rows"))
+    stay = store(stay, "least-documents")
+    kept = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_stay_id")))
+    names = [docs[c] for c in docs.columns]
+    if stay.where("_stay_rows > 1").isEmpty():
+        return kept.select(*names)
+    once = kept.where("_stay_rows = 1").select(*names)
+    return once.union(kept.where("_stay_rows > 1").dropDuplicates(["_stay_id", "text"]).select(*names))

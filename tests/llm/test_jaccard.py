@@ -139,6 +139,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute(rows).values()})
 
 
+def test_repeated_rows_stay_once(spark):
+    p, q = " ".join("abcdefghijklmn"), "some other words of this text"
+    rows = [(1, p, "c", None), (1, p, "d", "y"), (1, q, "e", None), (2, p, None, None), (3, q, None, None), (None, "z z z", None, None), (None, "z z z", None, None)]
+    out = jc.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == [("1", p), ("1", q), ("None", "z z z")]
+
+
 def test_query_gives_the_rows_of_its_sql(spark, folder):
     query, sql = registry.queries()["op10_jaccard_join"], registry.oracle_sql()["op10_jaccard_join"]
     assert differences(query(spark, folder), connect(folder).sql(sql)) == []

@@ -120,8 +120,8 @@ def test_stages_take_hard_rows(spark, stage):
     out = apply(spark, docs, FOLDER)
     assert out.columns == docs.columns
     found = out.collect()
-    # No words fail the base rules; of repeated rows with one doc_id both stay, as neither precedes the other.
-    want = {0: [3, 3, 4], 1: [1, 2, 3, 3, 4, None], 2: [1, 2, 3, 3, 4, None], 3: [1, 2, 3, 3, 4, None]}[stage]
+    # No words fail the base rules; of repeated rows one stays in the join.
+    want = {0: [3, 3, 4], 1: [1, 2, 3, 4, None], 2: [1, 2, 3, 3, 4, None], 3: [1, 2, 3, 3, 4, None]}[stage]
     assert sorted((r["doc_id"] for r in found), key=lambda d: (d is None, d)) == want
     assert apply(spark, docs.limit(0), FOLDER).count() == 0
     assert quality.MIN_WORDS == 50
