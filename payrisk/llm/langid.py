@@ -199,8 +199,9 @@ def sample(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE
     # Twice the wanted number on average, so that a cut to the exact number is by the hash as well.
     drawn = drawn.where(F.pmod("hash", F.lit(HASH_PARTS)) < F.lit(HASH_PARTS / 2) * share)
     start = F.pmod(F.col("hash"), F.greatest(F.length("text") - WIDTH, F.lit(1))).cast("int")
-    found = drawn.select("lang", "hash", F.substring(F.col("text"), start + 1, F.lit(WIDTH)).alias("text")).collect()
-    found = sorted({(r["lang"], r["hash"], r["text"]) for r in found})
+    found = drawn.select("lang", "hash", F.substring(F.col("text"), start + 1, F.lit(WIDTH)).alias("text"))
+    # Copies of a text have one hash: they are chosen together, and count once.
+    found = sorted((r["lang"], r["hash"], r["text"]) for r in found.distinct().collect())
     taken: dict[str, list[bytes]] = {}
     for name, _, text in found:
         own = taken.setdefault(name, [])

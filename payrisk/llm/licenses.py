@@ -228,10 +228,10 @@ def train(lines: list[bytes], seed: int = 1) -> Classifier:
 
 
 def corpus_lines(docs: DataFrame, max_lines: int = MAX_LINES) -> list[bytes]:
-    """First lines of those texts with the least hash, without any word of licensing: a bounded sample for training."""
+    """First lines of texts, those with the least hash, without any word of licensing: a bounded sample for training."""
     line = F.substring(F.get(F.split(F.trim(F.col("text").cast("string")), "\n"), F.lit(0)), 1, LINE_CHARS)
     rows = docs.select(line.alias("line")).where("line is not null and not lower(line) rlike 'licen|copyright|permission'")
-    found = rows.orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()
+    found = rows.distinct().orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()
     return [r["line"].encode() for r in found]
 
 

@@ -141,7 +141,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """Features of labelled documents that pass the base rules, whether they are bad, and a fold.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); rows without either are left out. At most ``max_labelled``
-    labels are used: this bounds what is sent to the documents and what comes to the driver.
+    labels are used: this bounds what is sent to the documents and what comes to the driver. Repeated rows count once.
     """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).dropna()
     chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_quality").limit(max_labelled)
@@ -152,6 +152,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
         measure(joined)
         .where(~base_failed())
         .select(*FEATURES, (F.col("doc._quality") == 0).alias("bad"), fold, F.col("doc.doc_id").alias("id"))
+        .distinct()
         .collect()
     )
     found.sort(key=lambda r: tuple(map(str, r)))
