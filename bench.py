@@ -11,6 +11,7 @@ import json
 import os
 import time
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from payrisk import fixtures as fx
 from payrisk.operators.quantiles import exact_quantiles
 from payrisk.plans import datasets, lookup, metrics, models, quality, reports, tables
-from payrisk.session import build_session, scratch_path
+from payrisk.session import build_session, scratch_path, scratch_scope
 from payrisk.sources import files
 
 
@@ -30,6 +31,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
+    stored = ExitStack()
+    stored.enter_context(scratch_scope(spark))  # what the run writes goes when it ends
 
     def save(df: DataFrame, name: str) -> DataFrame:
         return files.replace_table(df, scratch_path(spark, name))
@@ -103,6 +106,7 @@ def main() -> None:
     scored = save(clean.select("transaction_id", "is_fraud", F.abs(bucket).alias("score")), "scored")
     run("classification_report", lambda: metrics.classification_report(metrics.decide(scored)))
     run("ranking_scores", lambda: metrics.ranking_scores(scored))
+    stored.close()
     spark.stop()
 
     total = round(sum(seconds.values()), 3)
