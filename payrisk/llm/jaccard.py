@@ -244,7 +244,7 @@ def distances(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def split_groups(large: DataFrame, level: int, percent: int, pivots: int, group_cells: int) -> tuple[DataFrame, DataFrame]:
+def split_groups(large: DataFrame, level: int, percent: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """One level for groups that do not fit: (links to the pivots, members of the regions)."""
     radius = 1 - percent / 100
     by_hash = F.xxhash64("digest", F.lit(level))
@@ -321,7 +321,7 @@ def link_members(
             return found
         salts = F.ceil(F.col("volume") / group_cells)
         big = left.join(broadcast_if_small(large.withColumn("salts", salts), n_large), "group")
-        links, left = split_groups(big, level, percent, pivots, group_cells)
+        links, left = split_groups(big, level, percent, pivots)
         found.append(store(links, "class-links"))
         level += 1
 

@@ -95,14 +95,11 @@ def test_every_token_is_packed(stages):
 
 
 def test_run_gives_what_the_stages_give(stages, spark):
-    same = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source"]
-    told = F.xxhash64(F.sort_array(F.collect_list(F.xxhash64("doc_id", "start", "doc_tokens", "ids"))))
     assert registry.queries()["pipeline"] is corpus_pipeline.run
     ran = corpus_pipeline.run(spark, FOLDER)
-    assert ran.columns[:7] == same[:4] + ["sequence_id", "offset", "source"]
+    assert ran.columns == stages[-1][2].columns
     total = lambda df: df.agg(F.sum("length"), F.countDistinct("doc_id")).first()
     assert total(ran) == total(stages[-1][2])
-    assert told is not None
 
 
 HARD = [

@@ -94,8 +94,6 @@ def test_query_gives_the_rows_of_its_sql(spark, folder):
 
 
 def test_segments_are_dealt_once(spark, folder):
-    from checks.compare import TABLES  # noqa: F401
-
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = sb.remove_repeats(docs.select("doc_id", "text"))
     out.collect()
