@@ -37,11 +37,15 @@ def pack(values: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.uint64)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
+    most = int(values.max())
     selector = np.full(n, ESCAPE, np.uint8)
+    wide = np.zeros(len(padded) + 1, np.int32)
     for s in range(len(COUNTS) - 1, 0, -1):
-        wide = np.concatenate([[0], np.cumsum(padded >= np.uint64(1 << 60 // COUNTS[s]))])
-        fits = wide[COUNTS[s] : COUNTS[s] + n] == wide[:n]
-        selector[fits] = s
+        if most < 1 << 60 // COUNTS[s]:
+            selector[:] = s
+            continue
+        np.cumsum(padded >= np.uint64(1 << 60 // COUNTS[s]), dtype=np.int32, out=wide[1:])
+        np.copyto(selector, s, where=wide[COUNTS[s] : COUNTS[s] + n] == wide[:n])
     step = np.array([*COUNTS, 1])[selector].tolist()
     starts, at = [], 0
     while at < n:

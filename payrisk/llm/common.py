@@ -19,13 +19,16 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 Batches = Iterator[pa.RecordBatch]
 
-# White space beyond ASCII, as UTF-8 bytes. Fixed values of the Unicode White_Space property.
+# White space beyond ASCII, as UTF-8 bytes, and the first bytes of these. Fixed values of the Unicode White_Space property.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+WIDE_FIRST = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 # A run of other characters with one space before it, or white space up to the last of its run.
 SPACED_CHUNK = re.compile(rb" ?\S+|\s+(?!\S)|\s+")
+# White space that is more than a single space or line end; and the byte that separates chunks.
+OTHER_SPACE = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\f", b"\v", b"\0")
 
 # Distinct chunks whose ids a worker keeps; beyond it starts afresh.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 900_000
 
 
 def ready(spark: SparkSession) -> None:
@@ -72,15 +75,21 @@ def crossing_free_chunks(text: bytes, word_level: bool) -> list[bytes]:
     stays inside a chunk of the first, and keeps a text of the second whole.
     """
     if word_level:
-        return text.split()
-    if WIDE_SPACE.search(text):
+        # All is lower-cased later; before that, a combining mark may join a letter of one case only.
+        return text.split() if b"\xcc" in text or b"\xcd" in text else text.lower().split()
+    if any(map(text.__contains__, WIDE_FIRST)) and WIDE_SPACE.search(text):
         return [text]
-    return SPACED_CHUNK.findall(text)
+    if not text or text[0] in b" \n" or text[-1] in b" \n" or any(map(text.__contains__, OTHER_SPACE)):
+        return SPACED_CHUNK.findall(text)
+    # Only single spaces and line ends: a space goes with what follows, a line end stands alone.
+    return text.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
 
 
 # Letters of which every version of Unicode says the same, alone or with plain marks behind them: no rule of either
 # file splits the letters, or joins them with the marks.
-PLAIN_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PLAIN_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# ASCII marks that end a plain word; an apostrophe may begin a piece of its own.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
 
 def byte_characters() -> dict[int, str]:
@@ -107,26 +116,36 @@ class CachedTokenizer:
         self.characters = byte_characters()
         self.known: dict[bytes, bytes] = {}
 
-    def _plain(self, piece: str) -> list[int]:
+    def _ids(self, piece: bytes) -> bytes:
+        """Of letters, with a space before them or not, or of marks: what the library's other steps leave whole."""
+        text = piece.decode()
         if self.word_level:
-            piece = piece.lower()
-        if not piece.isascii() or " " in piece:
-            piece = piece.encode().decode("latin-1").translate(self.characters)
-        return [t.id for t in self.model.tokenize(piece)]
+            text = text.lower()
+        if text.isascii():
+            text = text.replace(" ", self.characters[32])
+        else:
+            text = text.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def learn(self, chunks: list[bytes]) -> None:
-        others = []
+        others, known, ids_of = [], self.known, self._ids
         for chunk in chunks:
-            text = chunk.decode()
-            if m := PLAIN_WORD.fullmatch(text):
-                word, marks = m.groups()
-                ids = self._plain(word) + self._plain(marks) if marks else self._plain(word)
-                self.known[chunk] = array("I", ids).tobytes()
+            word = chunk.rstrip(MARKS)
+            if not (word.isalpha() or (word[:1] == b" " and word[1:].isalpha())):  # ASCII letters
+                if chunk.isascii() or not (m := PLAIN_WORD.fullmatch(chunk.decode())):
+                    others.append(chunk)
+                    continue
+                word = m.group(1).encode()
+            if len(word) == len(chunk):
+                known[chunk] = ids_of(word)
             else:
-                others.append((chunk, text))
+                marks = chunk[len(word) :]
+                if marks not in known:
+                    known[marks] = ids_of(marks)
+                known[chunk] = (known.get(word) or ids_of(word)) + known[marks]
         if others:
-            found = self.library.encode_batch_fast([t for _, t in others], add_special_tokens=False)
-            self.known.update((c, array("I", e.ids).tobytes()) for (c, _), e in zip(others, found))
+            found = self.library.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
+            self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(others, found))
 
     def encode(self, text: bytes | None) -> bytes:
         chunks = crossing_free_chunks(text or b"", self.word_level)
