@@ -82,6 +82,7 @@ TEMPLATES = {
     "proprietary": (
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
         "Copyright 2020. All rights reserved.",
+        "All rights reserved.",
     ),
 }
 # Sentences that speak of such things and grant nothing.
@@ -98,6 +99,8 @@ OTHERS = (
 )
 
 WORD = re.compile(rb"[a-z0-9]+")
+# Any year is one and the same word.
+YEAR, A_YEAR = re.compile(rb"(?:19|20)[0-9]{2}(?![a-z0-9])(?<![a-z0-9][0-9]{4})"), b"1900"
 LONGEST_GRAM, EMBEDDED, COPIES = 3, 12, 40
 # Bound on the corpus lines that training sees as unknown.
 MAX_LINES, LINE_CHARS = 4_000, 300
@@ -109,7 +112,7 @@ TYPES = [pa.list_(pa.string()), pa.int64(), pa.float64(), pa.list_(pa.int64())]
 
 
 def words_of(line: bytes) -> list[bytes]:
-    return WORD.findall(line.lower())
+    return WORD.findall(YEAR.sub(A_YEAR, line.lower()))
 
 
 def grams(words: list[bytes], longest: int = LONGEST_GRAM) -> set[bytes]:
@@ -230,7 +233,7 @@ def train(lines: list[bytes], seed: int = 1) -> Classifier:
 def corpus_lines(docs: DataFrame, max_lines: int = MAX_LINES) -> list[bytes]:
     """First lines of texts, those with the least hash, without any word of licensing: a bounded sample for training."""
     line = F.substring(F.get(F.split(F.trim(F.col("text").cast("string")), "\n"), F.lit(0)), 1, LINE_CHARS)
-    rows = docs.select(line.alias("line")).where("line is not null and not lower(line) rlike 'licen|copyright|permission'")
+    rows = docs.select(line.alias("line")).where("line is not null and not lower(line) rlike 'licen|copyright|permission|rights reserved'")
     found = rows.distinct().orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()
     return [r["line"].encode() for r in found]
 

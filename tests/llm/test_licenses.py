@@ -69,3 +69,21 @@ def test_query_finds_the_notices_of_the_table(spark):
 
 def test_training_without_corpus_lines():
     assert lc.train([]).judge(b"Released under the MIT License.")[0] == "mit"
+
+
+def test_reserved_rights_of_any_year(model):
+    for text in ("All rights reserved.", "Copyright 2024. All rights reserved.", "Copyright 1998. All rights reserved.", "(c) 2019-2024 Acme Ltd. All rights reserved."):
+        judged = model.judge(text.encode())
+        assert judged and judged[0] == "proprietary", text
+    for text in ("All rights of way are reserved for walkers.", "The table was reserved for all of us.", "In 2024 all was well."):
+        assert model.judge(text.encode()) is None, text
+
+
+def test_query_finds_all_five_planted_lines(spark):
+    folder = "/root/testdata/sf0.01"
+    found = {r["doc_id"]: set(r["families"]) for r in registry.queries()["op9_license_scans"](spark, folder).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    said = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "the GNU General Public License, version 3.": "gpl", "Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "All rights reserved.": "proprietary"}
+    want = {d: {f for s, f in said.items() if s in (t or "")} for d, t in texts.items()}
+    assert {f for fs in want.values() for f in fs} == set(said.values())
+    assert found == want
