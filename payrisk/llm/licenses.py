@@ -1,7 +1,7 @@
 """Licence notices in texts: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-Every line of a text is a paragraph. Its word n-grams of up to three words go through a
-sparse logistic regression over licence families and ``unknown``. It is trained in numpy on the driver: on sentences of
+Every line of a text is a paragraph, and so is every run of lines without a blank one, in which windows of words
+are judged as well. The word n-grams of up to three words of each go through a sparse logistic regression over licence families and ``unknown``. It is trained in numpy on the driver: on sentences of
 the templates with words dropped, changed and joined to others, against lines of the corpus and sentences that
 speak of licences without granting one. Probabilities are calibrated by a temperature on held-out lines, and
 a threshold that no held-out unknown line passes. A prediction counts if the paragraph also
@@ -11,6 +11,8 @@ holds enough of a template of its family.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,6 +108,8 @@ LONGEST_GRAM, EMBEDDED, COPIES = 3, 12, 40
 MAX_LINES, LINE_CHARS = 4_000, 300
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-4
 MIN_PROBABILITY, MIN_OVERLAP = 0.5, 0.6
+# Windows are sought across the ends of lines, and within lines of more words than this.
+LONG_LINE = 64
 
 SCHEMA = "families array<string>, n_notices bigint, score double, spans array<bigint>"
 TYPES = [pa.list_(pa.string()), pa.int64(), pa.float64(), pa.list_(pa.int64())]
@@ -119,6 +123,77 @@ def grams(words: list[bytes], longest: int = LONGEST_GRAM) -> set[bytes]:
     return {b" ".join(words[k : k + n]) for n in range(1, longest + 1) for k in range(len(words) - n + 1)}
 
 
+class Template:
+    """What windows of a paragraph are compared with: the grams of a template."""
+
+    def __init__(self, grams: frozenset[bytes]):
+        self.grams = grams
+        parts = [tuple(g.split()) for g in grams]
+        self.words = frozenset(p[0] for p in parts if len(p) == 1)
+        self.pairs = frozenset(p for p in parts if len(p) == 2)
+        self.triples = [(p[:2], p[1:]) for p in parts if len(p) == 3]
+        self.need = next(k for k in range(1, len(grams) + 1) if k / len(grams) >= MIN_OVERLAP)
+        # Words of a window: some may be added to the template's.
+        self.size = len(self.pairs) + 1 + len(self.pairs) // 2 + 4
+
+    def possible(self, words: set[bytes], pairs: set[tuple[bytes, bytes]]) -> bool:
+        """Whether a paragraph of these words and pairs may hold enough of the grams; an upper bound."""
+        own = self.pairs & pairs
+        if not own or len(self.words) + len(own) + len(self.triples) < self.need:
+            return False
+        return len(self.words & words) + len(own) + sum(a in own and b in own for a, b in self.triples) >= self.need
+
+    def windows(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Windows (first word, end) that hold enough of the grams: each the best of its place, without needless words at its ends."""
+        ends: list[list[tuple[int, bytes]]] = []
+        for k, word in enumerate(words):
+            here, gram = [], word
+            for n in range(LONGEST_GRAM):
+                if n:
+                    if k < n or words[k - n] not in self.words:
+                        break
+                    gram = words[k - n] + b" " + gram
+                elif word not in self.words:
+                    break
+                if gram in self.grams:
+                    here.append((k - n, gram))
+            ends.append(here)
+        start, at = 0, 0
+        held: Counter[bytes] = Counter()
+        while at < len(words):
+            held.update(g for a, g in ends[at] if a >= start)
+            while at + 1 - start > self.size:
+                self._drop(held, ends, start, at)
+                start += 1
+            at += 1
+            if len(held) < self.need:
+                continue
+            best, end = len(held), at
+            more = set(held)
+            for k in range(at, min(start + self.size, len(words))):
+                more.update(g for a, g in ends[k] if a >= start)
+                if len(more) > best:
+                    best, end = len(more), k + 1
+            for k in range(at, end):
+                held.update(g for a, g in ends[k] if a >= start)
+            while all(held[g] > 1 for g in self._begins(ends, start, end - 1)):
+                self._drop(held, ends, start, end - 1)
+                start += 1
+            yield start, end
+            self._drop(held, ends, start, end - 1)
+            start, at = start + 1, end
+
+    @staticmethod
+    def _begins(ends: list[list[tuple[int, bytes]]], start: int, last: int) -> list[bytes]:
+        return [g for k in range(start, min(start + LONGEST_GRAM, last + 1)) for a, g in ends[k] if a == start]
+
+    def _drop(self, held: Counter[bytes], ends: list[list[tuple[int, bytes]]], start: int, last: int) -> None:
+        for g in self._begins(ends, start, last):
+            held[g] -= 1
+            if not held[g]:
+                del held[g]
+
+
 @dataclass
 class Classifier:
     families: list[str]  # the last one is UNKNOWN
@@ -132,6 +207,8 @@ class Classifier:
     def __post_init__(self):
         # A word that no feature has can be no part of one.
         self.vocabulary = frozenset(w for gram in self.features for w in gram.split())
+        self.sought = [(f, Template(t)) for f, own in self.templates.items() for t in own]
+        self.pairs = frozenset().union(*(t.pairs for _, t in self.sought))
 
     def logits(self, words: list[bytes]) -> np.ndarray | None:
         """Scores of the families; none if the paragraph has no feature at all."""
@@ -140,8 +217,10 @@ class Classifier:
 
     def judge(self, line: bytes) -> tuple[str, float] | None:
         """Family and calibrated probability of a notice that a template confirms."""
-        words = words_of(line)
-        if not any(w in self.vocabulary for w in words):
+        return self.judge_words(words_of(line))
+
+    def judge_words(self, words: list[bytes]) -> tuple[str, float] | None:
+        if self.vocabulary.isdisjoint(words):
             return None
         logits = self.logits(words)
         if logits is None:
@@ -156,6 +235,39 @@ class Classifier:
             return None
         return family, float(p[best])
 
+    def judge_windows(self, lines: list[list[bytes]], alone: list[str | None]) -> list[tuple[int, int, str, float]]:
+        """Notices (first word, end, family, probability) in a paragraph that no line of it shows by itself.
+
+        ``alone`` has the family of each line judged by itself. Of windows that share words the one with most of a template counts.
+        """
+        words = [w for line in lines for w in line]
+        pairs = self.pairs.intersection(zip(words, words[1:]))
+        if not pairs:
+            return []
+        own, found = set(words), []
+        line_of = [k for k, line in enumerate(lines) for _ in line]
+        for family, template in self.sought:
+            if not template.possible(own, pairs):
+                continue
+            done = 0
+            for a, b in template.windows(words):
+                if a < done:
+                    continue
+                first, last = line_of[a], line_of[b - 1]
+                if first == last and len(lines[first]) <= LONG_LINE:
+                    continue
+                if family in alone[first : last + 1]:
+                    continue
+                judged = self.judge_words(words[a:b])
+                if judged and judged[0] not in alone[first : last + 1]:
+                    found.append((len(template.grams & grams(words[a:b])), a, b, *judged))
+                    done = b
+        kept: list[tuple[int, int, str, float]] = []
+        for _, a, b, family, p in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+            if all(b <= c or d <= a for c, d, _, _ in kept):
+                kept.append((a, b, family, p))
+        return sorted(kept)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -242,7 +354,8 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """Every row of ``docs`` as ``doc``, with the licence families of its text.
 
     families (sorted), n_notices, score (the least sure of the notices, 0 without any) and spans (bytes from, to, ... of lines
-    with a notice). A null or empty text has none. Every line of every text is judged.
+    with a notice, and of windows of words with one that no line shows by itself, by where they begin). A null or empty text has
+    none. Every line of every text is judged, and every run of lines without a blank one.
     """
 
     def step(batches: Batches) -> Batches:
@@ -258,11 +371,31 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def _scanned(text: bytes, model: Classifier) -> tuple[list[str], int, float, list[int]]:
-    families, scores, spans, at = set(), [], [], 0
+    found: list[tuple[int, int, str, float]] = []
+    lines: list[list[bytes]] = []  # of a paragraph, and the families of those with a notice
+    alone: list[str | None] = []
+    at = begin = 0
     for line in text.split(b"\n"):
-        if line and (judged := model.judge(line)):
-            families.add(judged[0])
-            scores.append(judged[1])
-            spans += [at, at + len(line)]
+        words = words_of(line)
+        judged = model.judge_words(words) if words else None
+        if judged:
+            found.append((at, at + len(line), *judged))
+        if line.strip():
+            lines.append(words)
+            alone.append(judged and judged[0])
+        else:
+            found += _windows(text, begin, at, lines, alone, model)
+            lines, alone, begin = [], [], at + len(line) + 1
         at += len(line) + 1
-    return sorted(families), len(scores), min(scores, default=0.0), spans
+    found += _windows(text, begin, len(text), lines, alone, model)
+    found.sort(key=lambda f: f[:2])
+    return sorted({f for _, _, f, _ in found}), len(found), min((p for *_, p in found), default=0.0), [x for a, b, _, _ in found for x in (a, b)]
+
+
+def _windows(text: bytes, begin: int, end: int, lines: list[list[bytes]], alone: list[str | None], model: Classifier) -> list[tuple[int, int, str, float]]:
+    """Notices of ``judge_windows`` in ``text[begin:end]``, with bytes from and to."""
+    notices = model.judge_windows(lines, alone)
+    if not notices:
+        return []
+    places = [m.span() for m in WORD.finditer(text[begin:end].lower())]
+    return [(begin + places[a][0], begin + places[b - 1][1], family, p) for a, b, family, p in notices]

@@ -87,3 +87,45 @@ def test_query_finds_all_five_planted_lines(spark):
     want = {d: {f for s, f in said.items() if s in (t or "")} for d, t in texts.items()}
     assert {f for fs in want.values() for f in fs} == set(said.values())
     assert found == want
+
+
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "mit": "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files (the \"Software\"),",
+}
+
+
+def test_notices_wrapped_over_lines_are_found(model):
+    for family, notice in WRAPPED.items():
+        assert all(model.judge(line.encode()) is None for line in notice.split("\n")), family
+        for mark, around in (("", "é some words\nof a text"), (" * ", "x"), ("# ", "a line of the text and more of it\n" * 30)):
+            text = (around + "\n" + "\n".join(mark + line for line in notice.split("\n")) + "\n" + around).encode()
+            families, n, score, spans = lc._scanned(text, model)
+            assert families == [family] and n == len(spans) // 2 > 0 and score > 0, (family, mark, families, n)
+            for said in (text[a:b].decode() for a, b in zip(spans[::2], spans[1::2])):
+                assert "\n" in said and "some words" not in said and "a line of" not in said
+
+
+def test_blank_lines_end_a_paragraph(model):
+    lines = WRAPPED["bsd"].split("\n")
+    assert lc._scanned("\n \n".join(lines).encode(), model)[0] == []
+
+
+def test_a_notice_inside_a_long_line_is_found(model):
+    text = ("of wood and stone the house was built " * 200 + "Released under the MIT License. " + "the river is wide " * 200).encode()
+    families, n, _, spans = lc._scanned(text, model)
+    assert (families, n) == (["mit"], 1) and b"MIT License" in text[spans[0] : spans[1]]
+
+
+def test_windows_are_exactly_bounded(model):
+    """A paragraph that the bound rules out has no window with enough of a template."""
+    draw = random.Random(5)
+    for _ in range(300):
+        _, template = draw.choice(model.sought)
+        near = sorted(template.words) + ["of", "x", "y"]
+        words = [w if isinstance(w, bytes) else w.encode() for w in draw.choices(near, k=30)]
+        if not template.possible(set(words), set(zip(words, words[1:]))):
+            assert len(template.grams & lc.grams(words)) < template.need
+        for a, b in template.windows(words):
+            assert len(template.grams & lc.grams(words[a:b])) >= template.need and b - a <= template.size
