@@ -4,7 +4,7 @@ Three patterns are always reported: assignments of long values, access key ids a
 hexadecimal runs. Besides, a value given as a credential in any form is reported as
 ``guess`` if guessing it is costly: the cheapest way to spell it as words, dates,
 repeats, keyboard walks and single characters, found by dynamic programming, still costs at
-least ``MIN_BITS``. So ``password=changeme123`` is no secret by itself, and a short
+least ``MIN_BITS``. An unlisted word costs what its letters do, each after the two before it. So ``password=changeme123`` is no secret by itself, and a short
 random value is one.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.llm.common import Batches, as_records, chunks_of, documents_from, over_batches, with_record
+from payrisk.llm.letters import LEXICON, letter_bits
 
 ASSIGN = re.compile(
     r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A
@@ -50,7 +51,7 @@ WORDS = (
     "here your name mail email address phone number value string text null none true false required optional "
     "insert enter type placeholder redacted hidden"
 ).split()
-RANK = {word: rank for rank, word in enumerate(dict.fromkeys(WORDS), 1)}
+RANK = {word: rank for rank, word in enumerate(dict.fromkeys(WORDS + LEXICON), 1)}
 LONGEST_WORD = max(map(len, RANK))
 # Characters often put for letters, and rows of a keyboard.
 PLAIN = str.maketrans("@4301!$57", "aaeoiisst")
@@ -62,10 +63,9 @@ NEW_SEGMENT = 1.0  # bits for where a segment ends
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
 YEAR = re.compile(r"(?:19|20)\d\d", re.A)
 DATE_BITS, YEAR_BITS = log2(365 * 120), log2(120)
-# A run of letters that reads like a word of some language: a guess from a large lexicon.
+# A run of letters that may be spelled as an unlisted word, letter after letter.
 LETTERS = re.compile(r"[A-Za-z]?[a-z]{3,}|[A-Z]{4,}")
-CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}|[aeiouy]{4}")
-LEXICON_BITS = 20.0
+LEAST_RUN = 4
 
 
 PLACE = {key: (row, col) for row, keys in enumerate(ROWS) for col, key in enumerate(keys)}
@@ -84,12 +84,6 @@ def direction(a: str, b: str) -> tuple[int, int]:
     return PLACE[b][0] - PLACE[a][0], PLACE[b][1] - PLACE[a][1]
 
 
-def wordlike(run: str) -> bool:
-    """Vowels and consonants in the proportions and runs of common languages; ``run`` is in lower case."""
-    vowels = sum(c in "aeiouy" for c in run)
-    return 0.2 * len(run) <= vowels <= 0.7 * len(run) and not CLUSTER.search(run)
-
-
 def char_bits(char: str) -> float:
     if "0" <= char <= "9":
         return log2(10)
@@ -115,8 +109,9 @@ def guess_bits(value: str, enough: float = MIN_BITS) -> float:
                     dates.append((m.end(), bits))
         # A letter of the other case than its neighbours costs a bit more.
         words, cased = [], 0.0
-        if (m := LETTERS.match(value, i, i + LONGEST)) and wordlike(m.group().lower()):
-            words.append((m.end(), LEXICON_BITS))
+        if m := LETTERS.match(value, i, i + LONGEST):
+            case = 0.0 if m.group().islower() else 1.0
+            words += [(i + k, bits + case) for k, bits in enumerate(letter_bits(m.group().lower()), 1) if k >= LEAST_RUN]
         for j in range(i + 1, min(n, i + LONGEST_WORD) + 1):
             cased += value[j - 1].isupper()
             for spelling, extra in ((low[i:j], 0.0), (plain[i:j], 2.0)):

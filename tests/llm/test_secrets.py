@@ -34,6 +34,20 @@ def test_adding_a_segment_never_beats_the_least_of_all_cuts():
         assert slow_bits(a + b) <= slow_bits(a) + slow_bits(b) + 1e-9
 
 
+def test_random_letters_are_no_words():
+    draw = random.Random(7)
+    for n in (10, 11, 12, 16, 20, 30):
+        values = ["".join(draw.choices(string.ascii_lowercase, k=n)) for _ in range(300)]
+        for values in (values, [v.capitalize() for v in values], [v.upper() for v in values]):
+            assert sum(sc.guess_bits(v) < sc.MIN_BITS for v in values) <= 3, n
+    assert [sc.written(sc.guess_spans(t, [])) for t in ("password=kvurajmeti", "pwd: oqelanuvixadrem")] == ["guess:9:19", "guess:5:20"]
+
+
+def test_usual_words_stay_cheap():
+    for value in ("chocolate", "butterfly99", "strawberry", "information", "administrator", "Elephant2019", "configuration", "monkeymonkey"):
+        assert slow_bits(value) < sc.MIN_BITS, value
+
+
 def test_very_long_values_end_early():
     value = "".join(random.Random(2).choices(string.ascii_letters + string.digits, k=2_000_000))
     assert sc.guess_bits(value) == sc.MIN_BITS
