@@ -36,13 +36,13 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 BLOCK_WORDS = 200_000
 
-# A hit run longer than this, or a text of which more than this part is hit, is removed.
+# A hit run longer than this or with a whole item of less than the window, or a text of which more than this part is hit, is removed.
 MAX_RUN, MAX_COVERAGE = 9, 0.5
 
 HIT_SCHEMA = (
-    "n_words bigint, n_hit bigint, longest bigint, items array<string>, runs array<bigint>, spans array<bigint>, cut string"
+    "n_words bigint, n_hit bigint, longest bigint, items array<string>, runs array<bigint>, whole array<bigint>, spans array<bigint>, cut string"
 )
-HIT_TYPES = [*[pa.int64()] * 3, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, pa.string()]
+HIT_TYPES = [*[pa.int64()] * 3, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3, pa.string()]
 HIT_NAMES = [f.split()[0] for f in HIT_SCHEMA.split(", ")]
 
 
@@ -116,7 +116,12 @@ class Automaton:
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint hit runs [from, to) of the words, and the names of the items found."""
-        runs: list[tuple[int, int]] = []
+        runs, found = self.marked(words)
+        return [(a, b) for a, b, _ in runs], found
+
+    def marked(self, words: list[bytes]) -> tuple[list[tuple[int, int, int]], set[str]]:
+        """``hits``, with 1 at each run that holds a whole short item, 0 at others."""
+        runs: list[tuple[int, int, int]] = []
         found: set[str] = set()
         following, link, length, short, window = self.next, self.link, self.length, self.short, self.window
         v = matched = 0
@@ -132,7 +137,7 @@ class Automaton:
                 matched = length[v]
             v = step
             matched += 1
-            begin = at + 1
+            begin, whole = at + 1, 0
             if matched >= window:
                 begin -= matched
                 found.update(self.of_window[self.at_window[v]])
@@ -140,11 +145,12 @@ class Automaton:
                 for size, name in short[v]:
                     if size <= matched:
                         found.add(name)
-                        begin = min(begin, at + 1 - size)
+                        begin, whole = min(begin, at + 1 - size), 1
             if begin <= at:
                 while runs and runs[-1][1] >= begin:
-                    begin = min(begin, runs.pop()[0])
-                runs.append((begin, at + 1))
+                    earlier, _, held = runs.pop()
+                    begin, whole = min(begin, earlier), max(whole, held)
+                runs.append((begin, at + 1, whole))
         return runs, found
 
 
@@ -171,8 +177,8 @@ def find(
     """Every row of ``docs`` as ``doc``, with its text and the hits of ``items`` (item_id, text) in it.
 
     n_words, n_hit, longest (hit run), items (ids as sorted strings), runs (hit runs: words from, to, from, ...),
-    spans (the same in bytes of the text), cut (the text without runs of more than ``max_run`` words; null if it
-    has none). A null text has no words. An item without id or words is left out; one id may have several
+    whole (1 for each run that holds a whole item of less than ``window`` words, 0 for others), spans (the runs in bytes of the
+    text), cut (the text without runs of more than ``max_run`` words and those with a whole item; null if it has none). A null text has no words. An item without id or words is left out; one id may have several
     texts. With no items nothing is hit. Every row is a document of its own, also if it repeats.
     """
     blocks = item_blocks(items, block_words)
@@ -184,30 +190,33 @@ def find(
     rows = keyed.select("row", "text")
     row_schema = f"row bigint, text string, {HIT_SCHEMA}"
     passes = [
-        over_batches(rows, _matching(b, window, max_run), row_schema).select("row", "items", "runs") for b in blocks
+        over_batches(rows, _matching(b, window, max_run), row_schema).select("row", "items", "runs", "whole") for b in blocks
     ]
     merged = reduce(DataFrame.unionByName, passes).groupBy("row").agg(
-        F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("runs")).alias("runs")
+        F.flatten(F.collect_list("items")).alias("items"), F.collect_list(F.struct("runs", "whole")).alias("parts")
     )
-    joined = keyed.join(merged, "row").select("doc", "text", "items", "runs")
+    # Runs and whole stay in the same order: both come from one list.
+    parts = [F.flatten(F.col(f"parts.{name}")).alias(name) for name in ("runs", "whole")]
+    joined = keyed.join(merged, "row").select("doc", "text", "items", *parts)
     return over_batches(joined, _merging(max_run), schema)
 
 
 def _described(
-    text: bytes | None, words: list[bytes], runs: list[tuple[int, int]], items: set[str], max_run: int
+    text: bytes | None, words: list[bytes], runs: list[tuple[int, int, int]], items: set[str], max_run: int
 ) -> tuple:
     spans: list[int] = []
     cut = None
     if runs:
         places = [m.span() for m in WORD.finditer(text.lower())]
-        pairs = [(places[a][0], places[b - 1][1]) for a, b in runs]
+        pairs = [(places[a][0], places[b - 1][1]) for a, b, _ in runs]
         spans = [x for pair in pairs for x in pair]
-        out = [pair for pair, (a, b) in zip(pairs, runs) if b - a > max_run]
+        out = [pair for pair, (a, b, whole) in zip(pairs, runs) if whole or b - a > max_run]
         if out:
             begins, ends = [0, *[e for _, e in out]], [*[b for b, _ in out], len(text)]
             cut = b"".join(text[a:b] for a, b in zip(begins, ends)).decode()
-    sizes = [b - a for a, b in runs]
-    return len(words), sum(sizes), max(sizes, default=0), sorted(items), [x for r in runs for x in r], spans, cut
+    sizes = [b - a for a, b, _ in runs]
+    flat, whole = [x for a, b, _ in runs for x in (a, b)], [w for _, _, w in runs]
+    return len(words), sum(sizes), max(sizes, default=0), sorted(items), flat, whole, spans, cut
 
 
 def _batch(leading: list[pa.Array], names: list[str], found: list[tuple]) -> pa.RecordBatch:
@@ -225,7 +234,7 @@ def _matching(block: list[tuple[str, bytes]], window: int, max_run: int) -> Call
                 found = []
                 for text in as_bytes(batch.column(1)):
                     words = words_of(text)
-                    found.append(_described(text, words, *automaton.hits(words), max_run))
+                    found.append(_described(text, words, *automaton.marked(words), max_run))
                 yield _batch(batch.columns, batch.schema.names, found)
 
     return match
@@ -235,13 +244,13 @@ def _merging(max_run: int) -> Callable[[Batches], Batches]:
     def merge(batches: Batches) -> Batches:
         for batch in batches:
             found = []
-            for text, names, flat in zip(as_bytes(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3))):
-                joined: list[tuple[int, int]] = []
-                for a, b in sorted(zip(flat[::2], flat[1::2])):
+            for text, names, flat, whole in zip(as_bytes(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                joined: list[tuple[int, int, int]] = []
+                for a, b, w in sorted(zip(flat[::2], flat[1::2], whole)):
                     if joined and a <= joined[-1][1]:
-                        joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+                        joined[-1] = (joined[-1][0], max(b, joined[-1][1]), max(w, joined[-1][2]))
                     else:
-                        joined.append((a, b))
+                        joined.append((a, b, w))
                 found.append(_described(text, words_of(text), joined, set(names), max_run))
             yield _batch(batch.columns[:2], ["doc", "text"], found)
 
@@ -258,7 +267,7 @@ def clean(
 ) -> DataFrame:
     """``docs`` without what they share with ``items``: columns as before.
 
-    Hit runs of more than ``max_run`` words go from the text; a document of which more than
+    Hit runs of more than ``max_run`` words and those with a whole item of less than ``window`` go from the text; a document of which more than
     the part ``max_coverage`` of its words is hit goes altogether. A length column
     ``n_chars``, if there is one, follows the text. Null and empty texts stay as they are.
     """

@@ -86,6 +86,20 @@ def test_clean_removes_long_runs_and_covered_documents(spark):
     assert next(r for r in rows if r["doc_id"] == 7)["n_chars"] == 3
 
 
+@pytest.mark.parametrize("block_words", [dc.BLOCK_WORDS, 3])
+@pytest.mark.parametrize("window", [10, 6])
+def test_clean_removes_whole_short_items(spark, block_words, window):
+    short = ["who wrote this", "one two three four", "the red fox ran off now", "is seven of nine words a short item here", "alone"]
+    items = spark.createDataFrame(list(enumerate(short)), "item_id bigint, text string")
+    rest = "and so the text goes on with many more words of its own"
+    docs = spark.createDataFrame([(k, f"Before, {t.title()}! {rest}.", 1) for k, t in enumerate(short)] + [(9, rest, 1)], "doc_id bigint, text string, n_chars bigint")
+    rows = {r["doc_id"]: r["text"] for r in dc.clean(docs, items, window, block_words=block_words).collect()}
+    whole = [k for k, t in enumerate(short) if len(t.split()) < window]
+    assert {k: rows[k] for k in whole} == {k: f"Before, ! {rest}." for k in whole} and rows[9] == rest
+    if window == 10:
+        assert set(whole) == set(range(5))
+
+
 def test_query_gives_the_rows_of_its_sql(spark, folder):
     query, sql = registry.queries()["op3_decontamination"], registry.oracle_sql()["op3_decontamination"]
     assert differences(query(spark, folder), connect(folder).sql(sql)) == []
