@@ -53,6 +53,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _written: list[str] = []
 
 
+def written() -> list[str]:
+    """Folders that this session has named for stored tables and not removed at the end of a scope."""
+    return list(_written)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what was stored inside it. Write the results you keep before it ends."""
