@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from payrisk.session import scratch_path
+from payrisk.session import scratch_path, written
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -51,6 +51,16 @@ def store(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(stored: DataFrame) -> None:
+    """Deletes the files of a table that ``store`` wrote, once nothing will read them again."""
+    spark = stored.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = {name.rpartition("/")[0].rpartition("/")[2] for name in stored.inputFiles()}
+    for folder in [w for w in written() if w.rpartition("/")[2] in folders]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def over_batches(df: DataFrame, step: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` for a step that yields record batches."""
     ready(df.sparkSession)

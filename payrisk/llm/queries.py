@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payrisk.llm import binary_ids, chat, decontaminate, jaccard, langid, licenses, packing, quality, secrets, substrings
+from payrisk.llm import (
+    binary_ids, chat, decontaminate, fill_middle, jaccard, langid, licenses, packing, quality, secrets, substrings, vector_codes,
+)
 from payrisk.llm.common import read_table, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +178,93 @@ FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = vector_codes.fit_codes(read_table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    codes = vector_codes.with_label_error(fitted.codes)
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(fitted.digest()).alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    steps = [
+        r"""
+WITH listed AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding FROM (
+    SELECT vec_id, label, embedding, unnest(embedding) AS e, row_number() OVER () AS w FROM embeddings WHERE embedding IS NOT NULL
+  ) GROUP BY w, vec_id, label, embedding HAVING bool_and(e IS NOT NULL AND isfinite(e))
+), x AS MATERIALIZED (
+  SELECT r, vec_id, label, CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) AS v, (i - 1) // (n // 4) AS part, (i - 1) % (n // 4) AS pos
+  FROM (SELECT r, vec_id, label, len(embedding) AS n, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM listed)
+), book0 AS MATERIALIZED (
+  SELECT r AS entry, part, pos, v FROM x WHERE r < 256
+)"""
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f""", near{t} AS MATERIALIZED (
+  SELECT r, part, min(d * 256 + entry) % 256 AS entry, min(d * 256 + entry) // 256 AS d
+  FROM (SELECT x.r, x.part, b.entry, CAST(sum((x.v - b.v) * (x.v - b.v)) AS BIGINT) AS d
+        FROM x JOIN book{t} b ON x.part = b.part AND x.pos = b.pos GROUP BY x.r, x.part, b.entry)
+  GROUP BY r, part
+)"""
+        )
+        if t < rounds:
+            steps.append(
+                f""", means{t} AS (
+  SELECT n.part, n.entry, x.pos, CAST(sum(x.v) AS BIGINT) AS s, count(*) AS c
+  FROM near{t} n JOIN x ON x.r = n.r AND x.part = n.part GROUP BY n.part, n.entry, x.pos
+), book{t + 1} AS MATERIALIZED (
+  SELECT b.entry, b.part, b.pos, coalesce((s - ((s % c) + c) % c) // c, b.v) AS v
+  FROM book{t} b LEFT JOIN means{t} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos
+)"""
+            )
+    steps.append(
+        f""", coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+), named AS (
+  SELECT vec_id, label, code, error FROM coded JOIN (SELECT DISTINCT r, vec_id, label FROM x) USING (r)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM named
+"""
+    )
+    return "".join(steps)
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    frames = fill_middle.store_frames(read_table(spark, folder, "documents").select("doc_id", "text"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return fill_middle.transform(frames).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(text, 256).alias("restored_sha256")
+    )
+
+
+OP12_SQL = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM worded
+), formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -188,8 +277,16 @@ def queries() -> dict[str, Query]:
         "op8_binary_ids": op8_binary_ids,
         "op9_license_scans": op9_license_scans,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_fill_middle": op12_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
+    return {
+        "op3_decontamination": OP3_SQL,
+        "op6_substring_dedup": OP6_SQL,
+        "op10_jaccard_join": OP10_SQL,
+        "op11_vector_codes": _op11_sql(),
+        "op12_fill_middle": OP12_SQL,
+    }
