@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payrisk.llm import (
-    binary_ids, chat, decontaminate, fill_middle, jaccard, langid, licenses, packing, quality, secrets, substrings, vector_codes,
+    binary_ids, chat, decontaminate, fill_middle, jaccard, langid, licenses, neighbours, packing, quality, secrets, substrings,
+    vector_codes,
 )
 from payrisk.llm.common import read_table, store
 
@@ -265,6 +266,10 @@ FROM parts
 """
 
 
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -279,6 +284,7 @@ def queries() -> dict[str, Query]:
         "op10_jaccard_join": op10_jaccard_join,
         "op11_vector_codes": op11_vector_codes,
         "op12_fill_middle": op12_fill_middle,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
