@@ -159,15 +159,13 @@ class CachedTokenizer:
 
     def encode(self, text: bytes | None) -> bytes:
         chunks = crossing_free_chunks(text or b"", self.word_level)
-        ids = list(map(self.known.get, chunks))
-        if None in ids:
-            new = {c for c, found in zip(chunks, ids) if found is None}
+        try:
+            return b"".join(map(self.known.__getitem__, chunks))
+        except KeyError:
             if len(self.known) > CACHED_CHUNKS:
                 self.known.clear()
-                new.update(chunks)
-            self.learn(list(new))
-            ids = map(self.known.__getitem__, chunks)
-        return b"".join(ids)
+            self.learn(list(set(chunks).difference(self.known)))
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 @lru_cache(maxsize=4)

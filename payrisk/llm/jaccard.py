@@ -403,7 +403,8 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = least.groupBy(F.col("doc_id").alias("_stay_id")).agg(F.count(F.lit(1)).alias("_stay_rows"))
     stay = store(stay, "least-documents")
-    kept = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_stay_id")))
+    # The ids grow with the documents, so they are joined in the same way at every size.
+    kept = docs.join(stay.hint("merge"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("_stay_id")))
     names = [docs[c] for c in docs.columns]
     if stay.where("_stay_rows > 1").isEmpty():
         return kept.select(*names)
