@@ -14,28 +14,33 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import oracle  # noqa: E402
 from payrisk import fixtures as fx  # noqa: E402
+from payrisk.functions.columns import month_start  # noqa: E402
 from payrisk.operators.quantiles import exact_quantiles  # noqa: E402
-from payrisk.plans import datasets, lookup, metrics, models, quality, reports, tables  # noqa: E402
+from payrisk.operators.sketches import quantile_from_sketches, value_sketches  # noqa: E402
+from payrisk.plans import cube, datasets, lookup, metrics, models, newton, quality, reports, tables  # noqa: E402
 from payrisk.schemas import MODEL_FEATURES  # noqa: E402
 from payrisk.session import scratch_path, store  # noqa: E402
-from payrisk.sources import files  # noqa: E402
+from payrisk.sources import files, layout  # noqa: E402
+from payrisk.sources.snapshots import Snapshots  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Operations of the training-data pipeline are registered where they are delivered.
-WITH_LLM = all(
-    os.path.exists(os.path.join(os.path.dirname(os.path.abspath(__file__)), *part))
-    for part in (("payrisk", "llm", "queries.py"), ("corpus_pipeline.py",))
-)
-if WITH_LLM:
+try:
     import corpus_pipeline  # noqa: E402
     from payrisk.llm import queries as llm_queries  # noqa: E402
 
+    WITH_LLM = True
+except ImportError:
+    WITH_LLM = False
+
 # The test tables are small: the volume a category needs, and the row counts from
 # which the split paths start, are lowered so that the queries use them.
 MIN_TRANSACTIONS = 100
 SMALL_GROUP = 150
 SMALL_DIRECT = 200
+SMALL_FILE = 100
+PERIOD_CUT = "2024-01-20"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -76,6 +81,40 @@ def stored_table_rates(spark: SparkSession, folder: str) -> DataFrame:
     return reports.rate_by_payment_method(stored)
 
 
+def clustered_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean table by customer and card, in many small files."""
+    path = scratch_path(spark, "clean-clustered")
+    return layout.write_clustered(
+        fx.stored_clean(spark, folder), path, ["client_id", "card_id"], "transaction_id", file_rows=SMALL_FILE
+    )
+
+
+def rewritten_table_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates from a table that was rewritten from itself without its refunds."""
+    table = Snapshots(spark, scratch_path(spark, "clean-snapshots"))
+    first = table.replace(fx.clean(spark, folder))
+    table.replace(first.where("amount >= 0"), sort_by="transaction_id", expect=table.current())
+    table.drop_old()
+    return reports.rate_by_payment_method(table.read())
+
+
+def stored_cube(spark: SparkSession, folder: str) -> DataFrame:
+    return files.replace_table(cube.fraud_cube(fx.clean(spark, folder), PERIOD_CUT), scratch_path(spark, "cube"))
+
+
+def median_from_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Median amount by label, from sketches kept by month and label."""
+    clean = fx.stored_clean(spark, folder).withColumn("month", month_start(F.col("transaction_time")))
+    kept = files.replace_table(value_sketches(clean, ["month", "is_fraud"], "amount"), scratch_path(spark, "sketches"))
+    found = quantile_from_sketches(clean, kept, ["is_fraud"], "amount", 0.5, "median_amount")
+    return found.select("is_fraud", F.round("median_amount", 2).alias("median_amount"))
+
+
+def baseline_equations(spark: SparkSession, folder: str) -> DataFrame:
+    train = store(splits(spark, folder)["baseline_train"], "train")
+    return newton.score_equations(newton.fit_newton(train), train)
+
+
 def cards_from_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Delivered with other columns, in another order."""
     path = scratch_path(spark, "cards-csv")
@@ -294,7 +333,14 @@ def own_queries() -> dict[str, Query]:
         "transaction_investigation": lambda s, d: lookup.investigate_payment(
             files.replace_table(fx.clean(s, d), scratch_path(s, "clean"), sort_by="transaction_id"), 842
         ),
+        "investigation_clustered": lambda s, d: lookup.investigate_payment(clustered_clean(s, d), 842),
+        "rewritten_table_rates": rewritten_table_rates,
         # Fraud rates, amounts, drift
+        "fraud_rate_cube": lambda s, d: cube.fraud_cube(fx.clean(s, d), PERIOD_CUT),
+        "rate_by_hour_from_cube": lambda s, d: cube.rate_by(stored_cube(s, d), "hour"),
+        "high_risk_mcc_from_cube": lambda s, d: cube.high_risk_categories(stored_cube(s, d), min_transactions=MIN_TRANSACTIONS),
+        "drift_payment_method_from_cube": lambda s, d: cube.drift_by_payment_method(stored_cube(s, d)),
+        "median_from_sketches": median_from_sketches,
         "overall_summary": on_clean(reports.overall_rate),
         "dashboard_summary": on_clean(reports.dashboard_summary),
         "rate_by_payment_method": on_clean(reports.rate_by_payment_method),
@@ -332,6 +378,7 @@ def own_queries() -> dict[str, Query]:
         "baseline_model_evaluation": evaluated(baseline_scores),
         "recent_model_evaluation": evaluated(recent_scores),
         "baseline_model_balance": baseline_balance,
+        "baseline_score_equations": baseline_equations,
         "recent_model_check": recent_check,
         "saved_model_scores": saved_model_scores,
         "threshold_decision": lambda s, d: metrics.decide(fx.scored(s, d)),

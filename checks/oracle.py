@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from payrisk.functions.mcc import MCC_DESCRIPTIONS
+from payrisk.plans.cube import GROUPINGS
+from payrisk.plans.cube import KEYS as CUBE_KEYS
 from payrisk.schemas import BEHAVIOR_COLUMNS, MODEL_FEATURES
 
 PLAIN = "replace(format('{:,.2f}', value), ',', '')"
@@ -243,6 +245,45 @@ DRIFT_AMOUNT = """SELECT dataset, is_fraud, round(avg(abs(amount)), 2) AS avg_am
 FROM dated GROUP BY dataset, is_fraud ORDER BY dataset, is_fraud"""
 
 
+PERIODS = """SELECT *, cast(date_trunc('month', transaction_time) AS TIMESTAMP) AS month,
+  CASE WHEN transaction_time < TIMESTAMP '2024-01-20' THEN 'TRAIN - Past' ELSE 'TEST - Future' END AS dataset FROM transactions_clean"""
+
+DUCK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "timestamp_ntz": "TIMESTAMP"}
+
+
+def cube_sql() -> str:
+    parts = []
+    for name, keys in GROUPINGS.items():
+        shown = ", ".join(f"cast({k if k in keys else 'NULL'} AS {DUCK_TYPES[t]}) AS {k}" for k, t in CUBE_KEYS.items())
+        grouped = f" GROUP BY {', '.join(keys)}" if keys else ""
+        parts.append(
+            f"SELECT '{name}' AS grouping, {shown}, count(*) AS transactions, "
+            f"cast(sum(is_fraud) AS BIGINT) AS fraud_transactions FROM periods{grouped}"
+        )
+    return query(CLEAN + f", periods AS ({PERIODS})", " UNION ALL ".join(parts))
+
+
+def score_equations_sql() -> str:
+    """What the labels say: the balanced mean of label times scaled feature. No model is needed."""
+    stats = ", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS d_{f}" for f in MODEL_FEATURES)
+    scaled = ", ".join(f"coalesce((f.{f} - s.a_{f}) / nullif(s.d_{f}, 0), 0) AS {f}" for f in MODEL_FEATURES)
+    ctes = (
+        MATRIX
+        + f""",
+fills AS (SELECT {medians(MODEL_FEATURES, 'baseline_train')}),
+filled AS (SELECT transaction_id, {filled(MODEL_FEATURES)}, is_fraud FROM baseline_train, fills),
+stats AS (SELECT {stats} FROM filled),
+sizes AS (SELECT count(*) AS n, sum(is_fraud) AS n1 FROM filled),
+scaled AS MATERIALIZED (
+  SELECT {scaled}, 1.0::DOUBLE AS intercept, f.is_fraud, CASE WHEN f.is_fraud = 1 THEN n / (2.0::DOUBLE * n1) ELSE n / (2.0::DOUBLE * (n - n1)) END AS weight
+  FROM filled f, stats s, sizes)"""
+    )
+    return query(ctes, " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(sum(weight * is_fraud * {f}) / sum(weight), 6) AS moment FROM scaled"
+        for f in [*MODEL_FEATURES, "intercept"]
+    ))
+
+
 def oracle_sql() -> dict[str, str]:
     everything = "SELECT * FROM "
     matrix = query(MATRIX, everything + "model_matrix")
@@ -403,6 +444,32 @@ FROM (SELECT is_fraud, 1.0 / count(*) OVER (PARTITION BY is_fraud) AS w FROM bas
 FROM transactions_clean t LEFT JOIN behavior_features h ON t.transaction_id = h.transaction_id
 WHERE t.transaction_id = 842 LIMIT 1""",
         ),
+        "investigation_clustered": query(
+            BEHAVIOR,
+            """SELECT t.transaction_id, t.transaction_time, t.amount, t.use_chip, t.merchant_id, t.mcc, t.has_error, t.is_fraud,
+  round(h.customer_previous_avg, 2) AS customer_avg_spend, round(h.card_previous_avg, 2) AS card_avg_spend,
+  round(h.amount_vs_customer_avg, 2) AS amount_vs_customer_avg, round(h.amount_vs_card_avg, 2) AS amount_vs_card_avg,
+  CASE WHEN t.is_fraud = 1 THEN 'FRAUD' ELSE 'LEGITIMATE' END AS outcome, t.has_error = 1 AS error_warning
+FROM transactions_clean t LEFT JOIN behavior_features h ON t.transaction_id = h.transaction_id
+WHERE t.transaction_id = 842 LIMIT 1""",
+        ),
+        "rewritten_table_rates": query(
+            CLEAN, f"SELECT use_chip, {counts()} FROM transactions_clean WHERE amount >= 0 GROUP BY use_chip"
+        ),
+        "fraud_rate_cube": cube_sql(),
+        "rate_by_hour_from_cube": rates("transaction_hour"),
+        "high_risk_mcc_from_cube": query(
+            CLEAN,
+            f"SELECT mcc, {counts()} FROM transactions_clean GROUP BY mcc " + top.format(rate="fraud_rate_pct", n=15),
+        ),
+        "drift_payment_method_from_cube": query(
+            CLEAN + f", periods AS ({PERIODS})",
+            f"SELECT dataset, use_chip, {counts(fraud='fraud')} FROM periods GROUP BY dataset, use_chip",
+        ),
+        "median_from_sketches": query(
+            CLEAN, "SELECT is_fraud, round(median(amount), 2) AS median_amount FROM transactions_clean WHERE amount IS NOT NULL GROUP BY is_fraud"
+        ),
+        "baseline_score_equations": score_equations_sql(),
         "baseline_train_set": query(MATRIX, everything + "baseline_train"),
         "recent_train_set": query(MATRIX, everything + "recent_train"),
         "future_test_set": query(MATRIX, everything + "future_test"),
