@@ -2,15 +2,17 @@
 
 The objective is that of ``models.fit_baseline``: weighted mean log loss plus half the penalty times the squared coefficients, without the
 intercept. It is strictly convex, so the coefficients at which its gradient is zero are the only ones. Each Newton step is one
-aggregate over the rows: loss, gradient and Gram matrix, a few hundred sums that are combined inside each task. The system of as
+pass over the rows: loss, gradient and Gram matrix, a few hundred sums that are combined inside each task. The system of as
 many equations as features is solved on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,24 +68,33 @@ def prepared(train: DataFrame) -> tuple[DataFrame, dict, dict]:
 
 
 def _derivatives(rows: DataFrame, weights: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Objective, gradient and Hessian at some weights, by one aggregate."""
-    x, n = _inputs(), len(weights)
-    placed = rows.withColumn("_m", _margin(weights))
-    placed = placed.withColumn("_p", 1 / (1 + F.exp(-F.col("_m"))))
-    placed = placed.withColumns({
-        "_r": F.col("weight") * (F.col("_p") - F.col("is_fraud")), "_h": F.col("weight") * F.col("_p") * (1 - F.col("_p"))
-    })
-    # log(1 + exp(m)) - y m, without overflow.
-    loss = F.greatest("_m", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_m"))) - F.col("is_fraud") * F.col("_m")
-    sums = [F.sum("weight"), F.sum(F.col("weight") * loss), *[F.sum(F.col("_r") * v) for v in x]]
-    sums += [F.sum(F.col("_h") * x[i] * x[j]) for i in range(n) for j in range(i + 1)]
-    found = placed.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
-    total, values = found[0], np.array(found[2:], float) / found[0]
+    """Objective, gradient and Hessian at some weights, by one pass.
+
+    A task multiplies its batches as matrices and hands on one row of sums. (As column sums this would be hundreds of expressions that are
+    compiled anew for the weights of every step.)
+    """
+    n = len(weights)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + n + n * n)
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            x, y, w = np.column_stack([*columns[: n - 1], np.ones(batch.num_rows)]), columns[n - 1], columns[n]
+            m = x @ weights
+            p = 1 / (1 + np.exp(-m))
+            loss = np.maximum(m, 0) + np.log1p(np.exp(-np.abs(m))) - y * m
+            total += np.concatenate([[w.sum(), w @ loss], x.T @ (w * (p - y)), ((x.T * (w * p * (1 - p))) @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["slot", "part"])
+
+    parts = rows.select(*MODEL_FEATURES, "is_fraud", "weight").mapInArrow(sums, "slot bigint, part double")
+    # As many rows as there are sums, however many rows the table has.
+    found = np.zeros(2 + n + n * n)
+    for r in parts.groupBy("slot").agg(F.sum("part").alias("total")).collect():
+        found[r["slot"]] = r["total"]
+    values = found[2:] / found[0]
     shrunk = penalty * np.append(weights[:-1], 0.0)
-    hessian = np.zeros((n, n))
-    hessian[np.tril_indices(n)] = values[n:]
-    hessian = hessian + np.tril(hessian, -1).T + np.diag(np.append(np.full(n - 1, penalty), 0.0))
-    return found[1] / total + 0.5 * float(shrunk @ weights), values[:n] + shrunk, hessian
+    hessian = values[n:].reshape(n, n) + np.diag(np.append(np.full(n - 1, penalty), 0.0))
+    return found[1] / found[0] + 0.5 * float(shrunk @ weights), values[:n] + shrunk, hessian
 
 
 def fit_newton(train: DataFrame, penalty: float = models.LINEAR_PENALTY, tolerance: float = TOLERANCE) -> LinearFit:
