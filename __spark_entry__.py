@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 from math import log
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from payrisk import fixtures as fx  # noqa: E402
 from payrisk.functions.columns import month_start  # noqa: E402
 from payrisk.operators.quantiles import exact_quantiles  # noqa: E402
 from payrisk.operators.sketches import quantile_from_sketches, value_sketches  # noqa: E402
-from payrisk.plans import cube, datasets, lookup, metrics, models, newton, quality, reports, tables  # noqa: E402
+from payrisk.plans import cube, datasets, leafwise, lookup, metrics, models, newton, quality, reports, tables  # noqa: E402
 from payrisk.schemas import MODEL_FEATURES  # noqa: E402
 from payrisk.session import scratch_path, store  # noqa: E402
 from payrisk.sources import files, layout  # noqa: E402
@@ -41,6 +42,7 @@ SMALL_GROUP = 150
 SMALL_DIRECT = 200
 SMALL_FILE = 100
 PERIOD_CUT = "2024-01-20"
+TREE_ROUNDS = 6
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -257,6 +259,21 @@ def recent_check(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def recent_trees_structure(spark: SparkSession, folder: str) -> DataFrame:
+    """Per tree of a leaf-wise fit: its size, and whether its leaves hold the rows that their thresholds select."""
+    train = store(splits(spark, folder)["recent_train"], "train")
+    forest = leafwise.fit_leafwise(train, TREE_ROUNDS)
+    counts = [leafwise.leaf_rows(train, forest, t).withColumn("tree", F.lit(t).cast("bigint")) for t in range(len(forest.trees))]
+    found = reduce(DataFrame.unionByName, counts)
+    return found.groupBy("tree").agg(
+        (F.count(F.lit(1)) <= leafwise.MAX_LEAVES).alias("leaves_within_limit"),
+        F.sum("rows").alias("leaf_rows"),
+        F.sum("fraud_rows").alias("fraud_rows"),
+        F.min(F.col("rows") >= models.MIN_LEAF_ROWS).alias("no_leaf_too_small"),
+        F.min(F.col("rows") == F.col("rows_when_grown")).alias("rows_as_when_grown"),
+    )
+
+
 def saved_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of a fitted model beside those of the same model saved and loaded."""
     parts, path = splits(spark, folder), scratch_path(spark, "model")
@@ -380,6 +397,7 @@ def own_queries() -> dict[str, Query]:
         "baseline_model_balance": baseline_balance,
         "baseline_score_equations": baseline_equations,
         "recent_model_check": recent_check,
+        "recent_trees_structure": recent_trees_structure,
         "saved_model_scores": saved_model_scores,
         "threshold_decision": lambda s, d: metrics.decide(fx.scored(s, d)),
         "confusion_matrix": on_scored(metrics.confusion_matrix),

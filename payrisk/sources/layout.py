@@ -51,9 +51,10 @@ def hilbert(a: Column, b: Column, bits: int) -> Column:
 
 def range_bounds(df: DataFrame, columns: list[str], ranges: int) -> dict[str, list[float]]:
     """Values that cut each column into ranges of about as many rows; a heavy value is a range of its own."""
-    fractions = [k / ranges for k in range(1, ranges)]
+    fractions = ", ".join(f"{k / ranges}D" for k in range(1, ranges))
+    accuracy = ranges * BOUNDS_ACCURACY
     found = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), fractions, ranges * BOUNDS_ACCURACY).alias(c) for c in columns]
+        *[F.expr(f"percentile_approx(double(`{c}`), array({fractions}), {accuracy})").alias(c) for c in columns]
     ).first()
     return {c: sorted(set(found[c] or [])) for c in columns}
 
