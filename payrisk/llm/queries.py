@@ -96,7 +96,7 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
     return found.select(
-        "doc.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess"
+        "doc.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess", "bits"
     )
 
 

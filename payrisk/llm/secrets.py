@@ -11,7 +11,9 @@ random value is one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -28,15 +30,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_MIN, ACCESS_MIN = 12, 18
 
-# Other ways to name a credential and give its value.
+# Other ways to name a credential and give its value. What stands before the name, as in db_pass, needs no look: a name begins
+# where no letter or digit is before it, so a long run of hyphens or words is passed once.
 CONTEXT = re.compile(
-    r"""(?ia:\b(?:[a-z0-9]+[_-])*"""
+    r"""(?ia:(?<![a-z0-9])"""
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_-]?key|auth|credentials?|(?:access|private)[_-]?key|login)"""
     r"""["']?\x20{0,3}(?:[:=]{1,2}|=>)\x20{0,3}["']?)([!#-&(-~]{6,})""",
     re.A,
 )
+# A value that code looks up: names joined by dots, or a call or an index behind a name.
+REFERENCE = re.compile(r"""([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(\(|\[)?""", re.A)
+REFERENCE_PART_BITS = 26.0
 KINDS = ("assign", "access", "hex", "guess")
-MIN_VALUE, MIN_BITS = 6, 34.0
+MIN_BITS = 34.0
 
 # Words that passwords are made of, most usual first.
 WORDS = (
@@ -59,6 +65,7 @@ ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
 # No segment but single characters goes on beyond LONGEST, so every spelling passes one of any REACH neighbouring places.
 LONGEST, REACH = 32, 36
+KEPT_LENGTH = 64
 NEW_SEGMENT = 1.0  # bits for where a segment ends
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
 YEAR = re.compile(r"(?:19|20)\d\d", re.A)
@@ -93,6 +100,16 @@ def char_bits(char: str) -> float:
 
 
 def guess_bits(value: str, enough: float = MIN_BITS) -> float:
+    """Cost of the cheapest spelling in bits; costs of short values are kept, since values repeat."""
+    return _kept_bits(value, enough) if len(value) <= KEPT_LENGTH else _guess_bits(value, enough)
+
+
+@lru_cache(maxsize=1 << 14)
+def _kept_bits(value: str, enough: float) -> float:
+    return _guess_bits(value, enough)
+
+
+def _guess_bits(value: str, enough: float) -> float:
     """Cost of the cheapest spelling in bits; stops at a lower bound once that reaches ``enough``.
 
     ``best[i]`` is the least cost of the first i characters; ``single[i]`` the same
@@ -153,18 +170,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_reference(value: str) -> bool:
+    """Whether a value is an expression that names where the secret is: a call or an index behind names without digits, closed again,
+    or cheap words joined by dots."""
+    m, plain = REFERENCE.match(value), value.rstrip(";,")
+    if not m:
+        return False
+    if m.group(2):
+        # A value ends before a quote, so behind the bracket there may be nothing.
+        closed = len(value) == m.end() or plain.endswith(")" if m.group(2) == "(" else "]")
+        return closed and not any(c.isdigit() for c in m.group(1))
+    if "." not in m.group(1) or len(plain) != m.end():
+        return False
+    return all(guess_bits(p, REFERENCE_PART_BITS) < REFERENCE_PART_BITS for p in re.split(r"[._$]+", m.group(1)) if p)
+
+
 def guess_spans(
     text: str, known: list[tuple[int, int, int]], min_bits: float = MIN_BITS
 ) -> list[tuple[int, int, int]]:
-    """Costly values of credentials that no span in ``known`` touches."""
+    """Costly values of credentials that no span in ``known`` (sorted) touches."""
     found = []
+    starts, ends = [s for s, _, _ in known], list(accumulate((e for _, _, e in known), max))
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        if all(end <= a or b <= start for start, _, end in known) and guess_bits(m.group(1), min_bits) >= min_bits:
+        before = bisect_left(starts, b)
+        if (not before or ends[before - 1] <= a) and guess_bits(m.group(1), min_bits) >= min_bits and not is_reference(m.group(1)):
             found.append((a, 3, b))
     return found
 
 
+def bits_of(text: str, spans: list[tuple[int, int, int]], min_bits: float = MIN_BITS) -> str:
+    """kind:start:bits of every credential value among the spans: its guess cost, or ``min_bits`` where it is at least that."""
+    shown = []
+    for start, kind, end in spans:
+        if kind in (0, 3):
+            value = ASSIGN.match(text, start, end).group(2) if kind == 0 else text[start:end]
+            shown.append(f"{KINDS[kind]}:{start}:{min(guess_bits(value, min_bits), min_bits):.1f}")
+    return ",".join(shown)
+
+
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     """``text`` with each span, or run of overlapping ones, replaced by the kind that begins it."""
     parts, at, upto = [], 0, 0
@@ -180,8 +224,10 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-SCHEMA = "n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base string, spans string, redacted string"
-TYPES = [*[pa.int64()] * 4, *[pa.string()] * 3]
+SCHEMA = (
+    "n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base string, spans string, bits string, redacted string"
+)
+TYPES = [*[pa.int64()] * 4, *[pa.string()] * 4]
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
@@ -189,8 +235,9 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     """Every row of ``docs`` as ``doc``, and the secrets in its text.
 
     ``base`` (the three patterns) and ``spans`` (all) list kind:start:end in code points, by start, then kind;
-    ``redacted`` is the text without the secrets, null if there are none. A null text is empty. Every
-    row is scanned, also if it repeats; an empty table gives no rows.
+    ``bits`` has the guess cost of every credential value, those inside base spans too; ``redacted`` is the text without the secrets, null if
+    there are none. A null text is empty. Every row is scanned, also if it repeats; an empty table gives no rows. Time grows
+    with the length of a text, whatever runs it holds.
     """
 
     def step(batches: Batches) -> Batches:
@@ -209,7 +256,7 @@ def _scanned(text: str, min_bits: float) -> tuple:
     base = base_spans(text)
     spans = sorted(base + guess_spans(text, base, min_bits))
     counts = [sum(k == kind for _, k, _ in spans) for kind in range(len(KINDS))]
-    return *counts, written(base), written(spans), redact(text, spans) if spans else None
+    return *counts, written(base), written(spans), bits_of(text, spans, min_bits), redact(text, spans) if spans else None
 
 
 def mask(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
