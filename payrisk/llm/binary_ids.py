@@ -30,6 +30,15 @@ BLOCK_SCHEMA = "part int, block int, first bigint, n_ids bigint, words binary, d
 DOC_SCHEMA = "part int, first bigint, doc_id bigint, n_tokens bigint, ids binary"
 
 
+def bit_widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each unsigned integer."""
+    if len(values) and int(values.max()) >= 1 << 53:  # more than a double holds exactly
+        high = values >> np.uint64(32)
+        low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+        return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """Simple-8b words of unsigned integers; each word takes as many as fit."""
     values = np.asarray(values, np.uint64)
@@ -37,15 +46,16 @@ def pack(values: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.uint64)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    most = int(values.max())
+    # Widest of the 1, 2, 4, ... values from each place on; two of these cover any other count.
+    widest = [bit_widths(padded)]
+    while 2 << len(widest) <= 2 * 60:
+        last, reach = widest[-1], 1 << len(widest) - 1
+        widest.append(np.append(np.maximum(last[:-reach], last[reach:]), last[-reach:]))
     selector = np.full(n, ESCAPE, np.uint8)
-    wide = np.zeros(len(padded) + 1, np.int32)
     for s in range(len(COUNTS) - 1, 0, -1):
-        if most < 1 << 60 // COUNTS[s]:
-            selector[:] = s
-            continue
-        np.cumsum(padded >= np.uint64(1 << 60 // COUNTS[s]), dtype=np.int32, out=wide[1:])
-        np.copyto(selector, s, where=wide[COUNTS[s] : COUNTS[s] + n] == wide[:n])
+        power = COUNTS[s].bit_length() - 1
+        own, rest = widest[power], COUNTS[s] - (1 << power)
+        selector[np.maximum(own[:n], own[rest : rest + n]) <= 60 // COUNTS[s]] = s
     step = np.array([*COUNTS, 1])[selector].tolist()
     starts, at = [], 0
     while at < n:

@@ -146,13 +146,14 @@ class CachedTokenizer:
                     others.append(chunk)
                     continue
                 word = m.group(1).encode()
-            if len(word) == len(chunk):
-                known[chunk] = ids_of(word)
-            else:
+            ids = known.get(word)
+            if ids is None:
+                known[word] = ids = ids_of(word)
+            if len(word) != len(chunk):
                 marks = chunk[len(word) :]
                 if marks not in known:
                     known[marks] = ids_of(marks)
-                known[chunk] = (known.get(word) or ids_of(word)) + known[marks]
+                known[chunk] = ids + known[marks]
         if others:
             found = self.library.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
             self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(others, found))
