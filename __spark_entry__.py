@@ -18,10 +18,10 @@ from payrisk import fixtures as fx  # noqa: E402
 from payrisk.functions.columns import month_start  # noqa: E402
 from payrisk.operators.quantiles import exact_quantiles  # noqa: E402
 from payrisk.operators.sketches import quantile_from_sketches, value_sketches  # noqa: E402
-from payrisk.plans import cube, datasets, leafwise, lookup, metrics, models, newton, quality, reports, tables  # noqa: E402
-from payrisk.schemas import MODEL_FEATURES  # noqa: E402
+from payrisk.plans import carried, cube, datasets, leafwise, lookup, metrics, models, newton, quality, reports, tables  # noqa: E402
+from payrisk.schemas import MODEL_FEATURES, RAW_TRANSACTIONS  # noqa: E402
 from payrisk.session import scratch_path, store  # noqa: E402
-from payrisk.sources import files, layout  # noqa: E402
+from payrisk.sources import files, layout, sniffing  # noqa: E402
 from payrisk.sources.snapshots import Snapshots  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +144,69 @@ def labels_from_json(spark: SparkSession, folder: str) -> DataFrame:
     return files.encode_labels(files.read_label_json(spark, path))
 
 
+def behavior_in_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """History of three loads: the first days, the others, and last the payments that came late."""
+    clean = fx.stored_clean(spark, folder)
+    late, early = F.col("transaction_id") % 13 == 0, F.col("transaction_time") < F.lit(PERIOD_CUT).cast("timestamp_ntz")
+    history = carried.CarriedHistory(spark, scratch_path(spark, "carried"), fx.DECIMALS)
+    for part in (~late & early, ~late & ~early, late):
+        history.extend(clean.where(part))
+    return history.features()
+
+
+def delivery(spark: SparkSession, folder: str) -> sniffing.Delivery:
+    """Payments with columns nobody agreed on, and rows with a wrong customer or time; read back with their types."""
+    path, number = scratch_path(spark, "delivery-csv"), F.col("id")
+    raw = fx.raw_transactions(spark, folder)
+    files.write_csv(
+        raw.withColumns({
+            "client_id": F.when(number % 41 == 0, "n/a").otherwise(F.col("client_id").cast("string")),
+            "date": F.when(number % 43 == 0, "yesterday").otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
+            "terminal": number % 1000,
+            "fee": F.format_number((number % 100) / 4, 2),
+            "booked": F.to_date("date").cast("string"),
+            "remote": F.col("use_chip") == "Online Transaction",
+            "batch": F.when(number % 100 == 3, "A7").otherwise((number % 9).cast("string")),
+        }),
+        path,
+    )
+    return sniffing.read_delivery(spark, path, RAW_TRANSACTIONS)
+
+
+def sniffed_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Type of each column outside the agreed schema, and how many rows have a value of it."""
+    found = delivery(spark, folder)
+    extra = [c for c in found.types if c not in RAW_TRANSACTIONS.names]
+    counted = found.rows.agg(*[F.count(c).alias(c) for c in extra])
+    types = F.create_map(*[F.lit(x) for c in extra for x in (c, found.types[c])])
+    return counted.unpivot([], extra, "column_name", "n_values").select(
+        "column_name", F.element_at(types, F.col("column_name")).alias("column_type"), "n_values"
+    )
+
+
+def rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the delivery that do not parse, by their id, with the reason."""
+    rejected = delivery(spark, folder).rejected
+    number = F.get_json_object("raw", "$.id").cast("bigint")
+    return rejected.select(number.alias("id"), "reason", F.col("file").isNotNull().alias("has_file"))
+
+
+def accepted_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return delivery(spark, folder).rows.select("id", "client_id", "date", "amount", "terminal", "fee", "remote", "batch")
+
+
+def matrix_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The three tables joined where they lie: 8, 4 and 4 buckets of the transaction id."""
+    spark.conf.set("spark.sql.bucketing.coalesceBucketsInJoin.enabled", "true")
+
+    def saved(df: DataFrame, buckets: int) -> DataFrame:
+        path = scratch_path(spark, "bucketed")
+        return files.replace_bucketed_table(df, path.rsplit("/", 1)[-1].replace("-", "_"), "transaction_id", buckets, path)
+
+    parts = saved(fx.basic(spark, folder), 8), saved(fx.behavior(spark, folder), 4), saved(fx.clean(spark, folder), 4)
+    return tables.model_matrix_from_tables(*parts, merge=True)
+
+
 def matrix_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     clean = fx.clean(spark, folder)
     return tables.model_matrix_from_tables(fx.basic(spark, folder), fx.behavior(spark, folder), clean)
@@ -330,6 +393,12 @@ def own_queries() -> dict[str, Query]:
             tables.model_matrix, clean=fx.clean_skewed, max_group_rows=SMALL_GROUP, decimals=fx.DECIMALS
         ),
         "model_matrix_from_tables": matrix_from_tables,
+        "model_matrix_bucketed": matrix_bucketed,
+        "behavior_features_incremental": behavior_in_loads,
+        # Deliveries that are not all as agreed
+        "sniffed_types": sniffed_types,
+        "rejected_rows": rejected_rows,
+        "accepted_rows": accepted_rows,
         # Checks and previews
         "label_summary": lambda s, d: quality.label_summary(fx.raw_labels(s, d)),
         "fraud_ids": lambda s, d: quality.fraud_ids(fx.raw_labels(s, d)),
@@ -341,6 +410,7 @@ def own_queries() -> dict[str, Query]:
         "behavior_row_count": lambda s, d: quality.row_count(fx.behavior(s, d)),
         "join_coverage": _with_cards(quality.join_coverage),
         "join_coverage_hot_keys": _skewed(quality.join_coverage),
+        "join_coverage_bitmaps": _with_cards(quality.join_coverage_by_bitmaps),
         "connected_transactions": _with_cards(quality.connected_transactions),
         "connected_transactions_hot_keys": _skewed(quality.connected_transactions),
         "connected_preview": _with_cards(quality.connected_preview),

@@ -77,6 +77,25 @@ transactions_clean AS (
     f.is_fraud
   FROM raw_transactions t JOIN fraud_labels f ON t.id = f.transaction_id)"""
 
+# Rows of the delivery with wrong fields, and what the columns outside the schema hold.
+GOOD = "(id % 41 <> 0 AND id % 43 <> 0)"
+SNIFFED = f"""
+SELECT column_name, column_type, n_values FROM (
+  SELECT 'terminal' AS column_name, 'bigint' AS column_type, count(*) AS n_values FROM raw_transactions WHERE {GOOD}
+  UNION ALL SELECT 'fee', 'double', count(*) FROM raw_transactions WHERE {GOOD}
+  UNION ALL SELECT 'booked', 'date', count(date) FROM raw_transactions WHERE {GOOD}
+  UNION ALL SELECT 'remote', 'boolean', count(use_chip) FROM raw_transactions WHERE {GOOD}
+  UNION ALL SELECT 'batch', CASE WHEN count(*) FILTER (id % 100 = 3) > 0 THEN 'string' ELSE 'bigint' END, count(*)
+    FROM raw_transactions WHERE {GOOD})"""
+REJECTED = f"""
+SELECT id, concat_ws('; ', CASE WHEN id % 43 = 0 THEN 'date is no timestamp_ntz' END,
+    CASE WHEN id % 41 = 0 THEN 'client_id is no bigint' END) AS reason, true AS has_file
+FROM raw_transactions WHERE NOT {GOOD}"""
+ACCEPTED = f"""
+SELECT id, client_id, date, amount, id % 1000 AS terminal, (id % 100) / 4 AS fee, use_chip = 'Online Transaction' AS remote,
+  CASE WHEN id % 100 = 3 THEN 'A7' ELSE cast(id % 9 AS VARCHAR) END AS batch
+FROM raw_transactions WHERE {GOOD}"""
+
 BASIC = CLEAN + f""",
 attributes AS (
   SELECT t.*, abs(t.amount) AS absolute_amount, cast(c.has_chip AS BOOLEAN) AS has_chip,
@@ -331,6 +350,11 @@ FROM raw_transactions t JOIN fraud_labels f ON t.id = f.transaction_id""",
         "model_matrix": matrix,
         "model_matrix_hot_keys": skewed(matrix),
         "model_matrix_from_tables": matrix,
+        "model_matrix_bucketed": matrix,
+        "behavior_features_incremental": query(BEHAVIOR, everything + "behavior_features"),
+        "sniffed_types": query(RAW, SNIFFED),
+        "rejected_rows": query(RAW, REJECTED),
+        "accepted_rows": query(RAW, ACCEPTED),
         "feature_table_check": query(
             BASIC,
             "SELECT count(*) AS rows, cast(sum(is_fraud) AS BIGINT) AS fraud_transactions FROM model_features_basic",
@@ -389,6 +413,7 @@ WHERE h.amount_vs_customer_avg IS NOT NULL AND h.amount_vs_card_avg IS NOT NULL
         "time_quantile_cutoffs": query(CLEAN, CUTOFFS),
         "time_quantile_cutoffs_narrowed": query(LONG, CUTOFFS),
         "join_coverage": query(CLEAN, COVERAGE),
+        "join_coverage_bitmaps": query(CLEAN, COVERAGE),
         "connected_transactions": query(CLEAN, CONNECTED),
         "connected_transactions_hot_keys": skewed(query(CLEAN, CONNECTED)),
         "connected_preview": query(CLEAN, CONNECTED + " ORDER BY t.transaction_id LIMIT 10"),

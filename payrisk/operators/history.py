@@ -49,22 +49,23 @@ def prior_average(df: DataFrame, key: str, output: str, decimals: int | None = N
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     total, count = F.sum("_size").over(earlier), F.count("_size").over(earlier)
-    return _sized(df, decimals).withColumn(output, _average(total, count, decimals)).drop("_size")
+    return sized(df, decimals).withColumn(output, average_of(total, count, decimals)).drop("_size")
 
 
 def prior_average_in_blocks(
     df: DataFrame, key: str, output: str, decimals: int | None, hot: HotKeys, rows_per_block: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """The same for rows of heavy keys only, however many rows each of them has."""
-    counted = _sized(df, decimals).withColumn("_one", F.col("_size").isNotNull().cast("bigint"))
+    counted = sized(df, decimals).withColumn("_one", F.col("_size").isNotNull().cast("bigint"))
     totals = prior_totals(
         counted, [key], ORDER, ["_size", "_one"], hot.n_rows, hot.n_keys, rows_per_block=rows_per_block
     )
-    average = _average(F.col("prior__size"), F.col("prior__one"), decimals)
+    average = average_of(F.col("prior__size"), F.col("prior__one"), decimals)
     return totals.withColumn(output, average).drop("_size", "_one", "prior__size", "prior__one")
 
 
-def _sized(df: DataFrame, decimals: int | None) -> DataFrame:
+def sized(df: DataFrame, decimals: int | None) -> DataFrame:
+    """Adds ``_size``, what is summed: the absolute amount, or whole units of it."""
     if decimals is None:
         return df.withColumn("_size", F.col("absolute_amount").cast("double"))
     amount = F.col("absolute_amount").cast("double")
@@ -76,7 +77,8 @@ def _sized(df: DataFrame, decimals: int | None) -> DataFrame:
     return df.withColumn("_size", exact)
 
 
-def _average(total: Column, count: Column, decimals: int | None) -> Column:
+def average_of(total: Column, count: Column, decimals: int | None) -> Column:
+    """Average amount from a total of sizes."""
     mean = total.cast("double") / count
     if decimals is not None:
         mean = mean / F.lit(float(10**decimals))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.functions import columns as c
+from payrisk.operators.bitmaps import MAX_BUCKETS, id_bitmaps, with_found
 from payrisk.operators.skew import MAX_GROUP_ROWS, find_hot_keys_of, left_lookups
 from payrisk.plans.tables import labelled
 from payrisk.session import store
@@ -71,6 +72,25 @@ def join_coverage(
     )
 
 
+def join_coverage_by_bitmaps(clean: DataFrame, cards: DataFrame, users: DataFrame, *, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """The same coverage from bitmaps of the card and customer ids: the transactions are read once and do not shuffle.
+
+    Each transaction counts once, also if a card or customer is listed repeatedly. Ids too sparse for bitmaps go through joins.
+    """
+    sides = [(cards, "card_id", "has_card"), (users, "client_id", "has_user")]
+    found = clean.select("card_id", "client_id")
+    for lookup, column, name in sides:
+        bitmaps = store(id_bitmaps(lookup, "id"), "id-bitmaps")
+        found = with_found(found, bitmaps, column, name, max_buckets)
+        if found is None:
+            return join_coverage(clean, cards.select("id").distinct(), users.select("id").distinct())
+    return found.agg(
+        F.count(F.lit(1)).alias("total_transactions"),
+        F.count_if("has_card").alias("card_matches"),
+        F.count_if("has_user").alias("customer_matches"),
+    )
+
+
 def connected_transactions(
     clean: DataFrame, cards: DataFrame, users: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:

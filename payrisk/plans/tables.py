@@ -72,7 +72,7 @@ def _card_columns() -> dict[str, Column]:
     }
 
 
-def _behavior_columns() -> dict[str, Column]:
+def behavior_columns() -> dict[str, Column]:
     size = F.col("absolute_amount")
     return {
         "amount_vs_customer_avg": c.ratio(size, F.col("customer_previous_avg")),
@@ -114,7 +114,7 @@ def behavior_features(
         )
         if key == "client_id" and hot["card_id"] is not None:
             rows = store(rows, "customer-history")
-    return rows.withColumns(_behavior_columns()).select(*BEHAVIOR_COLUMNS)
+    return rows.withColumns(behavior_columns()).select(*BEHAVIOR_COLUMNS)
 
 
 def _matrix_columns() -> list[Column]:
@@ -123,9 +123,16 @@ def _matrix_columns() -> list[Column]:
     return [extra[n].alias(n) if n in extra else F.col(n) for n in names]
 
 
-def model_matrix_from_tables(basic: DataFrame, behavior: DataFrame, clean: DataFrame) -> DataFrame:
-    """Three-way join of the stored tables on the transaction id."""
+def model_matrix_from_tables(
+    basic: DataFrame, behavior: DataFrame, clean: DataFrame, *, merge: bool = False
+) -> DataFrame:
+    """Three-way join of the stored tables on the transaction id.
+
+    ``merge`` asks for sort-merge joins whatever the sizes: of tables bucketed and sorted by the id they need no shuffle.
+    """
     times = clean.select("transaction_id", "transaction_time")
+    if merge:
+        behavior, times = behavior.hint("merge"), times.hint("merge")
     return basic.join(behavior, "transaction_id").join(times, "transaction_id").select(*_matrix_columns())
 
 
@@ -156,7 +163,7 @@ def model_matrix(
         rows = _history_and_lookup(rows, key, output, decimals, lookup, lookup_key, hot[key], max_group_rows)
         if key == "client_id" and hot["card_id"] is not None:
             rows = store(rows, "customer-side")
-    return rows.withColumns(_card_columns()).withColumns(_behavior_columns()).select(*_matrix_columns())
+    return rows.withColumns(_card_columns()).withColumns(behavior_columns()).select(*_matrix_columns())
 
 
 def _history_and_lookup(

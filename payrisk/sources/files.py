@@ -131,12 +131,18 @@ def replace_table(df: DataFrame, path: str, *, sort_by: str | None = None, parti
     return df.sparkSession.read.parquet(path)
 
 
-def replace_bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Save as a catalog table bucketed and sorted by ``key``.
+def replace_bucketed_table(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Save as a catalog table bucketed and sorted by ``key``, in the folder ``path`` or in the warehouse.
 
-    Tables with the same key and bucket count join without a shuffle.
+    Tables with the same key and bucket count join without a shuffle. So do tables of which one has a multiple of the other's buckets, while
+    ``spark.sql.bucketing.coalesceBucketsInJoin.enabled`` is set, as ``build_session`` does.
+    Each bucket is written by one task, as one file.
     """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    placed = df.repartition(buckets, key)
+    writer = placed.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from payrisk import fixtures as fx
 from payrisk.functions.mcc import MCC_DESCRIPTIONS
 from payrisk.plans import quality, tables
@@ -202,6 +203,13 @@ def test_bucketed_tables_join_without_a_shuffle(spark, folder):
             spark.sql(f"DROP TABLE {name}")
 
 
+def test_unlike_bucket_counts_join_without_a_shuffle(spark, folder):
+    matrix = registry.matrix_bucketed(spark, folder)
+    plan = matrix._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2 and "(Coalesced to 4)" in plan
+    assert matrix.count() == 900
+
+
 def test_schema_listing(spark, folder):
     listed = files.describe_columns(fx.raw_cards(spark, folder))
     assert [(r["col_name"], r["data_type"]) for r in listed.collect()] == [
