@@ -12,7 +12,8 @@ any pivot p the distances d(x, p) and d(y, p) differ by r at most. The join uses
    region that may hold a neighbour of it: to p if d(y, p) <= min(ball + r, d(y, home) + 2 r). Members beyond
    all balls are a region of their own. Regions are joined in the same way. Members whose
    neighbours are all known to be connected to them drop out, and so do the pivots.
-4. A group that fits is joined in one task by the same rules, with the documents as pivots in turn.
+4. A small group, and one of bounded size that regions would copy more than cut, is joined in one task by the same rules, with the
+   documents as pivots in turn.
 
 All similarities are exact. Links are reported as far as they connect different classes that nothing
 connects yet, so copies and dense groups are not expanded into pairs, and components are whole.
@@ -34,9 +35,10 @@ from payrisk.llm.components import components
 from payrisk.operators.skew import broadcast_if_small
 
 SHINGLE, PERCENT = 5, 80
-# Shingles of a group that one task joins.
-GROUP_CELLS = 4_000_000
-PIVOTS = 16
+# A group of more shingles than GROUP_CELLS gets pivots. Where these do not cut it into regions, one task joins up to TASK_CELLS.
+GROUP_CELLS, TASK_CELLS = 100_000, 4_000_000
+# Pivots of a group, more by the root of its size; members beside which a task compares them, at least.
+PIVOTS, MEMBERS = 16, 64
 # Members this near to their home pivot belong to its region.
 BALL = 0.5
 CLOSE = 1e-9
@@ -248,7 +250,7 @@ def split_groups(large: DataFrame, level: int, percent: int, pivots: int) -> tup
     """One level for groups that do not fit: (links to the pivots, members of the regions)."""
     radius = 1 - percent / 100
     by_hash = F.xxhash64("digest", F.lit(level))
-    some = F.pmod(by_hash, F.greatest(F.col("free_members"), F.lit(1))) < pivots
+    some = F.pmod(by_hash, F.greatest(F.col("free_members"), F.lit(1))) < F.ceil(pivots * F.sqrt("parts"))
     chosen = store(large.where((some & F.col("free")) | (F.col("digest") == F.col("least_free"))), "pivots")
     near = store(distances(large, chosen, percent), "pivot-distances")
     links = near.select("digest", "group", F.explode("near").alias("p")).where("p.linked")
@@ -298,29 +300,37 @@ def split_groups(large: DataFrame, level: int, percent: int, pivots: int) -> tup
     kept = placed.join(sizes, "group")
     kept = kept.withColumn("region", F.explode(F.when(F.col("whole"), F.array(F.lit(b"-"))).otherwise(F.col("regions"))))
     name = F.unhex(F.md5(F.concat("group", "region")))
-    return links.select("a", "b"), kept.select(name.alias("group"), "digest", "n", "shingles", "free")
+    return links.select("a", "b"), kept.select(name.alias("group"), "digest", "n", "shingles", "free", F.col("whole").alias("stuck"))
 
 
 def link_members(
-    members: DataFrame, percent: int = PERCENT, group_cells: int = GROUP_CELLS, pivots: int = PIVOTS
+    members: DataFrame,
+    percent: int = PERCENT,
+    group_cells: int = GROUP_CELLS,
+    pivots: int = PIVOTS,
+    task_cells: int = TASK_CELLS,
 ) -> list[DataFrame]:
-    """Links of all groups: those that fit a task at once, the others level by level."""
-    left, level, found = members.withColumn("free", F.lit(True)), 0, []
+    """Links of all groups: small ones at once, the others level by level."""
+    left, level, found = members.withColumns({"free": F.lit(True), "stuck": F.lit(False)}), 0, []
     while True:
         left = store(left.dropDuplicates(["group", "digest"]), "members")
         sizes = left.groupBy("group").agg(
             F.sum("n").alias("volume"),
             F.count(F.when(F.col("free"), 1)).alias("free_members"),
             F.coalesce(F.min(F.when(F.col("free"), F.col("digest"))), F.min("digest")).alias("least_free"),
+            F.count(F.lit(1)).alias("n_members"),
+            F.max("stuck").alias("stuck"),
         )
-        large = store(sizes.where(F.col("volume") > group_cells), "large-groups")
+        limit = F.when(F.col("stuck"), F.lit(max(task_cells, group_cells))).otherwise(F.lit(group_cells))
+        large = store(sizes.where(F.col("volume") > limit).drop("stuck"), "large-groups")
         n_large = large.count()
         names = broadcast_if_small(large.select("group"), n_large)
         found.append(store(join_groups(left.join(names, "group", "left_anti"), percent), "class-links"))
         if not n_large:
             return found
-        salts = F.ceil(F.col("volume") / group_cells)
-        big = left.join(broadcast_if_small(large.withColumn("salts", salts), n_large), "group")
+        parts = F.ceil(F.col("volume") / group_cells)
+        salts = F.least(parts, F.ceil(F.col("n_members") / MEMBERS))
+        big = left.join(broadcast_if_small(large.withColumns({"parts": parts, "salts": salts}), n_large), "group")
         links, left = split_groups(big, level, percent, pivots)
         found.append(store(links, "class-links"))
         level += 1
@@ -332,6 +342,7 @@ def join_documents(
     percent: int = PERCENT,
     group_cells: int = GROUP_CELLS,
     pivots: int = PIVOTS,
+    task_cells: int = TASK_CELLS,
     least: int = cells.LEAST,
     most: int = cells.MOST,
 ) -> DataFrame:
@@ -374,7 +385,7 @@ def join_documents(
 
     members = over_batches(texts, read, MEMBER_SCHEMA)
     links = None
-    for part in link_members(members, percent, group_cells, pivots):
+    for part in link_members(members, percent, group_cells, pivots, task_cells):
         links = part if links is None else links.unionByName(part)
     joined = store(components(links, "a", "b"), "class-components")
     # Every class that is linked, under the least document of its component.

@@ -13,7 +13,8 @@ s has served floor(r * share_s * grains_per_window) grains, or all it has. So th
 place of a grain in the stream follows from the queues' totals alone, and every
 partition places its own documents. Shares are whole numbers, so this is exact.
 
-A queue's order is that of the input partitions and the rows in them.
+A queue's order is that of the input partitions and the rows in them. Beyond ``MAX_SOURCES`` sources, those with the least tokens share the last
+queue, one source after another; sources with a target share keep their own queues.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payrisk.llm.common import Batches, as_bytes, chunks_of, over_batches, store, tokenizer
+from payrisk.operators.running import prior_totals
 from payrisk.operators.skew import broadcast_if_small
 
 WINDOW, GRAIN = 2048, 128
 # Shares are given in parts of this.
 SHARE_UNIT = 65_536
-# A mixture is a table somebody wrote: more sources are a mistake, and are refused.
+# Sources with a queue of their own.
 MAX_SOURCES = 10_000
+# Counters of queues after rounds that are held at once.
+COUNTERS = 1 << 20
 
 TOKEN_SCHEMA = "part int, doc_id bigint, queue string, place bigint, n_tokens bigint, ids binary"
 PIECE_FIELDS = [
@@ -48,7 +52,7 @@ PIECE_SCHEMA = (
 
 @dataclass(frozen=True)
 class Schedule:
-    """Names, token totals and whole-number shares of the queues, in serving order."""
+    """Names, token totals and whole-number shares of the queues, in serving order. A queue beyond the names is that of all other sources."""
 
     names: tuple[str, ...]
     totals: np.ndarray
@@ -70,25 +74,55 @@ class Schedule:
         credit = self.per_round * self.shares[queue]
         rounds = -(-(grain + 1) * self.shares.sum() // credit)  # the first that covers the grain
         different, back = np.unique(rounds, return_inverse=True)
-        done, after = self.served(different - 1), self.served(different)
-        own = after - done
-        begin = done.sum(axis=1)[:, None] + np.cumsum(own, axis=1) - own
-        return begin[back, queue] + grain * self.grain - done[back, queue]
+        order = np.argsort(back, kind="stable")
+        step = max(1, COUNTERS // len(self.totals))
+        edges = np.searchsorted(back[order], np.arange(0, len(different) + step, step))
+        out = np.empty(len(grain), np.int64)
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            own_rounds, some = different[k * step : (k + 1) * step], order[a:b]
+            done = self.served(own_rounds - 1)
+            own = self.served(own_rounds) - done
+            begin = done.sum(axis=1)[:, None] + np.cumsum(own, axis=1) - own
+            row = back[some] - k * step
+            out[some] = begin[row, queue[some]] + grain[some] * self.grain - done[row, queue[some]]
+        return out
 
 
 def schedule(
-    totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW, grain: int = GRAIN
+    totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW, grain: int = GRAIN, others: int = 0
 ) -> Schedule:
-    """Shares from target proportions; without targets, those of the tokens there are. At least one unit each."""
+    """Shares from target proportions; without targets, those of the tokens there are. At least one unit each.
+
+    ``others`` are the tokens of all sources that have no queue of their own.
+    """
     if window % grain:
         raise ValueError("a window must be a whole number of grains")
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"{len(totals)} sources; map them to at most {MAX_SOURCES} parts of a mixture first")
     names = tuple(sorted(totals))
-    wanted = [(targets.get(n, 0) if targets else totals[n]) for n in names]
+    tokens = [totals[n] for n in names] + [others] * (others > 0)
+    wanted = [targets.get(n, 0) for n in names] + [0] * (others > 0) if targets else tokens
     whole = sum(wanted) or 1
     shares = np.array([max(1, round(SHARE_UNIT * w / whole)) for w in wanted], np.int64)
-    return Schedule(names, np.array([totals[n] for n in names], np.int64), shares, window, grain)
+    return Schedule(names, np.array(tokens, np.int64), shares, window, grain)
+
+
+def queues_of(sums: DataFrame, targets: dict[str, float] | None, max_sources: int) -> tuple[dict[str, int], int, DataFrame | None]:
+    """(tokens of the sources with queues of their own, tokens of all others, (queue, ahead) of the others).
+
+    ``ahead`` are the tokens of other sources before this one in the queue that they share.
+    """
+    totals = store(sums.groupBy("queue").agg(F.sum("_tokens").alias("tokens")), "packing-totals")
+    named = F.col("queue").isin(list(targets)) if targets else F.lit(False)
+    # At most ``max_sources`` rows come to the driver.
+    first = totals.orderBy(named.desc(), F.col("tokens").desc(), "queue").limit(max_sources).collect()
+    own = {r["queue"]: r["tokens"] for r in first}
+    n_others = totals.count() - len(own)
+    if not n_others:
+        return own, 0, None
+    known = totals.sparkSession.createDataFrame([(n,) for n in own], "queue string")
+    rest = totals.join(broadcast_if_small(known, len(own)), "queue", "left_anti").withColumn("one", F.lit(1))
+    ahead = prior_totals(rest, ["one"], ["queue"], ["tokens"], n_others, 1)
+    placed = store(ahead.select("queue", F.col("prior_tokens").cast("bigint").alias("ahead"), "tokens"), "packing-others")
+    return own, placed.agg(F.sum("tokens")).first()[0], placed.select("queue", "ahead")
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -132,21 +166,25 @@ def pack_documents(
     targets: dict[str, float] | None = None,
     window: int = WINDOW,
     grain: int = GRAIN,
+    max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text, source) and their places: one row per run of ids within one window.
 
     ``ids`` holds them as little-endian unsigned 32-bit integers; ``assemble`` makes
     whole windows. A null text is empty and has the end id alone; a null source, or
     a table without that column, is the queue "". Rows of one doc_id are documents
-    of their own. An empty table gives no pieces. Other columns are left out.
+    of their own. An empty table gives no pieces. A text of any length is cut into pieces. Other columns are left out.
+    Sources beyond the ``max_sources`` that have targets or most tokens share one queue.
     """
     tokens = store(tokenize(docs, tokenizer_path, end_id), "packing-ids")
     sums = store(tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("_tokens")), "packing-sums")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", "queue", F.coalesce(F.sum("_tokens").over(before), F.lit(0)).alias("base"))
-    # One row per source, at most MAX_SOURCES.
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("_tokens").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    plan = schedule(totals, targets, window, grain)
+    totals, others, ahead = queues_of(sums, targets, max_sources)
+    plan = schedule(totals, targets, window, grain, others)
+    if ahead is not None:
+        bases = bases.join(broadcast_if_small(ahead, ahead.count()), "queue", "left")
+        bases = bases.select("part", "queue", (F.col("base") + F.coalesce("ahead", F.lit(0))).alias("base"))
     placed = tokens.join(broadcast_if_small(bases, sums.count()), ["part", "queue"])
     placed = placed.select("doc_id", "queue", (F.col("base") + F.col("place")).alias("place"), "n_tokens", "ids")
 
@@ -167,7 +205,7 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(rows: pa.RecordBatch, plan: Schedule, index: dict[str, int]) -> pa.RecordBatch:
     names = rows.column(1).to_pylist()
-    queue = np.array([index[n] for n in names], np.int64)
+    queue = np.array([index.get(n, len(index)) for n in names], np.int64)
     place, n_tokens = (rows.column(k).to_numpy() for k in (2, 3))
     ids, doc_ids = rows.column(4).to_pylist(), rows.column(0).to_pylist()
 

@@ -109,8 +109,8 @@ def test_components_of_links(spark):
 SIZES = {
     "one task": {},
     "many cells": {"least": 100, "most": 400},
-    "regions": {"group_cells": 600, "pivots": 3},
-    "small regions": {"group_cells": 150, "pivots": 2},
+    "regions": {"group_cells": 600, "pivots": 3, "task_cells": 600},
+    "small regions": {"group_cells": 150, "pivots": 2, "task_cells": 150},
 }
 
 
@@ -122,6 +122,26 @@ def test_join_equals_brute_force(spark, sizes):
     assert found == brute(rows)
 
 
+def test_a_large_group_is_split_by_pivots(spark, monkeypatch):
+    """Clouds of near copies that share a passage: one group, with the pivots and sizes of the query."""
+    draw = random.Random(4)
+    passage = [f"p{k}" for k in range(60)]
+    heads = [[f"h{h}x{k}" for k in range(90)] for h in range(12)]
+    rows = []
+    for k in range(1200):
+        words = passage + heads[min(draw.randrange(40), 11)]
+        for _ in range(draw.randint(0, 3)):
+            words[draw.randrange(len(words))] = draw.choice("abcdefgh")
+        rows.append((k, " ".join(words)))
+    levels = []
+    split = jc.split_groups
+    monkeypatch.setattr(jc, "split_groups", lambda large, level, *rest: (levels.append((level, large.count())), split(large, level, *rest))[1])
+    docs = spark.createDataFrame([(*r, "c", "d") for r in rows], SCHEMA)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jc.join_documents(docs).collect()}
+    assert levels and levels[0][1] > 700
+    assert found == brute(rows)
+
+
 def test_repeated_ids_and_no_ids(spark):
     p = " ".join("abcdefghijklmn")
     rows = [(4, p), (4, p), (4, "other words here"), (None, p), (None, None), (None, "alone in the world today"), (2, p + " o")]

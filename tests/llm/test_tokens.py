@@ -177,6 +177,25 @@ def test_windows_are_assembled(spark):
         assert zlib.crc32(own.tobytes()) == zlib.crc32(p["ids"])
 
 
-def test_too_many_sources_are_refused():
-    with pytest.raises(ValueError, match="sources"):
-        packing.schedule({str(k): 1 for k in range(packing.MAX_SOURCES + 1)})
+@pytest.mark.parametrize("targets", [None, {"s7": 1.0, "s31": 1.0}])
+def test_sources_beyond_the_bound_share_a_queue(spark, targets):
+    rows = [(k, "word " * (k % 11), f"s{k % 40}", "") for k in range(200)] + [(900, None, None, None)]
+    pieces = packing.pack_documents(docs(spark, rows), WORD, 1, targets, window=64, grain=8, max_sources=5).collect()
+    placed, total = windows_of(pieces, 64)
+    assert total == sum(len(encoded(WORD, t, 1)) for _, t, *_ in rows)
+    check_whole(pieces, [r[:2] for r in rows], WORD, 1)
+    if targets:
+        early = [p["source"] for p in placed if p["sequence_id"] < 2]
+        assert {"s7", "s31"} <= set(early)
+
+
+def test_places_of_many_queues_at_once():
+    """Counters are worked out in parts of bounded size, whatever the number of queues."""
+    totals = {str(k): 8 * (k % 7 + 1) for k in range(20_000)}
+    plan = packing.schedule(totals, None, 64, 8, others=80)
+    queue = np.repeat(np.arange(20_001), plan.totals // 8)
+    grain = np.concatenate([np.arange(n // 8) for n in plan.totals])
+    some = np.random.default_rng(1).choice(len(queue), 300, replace=False)
+    one_by_one = [plan.stream_place(queue[[k]], grain[[k]])[0] for k in some[:40]]
+    assert plan.stream_place(queue[some], grain[some]).tolist()[:40] == one_by_one
+    assert len(set(plan.stream_place(queue[some], grain[some]).tolist())) == 300
