@@ -119,3 +119,52 @@ def test_windows_are_exactly_bounded(model):
             assert len(template.grams & lc.grams(words)) < template.need
         for a, b in template.windows(words):
             assert len(template.grams & lc.grams(words[a:b])) >= template.need and b - a <= template.size
+
+
+# Lines that share phrases with a family, or name it shortly.
+NAMED = {
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl", "SPDX-License-Identifier: MPL-2.0": "mpl", "SPDX-License-Identifier: BSD-3-Clause": "bsd",
+    "Licensed under the Eclipse Public License 2.0": "epl", "License: MIT": "mit", "Licensed under the GPLv2.": "gpl",
+    "Licensed under the GNU Affero General Public License.": "agpl", "// SPDX-License-Identifier: ISC": "isc", "Released under the ISC License.": "isc",
+    "Distributed under the Boost Software License, Version 1.0.": "boost", "This is free and unencumbered software released into the public domain.": "unlicense",
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa", "Licensed under CC BY-SA 3.0.": "cc-by-sa", "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl",
+    "We are not licensed under the MIT License.": None, "This was never released under the GPL.": None, "It is no longer available under the MIT License.": None,
+    "SPDX-License-Identifier: Zlib": None, "SPDX-License-Identifier: EUPL-1.2": None, "Licensed under the Artistic License 2.0": None,
+    "Licensed under the Sleepycat Public License 2.0": None, "or (at your option) any later version of the License": None,
+}
+
+
+def test_names_decide_not_shared_phrases(model):
+    for text, family in NAMED.items():
+        judged = model.judge(text.encode())
+        assert (judged and judged[0]) == family, (text, judged)
+
+
+def test_families_that_training_never_saw_get_no_other_name():
+    for family in ("epl", "agpl", "lgpl", "gpl", "cc-by-sa", "cc-by", "isc", "mpl", "boost"):
+        model = lc.train([], texts={f: t for f, t in lc.TEMPLATES.items() if f != family})
+        for text in lc.TEMPLATES[family]:
+            assert model.judge(text.encode()) is None, (family, text, model.judge(text.encode()))
+
+
+def test_windows_against_all_windows(model):
+    """Every word that begins a window with enough of a template lies in reach of a window found."""
+    draw = random.Random(7)
+    for _ in range(150):
+        _, template = draw.choice([s for s in model.sought if len(s[1].grams) >= 12])
+        text = next(t for texts in lc.TEMPLATES.values() for t in texts if lc.grams(lc.words_of(t.encode())) == template.grams)
+        notice = lc.words_of(text.encode())
+        words = draw.choices([b"of", b"x", b"the", *notice], k=20) + [w for w in notice if draw.random() > 0.05] + draw.choices([b"y", *notice], k=20)
+        found = list(template.windows(words))
+        for a in range(len(words)):
+            b = min(a + template.size, len(words))
+            if len(template.grams & lc.grams(words[a:b])) >= template.need:
+                assert any(c < b and a < d for c, d in found), (text, a)
+
+
+def test_lines_for_training_come_from_anywhere(spark):
+    rows = [(k, f"first of {k}\nsecond line of {k}\n\n{'long ' * 300}{k}\na license of {k}", None, None) for k in range(40)]
+    lines = lc.corpus_lines(spark.createDataFrame(rows, SCHEMA))
+    assert {f"second line of {k}".encode() for k in range(40)} <= set(lines) and all(len(x) <= lc.LINE_CHARS for x in lines)
+    assert len(lines) == 120 and not any(b"license" in x for x in lines)
+    assert len(lc.corpus_lines(spark.createDataFrame(rows, SCHEMA), 10)) <= 10
