@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +30,7 @@ from payrisk.llm.common import (
     store,
     with_record,
 )
+from payrisk.session import scratch_path
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -42,6 +42,7 @@ MAX_RUN, MAX_COVERAGE = 9, 0.5
 HIT_SCHEMA = (
     "n_words bigint, n_hit bigint, longest bigint, items array<string>, runs array<bigint>, whole array<bigint>, spans array<bigint>, cut string"
 )
+FOUND_SCHEMA = "row bigint, items array<string>, runs array<bigint>, whole array<bigint>"
 HIT_TYPES = [*[pa.int64()] * 3, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3, pa.string()]
 HIT_NAMES = [f.split()[0] for f in HIT_SCHEMA.split(", ")]
 
@@ -154,17 +155,23 @@ class Automaton:
         return runs, found
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[str, bytes]]]:
-    """Items (item_id, text) in blocks of about ``block_words`` words, brought together block by block."""
+def stored_items(items: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """Distinct items (name, text) stored by the number of their block, and how many blocks of about ``block_words`` words there are."""
     rows = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
-    rows = rows.where("name is not null and text is not null").distinct()
+    rows = rows.where("name is not null and text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // (6 * block_words)))  # a word and its space are six characters or so
-    block = F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks))
-    return [
-        [(r["name"], r["text"].encode()) for r in rows.where(block == b).select("name", "text").collect()]
-        for b in range(n_blocks)
-    ]
+    blocked = rows.distinct().withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)).cast("int"))
+    if n_blocks == 1:
+        return blocked, 1
+    path = scratch_path(items.sparkSession, "decontaminate-items")
+    blocked.repartition("block").write.partitionBy("block").parquet(path)
+    return items.sparkSession.read.schema(blocked.schema).parquet(path), n_blocks
+
+
+def item_block(stored: DataFrame, block: int) -> list[tuple[str, bytes]]:
+    """Items of one block, which goes to the workers with the pass that seeks it: the driver holds no more than one."""
+    return [(r["name"], r["text"].encode()) for r in stored.where(F.col("block") == block).select("name", "text").collect()]
 
 
 def find(
@@ -179,26 +186,28 @@ def find(
     n_words, n_hit, longest (hit run), items (ids as sorted strings), runs (hit runs: words from, to, from, ...),
     whole (1 for each run that holds a whole item of less than ``window`` words, 0 for others), spans (the runs in bytes of the
     text), cut (the text without runs of more than ``max_run`` words and those with a whole item; null if it has none). A null text has no words. An item without id or words is left out; one id may have several
-    texts. With no items nothing is hit. Every row is a document of its own, also if it repeats.
+    texts. With no items nothing is hit. Every row is a document of its own, also if it repeats. A very long text is streamed
+    whole through the automaton, in one task. An empty table gives none.
     """
-    blocks = item_blocks(items, block_words)
+    stored, n_blocks = stored_items(items, block_words)
     records, schema = as_records(docs), with_record(docs, f"text string, {HIT_SCHEMA}")
-    if len(blocks) == 1:
-        return over_batches(records, _matching(blocks[0], window, max_run), schema)
-    # Several passes must see the same rows, and their runs meet by row.
+    if n_blocks == 1:
+        return over_batches(records, _matching(item_block(stored, 0), window, max_run), schema)
+    # Several passes must see the same rows, and their runs meet by row. A pass is over before the next block is fetched.
     keyed = store(records.withColumn("row", F.monotonically_increasing_id()), "decontaminate-docs")
-    rows = keyed.select("row", "text")
-    row_schema = f"row bigint, text string, {HIT_SCHEMA}"
-    passes = [
-        over_batches(rows, _matching(b, window, max_run), row_schema).select("row", "items", "runs", "whole") for b in blocks
-    ]
-    merged = reduce(DataFrame.unionByName, passes).groupBy("row").agg(
+    rows, path = keyed.select("row", "text"), scratch_path(docs.sparkSession, "decontaminate-runs")
+    for block in range(n_blocks):
+        seen = over_batches(rows, _matching(item_block(stored, block), window, max_run), f"row bigint, text string, {HIT_SCHEMA}")
+        seen.where("size(runs) > 0").select("row", "items", "runs", "whole").write.mode("append").parquet(path)
+    found = docs.sparkSession.read.schema(FOUND_SCHEMA).parquet(path)
+    merged = found.groupBy("row").agg(
         F.flatten(F.collect_list("items")).alias("items"), F.collect_list(F.struct("runs", "whole")).alias("parts")
     )
     # Runs and whole stay in the same order: both come from one list.
     parts = [F.flatten(F.col(f"parts.{name}")).alias(name) for name in ("runs", "whole")]
-    joined = keyed.join(merged, "row").select("doc", "text", "items", *parts)
-    return over_batches(joined, _merging(max_run), schema)
+    hit = merged.select("row", "items", *parts)
+    filled = [F.coalesce(name, F.array().cast(hit.schema[name].dataType)).alias(name) for name in ("items", "runs", "whole")]
+    return over_batches(keyed.join(hit, "row", "left").select("doc", "text", *filled), _merging(max_run), schema)
 
 
 def _described(

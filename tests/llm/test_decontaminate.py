@@ -103,3 +103,17 @@ def test_clean_removes_whole_short_items(spark, block_words, window):
 def test_query_gives_the_rows_of_its_sql(spark, folder):
     query, sql = registry.queries()["op3_decontamination"], registry.oracle_sql()["op3_decontamination"]
     assert differences(query(spark, folder), connect(folder).sql(sql)) == []
+
+
+def test_blocks_meet_in_one_result(spark):
+    """Several blocks give what one automaton gives, and the driver asks for one block at a time."""
+    draw = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(12)]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.randint(1, 14))) for _ in range(60)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join(draw.choices(texts + vocabulary, k=6))) for k in range(80)], "doc_id bigint, text string")
+    whole = {r["doc"]["doc_id"]: r[1:] for r in dc.find(docs, items).collect()}
+    stored, n_blocks = dc.stored_items(items, 120)
+    assert n_blocks >= 3 and sorted(t for b in range(n_blocks) for t in dc.item_block(stored, b)) == sorted((str(k), t.encode()) for k, t in enumerate(texts))
+    assert max(len(dc.item_block(stored, b)) for b in range(n_blocks)) < len(texts)
+    assert {r["doc"]["doc_id"]: r[1:] for r in dc.find(docs, items, block_words=120).collect()} == whole
