@@ -15,15 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payrisk.llm.common import Batches, as_bytes, as_records, over_batches, with_record
+from payrisk.llm.common import Batches, as_bytes, as_records, over_batches, store, with_record
+from payrisk.operators.skew import broadcast_if_small
 
 WIDTH, PAD = 256, 256
 EMBEDDING, FILTERS, WIDTHS = 8, 16, (2, 3, 4)
-# Bounds of training: windows of each language, and languages.
-PER_LANGUAGE, MAX_LANGUAGES = 800, 1_000
+# Bounds of training: windows of each language, and of all together (more languages have fewer windows each, one at least).
+PER_LANGUAGE, MAX_WINDOWS, PIECES = 800, 800_000, 4
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 UNKNOWN = "und"
 HASH_PARTS = 1 << 20
@@ -179,33 +180,36 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def sample(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
+def sample(
+    docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE, max_windows: int = MAX_WINDOWS
+) -> list[tuple[bytes, str]]:
     """At most ``per_language`` pieces of WIDTH bytes or so from texts of each language, chosen and placed by a hash.
 
-    Rows without text or language are left out; a language with fewer texts gives several pieces of each.
+    Rows without text or language are left out, copies of a text count once. A text gives up to PIECES pieces; where a language
+    has no more than ``per_language`` of them all are taken. With many languages each has fewer, ``max_windows`` together.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    texts = F.approx_count_distinct(F.xxhash64("text"), 0.02)
+    counts = store(rows.groupBy("lang").agg(texts.alias("n_texts")), "langid-counts")
+    n_languages = counts.count()
+    if not n_languages:
         return []
-    share: Column = F.element_at(
-        F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, per_language / n)))]), F.col("lang")
-    )
-    pieces = F.explode(F.array([F.lit(k) for k in range(4)]))
+    wanted = max(1, min(per_language, max_windows // n_languages))
+    pieces = F.explode(F.array([F.lit(k) for k in range(PIECES)]))
     drawn = rows.select("text", "lang", pieces.alias("piece")).withColumn("hash", F.xxhash64("text", "piece"))
-    # Twice the wanted number on average, so that a cut to the exact number is by the hash as well.
-    drawn = drawn.where(F.pmod("hash", F.lit(HASH_PARTS)) < F.lit(HASH_PARTS / 2) * share)
+    drawn = drawn.join(broadcast_if_small(counts, n_languages), "lang")
+    # All pieces of a language with few; of others twice the wanted number on average, so that the cut to the number is by the hash as well.
+    share = F.when(F.col("n_texts") <= wanted, 1.0).otherwise(2 * wanted / (PIECES * F.col("n_texts")))
+    drawn = drawn.where(F.pmod("hash", F.lit(HASH_PARTS)) < F.lit(HASH_PARTS) * share)
     start = F.pmod(F.col("hash"), F.greatest(F.length("text") - WIDTH, F.lit(1))).cast("int")
     found = drawn.select("lang", "hash", F.substring(F.col("text"), start + 1, F.lit(WIDTH)).alias("text"))
-    # Copies of a text have one hash: they are chosen together, and count once.
-    found = sorted((r["lang"], r["hash"], r["text"]) for r in found.distinct().collect())
+    # Pieces of a short text are all the same: its least hash counts.
+    found = found.groupBy("lang", "text").agg(F.min("hash").alias("hash"))
     taken: dict[str, list[bytes]] = {}
-    for name, _, text in found:
+    for name, _, text in sorted((r["lang"], r["hash"], r["text"]) for r in found.collect()):
         own = taken.setdefault(name, [])
-        if len(own) < per_language and has_letter(text):
+        if len(own) < wanted and has_letter(text):
             own.append(text.encode()[:WIDTH])
     return [(text, name) for name in sorted(taken) for text in taken[name]]
 
@@ -214,6 +218,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """Every row of ``docs`` as ``doc``, with lang_pred and score for its whole text.
 
     A null text, one without any letter, or no network at all gives ``und`` and score 0. Only the text is looked at.
+    Repeated rows are answered each, an empty table gives none. All windows of a very long text are judged, in one task.
     """
 
     def step(batches: Batches) -> Batches:

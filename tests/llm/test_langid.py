@@ -86,3 +86,17 @@ def test_held_out_accuracy(spark):
     held = [r for r in found if r["held_out"]]
     assert len(held) > 150
     assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_every_language_is_sampled(spark):
+    rows = [(k, f"text number {k} in tongue {'abc'[k % 3]}", f"l{k}", None, None) for k in range(1500)]
+    taken = li.sample(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(name for _, name in taken) == sorted(f"l{k}" for k in range(1500))
+    # Copies count once, however many they are, and take no place from the other texts.
+    rows = [(k, "the same words", "en", None, None) for k in range(3000)] + [(k, f"other words {k}", "en", None, None) for k in range(50)]
+    taken = li.sample(spark.createDataFrame(rows, SCHEMA), per_language=60)
+    assert sorted(text for text, _ in taken) == sorted([b"the same words", *(f"other words {k}".encode() for k in range(50))])
+    # Many languages share the bound of all windows.
+    rows = [(k, f"words {k}", f"l{k % 20}", None, None) for k in range(400)]
+    taken = li.sample(spark.createDataFrame(rows, SCHEMA), max_windows=60)
+    assert len({name for _, name in taken}) == 20 and len(taken) <= 60
