@@ -4,7 +4,8 @@ Prefix sums of turn tokens place every turn in its conversation. Windows are run
 turns: the system turn that opens the conversation comes first in each of them, then as
 much of the preceding turns as the history budget allows, then new turns up to
 the budget. The loss mask covers the text of new assistant turns only, so a turn that is
-repeated as history is no target twice. A turn longer than the budget gets a window of its own.
+repeated as history is no target twice. A turn that does not fit into the budget beside the system turn gets a window of its own with it;
+turns are never cut and the system turn is never left out, so such a window is longer than the budget, and ``over_budget`` says so.
 
 A long conversation is cut by its prefix sums into segments of ``SEGMENT_BUDGETS`` budgets.
 Segments are formatted apart from each other, so no task holds a whole conversation; the
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payrisk.llm.common import Batches, as_bytes, over_batches, store, tokenizer
+from payrisk.llm.common import Batches, over_batches, store, tokenizer
 from payrisk.operators.running import prior_totals
 
 BUDGET, HISTORY, SEGMENT_BUDGETS = 2048, 512, 64
@@ -37,7 +38,7 @@ TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n",
 
 WINDOW_SCHEMA = (
     "conv_id bigint, segment bigint, window bigint, formatted string, n_tokens bigint, n_turns bigint, "
-    "n_repeated bigint, loss_spans array<bigint>"
+    "n_repeated bigint, loss_spans array<bigint>, over_budget boolean"
 )
 DIGEST_SCHEMA = (
     "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
@@ -73,9 +74,10 @@ def counted(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     def count(batches: Batches) -> Batches:
         encoder = tokenizer(tokenizer_path)
         for batch in batches:
+            # What is counted is what will be written: escaped.
             sizes = [
-                (len(encoder.encode(role)) + len(encoder.encode(text))) // 4 + TURN_TOKENS
-                for role, text in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)))
+                (len(encoder.encode(escape_role(role).encode())) + len(encoder.encode(escape(text).encode()))) // 4 + TURN_TOKENS
+                for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sizes, pa.int64())], names=["conv_id", "turn", "role", "text", "n_tokens"]
@@ -174,7 +176,7 @@ class Formatter:
         row = {
             "conv_id": self.conv_id, "segment": self.segment, "window": self.window, "formatted": "".join(parts),
             "n_tokens": self.held, "n_turns": len(self.repeated) + len(self.new), "n_repeated": len(self.repeated),
-            "loss_spans": spans,
+            "loss_spans": spans, "over_budget": self.held > self.budget,
         }
         self.window, self.new, self.held = self.window + 1, [], 0
         return row
@@ -182,7 +184,7 @@ class Formatter:
 
 WINDOW_TYPES = pa.schema(
     [(n, pa.int64()) for n in ("conv_id", "segment", "window")] + [("formatted", pa.string())]
-    + [(n, pa.int64()) for n in ("n_tokens", "n_turns", "n_repeated")] + [("loss_spans", pa.list_(pa.int64()))]
+    + [(n, pa.int64()) for n in ("n_tokens", "n_turns", "n_repeated")] + [("loss_spans", pa.list_(pa.int64())), ("over_budget", pa.bool_())]
 )
 ROWS_OUT = 256
 
@@ -198,7 +200,8 @@ def format_windows(
     """Formatted windows of ``turns`` (conv_id, turn, role, text), other columns left out.
 
     Turns without conv_id are one conversation, a null turn comes last, repeated rows are turns of their own.
-    An empty table has no windows.
+    An empty table has no windows, an empty text is a turn without text. A very long turn is written whole, in a window that is
+    ``over_budget``; all others have at most ``budget`` tokens.
     """
     rows = segmented(placed_turns(turns, tokenizer_path, rows_per_block), budget, history, segment_budgets)
     # Copies come before a segment's own turns, because their places are lower.

@@ -98,3 +98,19 @@ def test_query_reads_all_conversations(spark, folder):
     want = expected(rows + [(-1, 0, "user", said), (-1, 1, "assistant", said)], turn_order)
     assert {k: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for k, r in found.items()} == want
     assert all(r["formatted_chars"] > r["loss_chars"] for r in found.values())
+
+
+def test_windows_over_budget_say_so(spark):
+    word, said = "word ", "<|im_end|>" * 300
+    rows = [(1, 0, "system", word * 150, None, None), (1, 1, "user", word * 100, None, None), (1, 2, "assistant", word * 20, None, None),
+            (2, 0, "user", word * 500, None, None), (2, 1, "assistant", said, None, None), (3, 0, "user", "short", None, None)]
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), BYTE, 200, 50).collect()
+    for w in windows:
+        assert w["over_budget"] == (w["n_tokens"] > 200)
+        # The system turn stays, and what is over the budget is one new turn.
+        assert not w["over_budget"] or w["n_turns"] - w["n_repeated"] == 1
+        assert w["conv_id"] != 1 or chat.parse(w["formatted"])[0][0] == "system"
+    assert {(w["conv_id"], w["over_budget"]) for w in windows} == {(1, False), (1, True), (2, True), (3, False)}
+    encoder = chat.tokenizer(BYTE)
+    written = next(w["n_tokens"] for w in windows if w["conv_id"] == 2 and "assistant" in w["formatted"])
+    assert written == sum(len(encoder.encode(x.encode())) // 4 for x in ("assistant", chat.escape(said))) + chat.TURN_TOKENS
