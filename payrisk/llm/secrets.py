@@ -4,8 +4,8 @@ Three patterns are always reported: assignments of long values, access key ids a
 hexadecimal runs. Besides, a value given as a credential in any form is reported as
 ``guess`` if guessing it is costly: the cheapest way to spell it as words, dates,
 repeats, keyboard walks and single characters, found by dynamic programming, still costs at
-least ``MIN_BITS``. An unlisted word costs what its letters do, each after the two before it. So ``password=changeme123`` is no secret by itself, and a short
-random value is one.
+least ``MIN_BITS``. Words cost by their rank in a public vocabulary, an unlisted word what its letters do, each after the two before it
+in those words. So ``password=changeme123`` is no secret by itself, and a short random value is one.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payrisk.llm.common import Batches, as_records, chunks_of, documents_from, over_batches, with_record
-from payrisk.llm.letters import LEXICON, letter_bits
+from payrisk.llm.letters import Letters, letters_of
 
 ASSIGN = re.compile(
     r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A
@@ -45,7 +45,7 @@ KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 34.0
 
 # Words that passwords are made of, most usual first.
-WORDS = (
+WORDS = tuple((
     "password the and you that with this from have love admin user test root secret login welcome letmein monkey "
     "dragon master shadow qwerty hello freedom whatever trust sunshine princess football baseball iloveyou change me "
     "guest default pass my key token api access account system server data base public private local host network "
@@ -56,9 +56,8 @@ WORDS = (
     "internet windows linux example sample demo temp new old one two three four five six seven eight nine ten zero "
     "here your name mail email address phone number value string text null none true false required optional "
     "insert enter type placeholder redacted hidden"
-).split()
-RANK = {word: rank for rank, word in enumerate(dict.fromkeys(WORDS + LEXICON), 1)}
-LONGEST_WORD = max(map(len, RANK))
+).split())
+VOCABULARY = "word_bpe_49k.json"  # a public one, for all other words
 # Characters often put for letters, and rows of a keyboard.
 PLAIN = str.maketrans("@4301!$57", "aaeoiisst")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -75,6 +74,12 @@ LETTERS = re.compile(r"[A-Za-z]?[a-z]{3,}|[A-Z]{4,}")
 LEAST_RUN = 4
 
 
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 PLACE = {key: (row, col) for row, keys in enumerate(ROWS) for col, key in enumerate(keys)}
 
 
@@ -99,17 +104,19 @@ def char_bits(char: str) -> float:
     return log2(33)
 
 
-def guess_bits(value: str, enough: float = MIN_BITS) -> float:
+def guess_bits(value: str, enough: float = MIN_BITS, vocabulary: str | None = None) -> float:
     """Cost of the cheapest spelling in bits; costs of short values are kept, since values repeat."""
-    return _kept_bits(value, enough) if len(value) <= KEPT_LENGTH else _guess_bits(value, enough)
+    if len(value) <= KEPT_LENGTH:
+        return _kept_bits(value, enough, vocabulary)
+    return _guess_bits(value, enough, letters_of(vocabulary or default_vocabulary(), WORDS))
 
 
 @lru_cache(maxsize=1 << 14)
-def _kept_bits(value: str, enough: float) -> float:
-    return _guess_bits(value, enough)
+def _kept_bits(value: str, enough: float, vocabulary: str | None) -> float:
+    return _guess_bits(value, enough, letters_of(vocabulary or default_vocabulary(), WORDS))
 
 
-def _guess_bits(value: str, enough: float) -> float:
+def _guess_bits(value: str, enough: float, letters: Letters) -> float:
     """Cost of the cheapest spelling in bits; stops at a lower bound once that reaches ``enough``.
 
     ``best[i]`` is the least cost of the first i characters; ``single[i]`` the same
@@ -128,11 +135,11 @@ def _guess_bits(value: str, enough: float) -> float:
         words, cased = [], 0.0
         if m := LETTERS.match(value, i, i + LONGEST):
             case = 0.0 if m.group().islower() else 1.0
-            words += [(i + k, bits + case) for k, bits in enumerate(letter_bits(m.group().lower()), 1) if k >= LEAST_RUN]
-        for j in range(i + 1, min(n, i + LONGEST_WORD) + 1):
+            words += [(i + k, bits + case) for k, bits in enumerate(letters.costs(m.group().lower()), 1) if k >= LEAST_RUN]
+        for j in range(i + 1, min(n, i + min(letters.longest, LONGEST)) + 1):
             cased += value[j - 1].isupper()
             for spelling, extra in ((low[i:j], 0.0), (plain[i:j], 2.0)):
-                rank = RANK.get(spelling)
+                rank = letters.rank.get(spelling)
                 if rank:
                     words.append((j, log2(rank + 1) + extra + (min(cased, j - i - cased) + 1 if cased else 0)))
                     break
@@ -170,7 +177,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_reference(value: str) -> bool:
+def is_reference(value: str, vocabulary: str | None = None) -> bool:
     """Whether a value is an expression that names where the secret is: a call or an index behind names without digits, closed again,
     or cheap words joined by dots."""
     m, plain = REFERENCE.match(value), value.rstrip(";,")
@@ -182,11 +189,11 @@ def is_reference(value: str) -> bool:
         return closed and not any(c.isdigit() for c in m.group(1))
     if "." not in m.group(1) or len(plain) != m.end():
         return False
-    return all(guess_bits(p, REFERENCE_PART_BITS) < REFERENCE_PART_BITS for p in re.split(r"[._$]+", m.group(1)) if p)
+    return all(guess_bits(p, REFERENCE_PART_BITS, vocabulary) < REFERENCE_PART_BITS for p in re.split(r"[._$]+", m.group(1)) if p)
 
 
 def guess_spans(
-    text: str, known: list[tuple[int, int, int]], min_bits: float = MIN_BITS
+    text: str, known: list[tuple[int, int, int]], min_bits: float = MIN_BITS, vocabulary: str | None = None
 ) -> list[tuple[int, int, int]]:
     """Costly values of credentials that no span in ``known`` (sorted) touches."""
     found = []
@@ -194,18 +201,20 @@ def guess_spans(
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         before = bisect_left(starts, b)
-        if (not before or ends[before - 1] <= a) and guess_bits(m.group(1), min_bits) >= min_bits and not is_reference(m.group(1)):
+        if before and ends[before - 1] > a:
+            continue
+        if guess_bits(m.group(1), min_bits, vocabulary) >= min_bits and not is_reference(m.group(1), vocabulary):
             found.append((a, 3, b))
     return found
 
 
-def bits_of(text: str, spans: list[tuple[int, int, int]], min_bits: float = MIN_BITS) -> str:
+def bits_of(text: str, spans: list[tuple[int, int, int]], min_bits: float = MIN_BITS, vocabulary: str | None = None) -> str:
     """kind:start:bits of every credential value among the spans: its guess cost, or ``min_bits`` where it is at least that."""
     shown = []
     for start, kind, end in spans:
         if kind in (0, 3):
             value = ASSIGN.match(text, start, end).group(2) if kind == 0 else text[start:end]
-            shown.append(f"{KINDS[kind]}:{start}:{min(guess_bits(value, min_bits), min_bits):.1f}")
+            shown.append(f"{KINDS[kind]}:{start}:{min(guess_bits(value, min_bits, vocabulary), min_bits):.1f}")
     return ",".join(shown)
 
 
@@ -231,20 +240,22 @@ TYPES = [*[pa.int64()] * 4, *[pa.string()] * 4]
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
-def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
+def scan(docs: DataFrame, min_bits: float = MIN_BITS, vocabulary: str | None = None) -> DataFrame:
     """Every row of ``docs`` as ``doc``, and the secrets in its text.
 
     ``base`` (the three patterns) and ``spans`` (all) list kind:start:end in code points, by start, then kind;
     ``bits`` has the guess cost of every credential value, those inside base spans too; ``redacted`` is the text without the secrets, null if
     there are none. A null text is empty. Every row is scanned, also if it repeats; an empty table gives no rows. Time grows
-    with the length of a text, whatever runs it holds.
+    with the length of a text, whatever runs it holds. ``vocabulary`` names a file of the tokenizers library that every executor can read
+    (the public one by default): its words are cheap by their rank, and give letters their costs.
     """
+    vocabulary = vocabulary or default_vocabulary()
 
     def step(batches: Batches) -> Batches:
         for whole in batches:
             for rows in chunks_of(whole.num_rows, 2048):
                 batch = whole.slice(rows.start, rows.stop - rows.start)
-                found = [_scanned(text or "", min_bits) for text in batch.column(1).to_pylist()]
+                found = [_scanned(text or "", min_bits, vocabulary) for text in batch.column(1).to_pylist()]
                 columns = zip(*found) if found else [[] for _ in TYPES]
                 arrays = [pa.array(c, t) for c, t in zip(columns, TYPES)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc", *NAMES])
@@ -252,13 +263,13 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     return over_batches(as_records(docs), step, with_record(docs, SCHEMA))
 
 
-def _scanned(text: str, min_bits: float) -> tuple:
+def _scanned(text: str, min_bits: float, vocabulary: str | None = None) -> tuple:
     base = base_spans(text)
-    spans = sorted(base + guess_spans(text, base, min_bits))
+    spans = sorted(base + guess_spans(text, base, min_bits, vocabulary))
     counts = [sum(k == kind for _, k, _ in spans) for kind in range(len(KINDS))]
-    return *counts, written(base), written(spans), bits_of(text, spans, min_bits), redact(text, spans) if spans else None
+    return *counts, written(base), written(spans), bits_of(text, spans, min_bits, vocabulary), redact(text, spans) if spans else None
 
 
-def mask(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
-    """``docs`` with every secret in the text replaced by its kind; ``n_chars``, if there is one, follows."""
-    return documents_from(scan(docs, min_bits), docs.columns, F.col("redacted"), F.col("redacted").isNotNull())
+def mask(docs: DataFrame, min_bits: float = MIN_BITS, vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with every secret in the text replaced by its kind; ``n_chars``, if there is one, follows. Null and empty texts stay."""
+    return documents_from(scan(docs, min_bits, vocabulary), docs.columns, F.col("redacted"), F.col("redacted").isNotNull())

@@ -169,3 +169,23 @@ def test_bits_of_all_credential_values():
     shown = [part.split(":") for part in sc.bits_of(text, spans).split(",")]
     assert [(k, int(a)) for k, a, _ in shown] == [("assign", 0), ("guess", 28), ("assign", 40)]
     assert float(shown[0][2]) < sc.MIN_BITS == float(shown[1][2]) == float(shown[2][2])
+
+
+def test_costs_follow_the_vocabulary(tmp_path):
+    from math import log2
+
+    from payrisk.llm.letters import SMOOTHING, Letters
+
+    tokens = {"abab</w>": 9, "abcd": 1, "aaaa</w>": 3, "x1yz</w>": 4, "ab</w>": 5}
+    path = tmp_path / "words.json"
+    path.write_text(__import__("json").dumps({"model": {"vocab": tokens, "end_of_word_suffix": "</w>"}}))
+    letters = Letters(str(path), ("first", "aaaa"))
+    assert letters.rank == {"first": 1, "aaaa": 2, "abab": 3}
+    # Both words begin with a; after it b and a are as usual.
+    total = 2 + 27 * SMOOTHING
+    begin, second = log2(total / (2 + SMOOTHING)), log2(total / (1 + SMOOTHING))
+    end = log2(27 * SMOOTHING / SMOOTHING)
+    assert letters.costs("ab")[0] == pytest.approx(begin + log2(total / SMOOTHING))
+    assert letters.costs("ab")[1] == pytest.approx(begin + second + log2((1 + 27 * SMOOTHING) / SMOOTHING))
+    assert end == pytest.approx(letters.bits[26 * 27 + 26][0])
+    assert sc.guess_bits("password: abab", 99.0, str(path)) != sc.guess_bits("password: abab", 99.0)
