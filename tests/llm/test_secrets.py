@@ -181,11 +181,9 @@ def test_costs_follow_the_vocabulary(tmp_path):
     path.write_text(__import__("json").dumps({"model": {"vocab": tokens, "end_of_word_suffix": "</w>"}}))
     letters = Letters(str(path), ("first", "aaaa"))
     assert letters.rank == {"first": 1, "aaaa": 2, "abab": 3}
-    # Both words begin with a; after it b and a are as usual.
+    # Both words begin with a, after which b and a come once each; after a, b come a and the end once each.
     total = 2 + 27 * SMOOTHING
-    begin, second = log2(total / (2 + SMOOTHING)), log2(total / (1 + SMOOTHING))
-    end = log2(27 * SMOOTHING / SMOOTHING)
-    assert letters.costs("ab")[0] == pytest.approx(begin + log2(total / SMOOTHING))
-    assert letters.costs("ab")[1] == pytest.approx(begin + second + log2((1 + 27 * SMOOTHING) / SMOOTHING))
-    assert end == pytest.approx(letters.bits[26 * 27 + 26][0])
-    assert sc.guess_bits("password: abab", 99.0, str(path)) != sc.guess_bits("password: abab", 99.0)
+    begin, one_of_two, never = log2(total / (2 + SMOOTHING)), log2(total / (1 + SMOOTHING)), log2(total / SMOOTHING)
+    assert letters.costs("ab") == pytest.approx([begin + never, begin + 2 * one_of_two])
+    assert letters.bits[26 * 27 + 26] == pytest.approx([log2(27)] * 27)
+    assert sc.guess_bits("chocolate", inf, str(path)) > sc.guess_bits("chocolate", inf)
