@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from payrisk.operators.skew import MAX_GROUP_ROWS, broadcast_if_small
 from payrisk.session import store
 
+# Small blocks share a range: ranges of fewer rows than this are made up to so many only.
+MIN_RANGE_ROWS, SMALL_RANGES = 250_000, 32
+# Bits of ``monotonically_increasing_id`` that number the rows of a task.
+PLACE_BITS = 33
+
 
 def _before(window) -> Window:
     return window.rowsBetween(Window.unboundedPreceding, -1)
@@ -29,12 +34,13 @@ def prior_totals(
 ) -> DataFrame:
     """Adds ``prior_<measure>``: the total over all earlier rows of the same keys.
 
-    The rows are range-partitioned by (keys, order), so a heavy group is cut into
-    blocks of about ``rows_per_block`` rows however its key, time or score is
-    distributed. Each block's totals are carried into the following blocks, and
-    the windows only run inside a block. With whole-number measures the result
-    is exact. The blocks are stored once, because the totals and the windows
-    must see the same cut.
+    The rows are range-partitioned by (keys, order) and numbered in that order, so a
+    heavy group is cut into blocks of at most ``rows_per_block`` rows however its key,
+    time or score is distributed. Each block's totals are carried into the following
+    blocks, and the windows only run inside a block. With whole-number measures the
+    result is exact. The blocks are stored once, because the totals and the windows
+    must see the same cut. A range is one task and one file; it holds many blocks if
+    they are small, so the number of files follows the rows, not the size of a block.
     """
     sort = [_sorted(name, descending) for name in order]
     n_blocks = ceil(n_rows / rows_per_block)
@@ -43,7 +49,9 @@ def prior_totals(
         return rows.withColumns({f"prior_{m}": _or_zero(F.sum(m).over(window)) for m in measures})
 
     cut = [F.col(k).asc_nulls_last() for k in keys] + sort
-    placed = store(rows.repartitionByRange(n_blocks, *cut).withColumn("_block", F.spark_partition_id()), "blocks")
+    n_ranges = min(n_blocks, max(SMALL_RANGES, ceil(n_rows / max(rows_per_block, MIN_RANGE_ROWS))))
+    ranges = rows.repartitionByRange(n_ranges, *cut).sortWithinPartitions(*cut)
+    placed = store(ranges.withColumn("_block", _block_number(rows_per_block)), "blocks")
 
     block_totals = placed.groupBy(*keys, "_block").agg(*[F.sum(m).alias(f"_total_{m}") for m in measures])
     across = _before(Window.partitionBy(*keys).orderBy("_block"))
@@ -52,8 +60,8 @@ def prior_totals(
         F.col("_block").alias("_carry_block"),
         *[_or_zero(F.sum(f"_total_{m}").over(across)).alias(f"_carry_{m}") for m in measures],
     )
-    # One row per block, and one more for each group that ends inside a block.
-    carried = broadcast_if_small(carried, n_blocks + n_groups)
+    # One row per block, and one more for each range and for each group that ends inside a block.
+    carried = broadcast_if_small(carried, n_blocks + n_ranges + n_groups)
 
     inside = _before(Window.partitionBy(*keys, "_block").orderBy(*sort))
     within = placed.withColumns({f"prior_{m}": _or_zero(F.sum(m).over(inside)) for m in measures})
@@ -64,6 +72,12 @@ def prior_totals(
     return joined.withColumns(totals).select(*rows.columns, *totals)
 
 
+def _block_number(rows_per_block: int) -> Column:
+    """Number of a row's block among the rows of all tasks, in their order."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return F.shiftleft(F.spark_partition_id().cast("bigint"), PLACE_BITS) + F.floor(place / F.lit(rows_per_block))
+
+
 def _sorted(name: str, descending: bool) -> Column:
     return F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
 

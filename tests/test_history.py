@@ -6,6 +6,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
+from payrisk import session
 from payrisk.operators import skew
 from payrisk.operators.history import add_prior_average
 from payrisk.operators.running import prior_totals
@@ -157,6 +158,27 @@ def test_blocks_are_bounded(spark):
     assert sorted(r["prior_one"] for r in out.collect()) == list(range(n))
 
 
+def files_of_blocks(spark, build):
+    """Files of each stored cut into blocks, and the rows of its largest block."""
+    before = len(session.written())
+    build().collect()
+    cuts = [path for path in session.written()[before:] if "/blocks-" in path]
+    largest = [spark.read.parquet(p).groupBy("_block").count().agg(F.max("count")).first()[0] for p in cuts]
+    return [len(spark.read.parquet(p).inputFiles()) for p in cuts], largest
+
+
+def test_small_blocks_share_files(spark):
+    df = payments(spark, skewed()).withColumn("one", F.lit(1).cast("bigint"))
+    order = ["transaction_time", "transaction_id"]
+    plain = prior_totals(df, ["client_id"], order, ["one"], 3000, 400)
+    cut = prior_totals(df, ["client_id"], order, ["one"], 3000, 400, rows_per_block=10)
+    assert cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
+    n_files, largest = files_of_blocks(
+        spark, lambda: prior_totals(df, ["client_id"], order, ["one"], 3000, 400, rows_per_block=10)
+    )
+    assert len(n_files) == 1 and n_files[0] <= 40 and largest == [10]  # 300 blocks
+
+
 def test_left_lookup_of_heavy_keys_keeps_all_rows(spark):
     df = payments(spark, skewed())
     lookup = spark.createDataFrame([(k, k * 10) for k in range(1, 200)], "key bigint, worth bigint")
