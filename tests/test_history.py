@@ -12,6 +12,7 @@ from payrisk.operators.history import add_prior_average
 from payrisk.operators.running import prior_totals
 from payrisk.operators.skew import find_hot_keys, find_hot_keys_of, left_lookup, split_hot
 from payrisk.plans import lookup, tables
+from payrisk.schemas import RAW_CARDS, RAW_USERS
 
 SCHEMA = "transaction_id bigint, transaction_time timestamp_ntz, client_id bigint, card_id bigint, amount double"
 START = datetime(2024, 1, 1)
@@ -179,6 +180,17 @@ def test_small_blocks_share_files(spark):
     assert len(n_files) == 1 and n_files[0] <= 40 and largest == [10]  # 300 blocks
 
 
+def test_matrix_of_small_blocks_has_few_files(spark):
+    clean = payments(spark, skewed()).withColumns({
+        "use_chip": F.lit("x"), "transaction_hour": F.lit(1), "day_of_week": F.lit(1), "has_error": F.lit(0), "is_fraud": F.lit(0),
+    })
+    cards, users = spark.createDataFrame([], RAW_CARDS), spark.createDataFrame([], RAW_USERS)
+    n_files, largest = files_of_blocks(
+        spark, lambda: tables.model_matrix(clean, cards, users, decimals=2, max_group_rows=5)
+    )
+    assert len(n_files) == 2 and max(n_files) <= 40 and largest == [5, 5]
+
+
 def test_left_lookup_of_heavy_keys_keeps_all_rows(spark):
     df = payments(spark, skewed())
     lookup = spark.createDataFrame([(k, k * 10) for k in range(1, 200)], "key bigint, worth bigint")
