@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Rows of a file; ranges that each clustering column is cut into are a power of two.
 FILE_ROWS = 1_000_000
 MAX_BITS = 10
+# Files of fewer rows than FILE_ROWS: at most so many. Smaller pieces are pages of the files, which are skipped alike.
+SMALL_FILES = 1024
+PAGE_ROWS = 20_000
 # Accuracy of the range bounds, in ranges.
 BOUNDS_ACCURACY = 100
 BLOOM_FALSE_POSITIVES = 0.01
@@ -70,10 +73,16 @@ def write_clustered(
     have a range of their own. Files have Bloom filters on ``identifier``, which skips most of them for one id although ids lie anywhere.
     ``df`` is read twice (the bounds, then the rows): give a stored table.
 
+    Where files of ``file_rows`` would be more than ``SMALL_FILES``, each file holds several such pieces of the curve, up to ``FILE_ROWS`` rows, as
+    pages with a minimum and maximum of their own: filters on the clustering columns still skip what lies beside a piece, and the number of
+    files, which each writer, listing and look-up pays for, does not grow with the rows before files are full.
+
     A value of one column with very many rows fills several files; they are cut by the other columns and the id.
     """
-    n_files = max(1, ceil(df.count() / file_rows))
-    bits = min(MAX_BITS, max(1, ceil((n_files - 1).bit_length() / len(columns)) + 1))
+    n_rows = df.count()
+    n_pieces = max(1, ceil(n_rows / file_rows))
+    n_files = min(n_pieces, max(SMALL_FILES, ceil(n_rows / FILE_ROWS)))
+    bits = min(MAX_BITS, max(1, ceil((n_pieces - 1).bit_length() / len(columns)) + 1))
     bounds = range_bounds(df, columns, 1 << bits)
     splits = [[float("-inf"), *(bounds[c] or [0.0]), float("inf")] for c in columns]
     names = [f"_range_{k}" for k in range(len(columns))]
@@ -89,7 +98,8 @@ def write_clustered(
     options = {
         f"parquet.bloom.filter.enabled#{identifier}": "true",
         f"parquet.bloom.filter.fpp#{identifier}": str(BLOOM_FALSE_POSITIVES),
-        f"parquet.bloom.filter.expected.ndv#{identifier}": str(min(file_rows, FILE_ROWS)),
+        f"parquet.bloom.filter.expected.ndv#{identifier}": str(min(max(file_rows, ceil(n_rows / n_files)), FILE_ROWS)),
+        "parquet.page.row.count.limit": str(min(file_rows, PAGE_ROWS)),
     }
     laid.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -47,6 +47,22 @@ def test_filters_on_customer_card_and_id_skip_most_files(spark, tmp_path):
         assert rows_scanned(laid.where(F.col("transaction_id") == r["transaction_id"])) < 0.10 * n
 
 
+def test_many_small_pieces_share_files_and_are_skipped_as_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "SMALL_FILES", 16, raising=False)
+    draw = F.pmod(F.xxhash64("transaction_id", F.lit(1)), F.lit(500)), F.pmod(F.xxhash64("transaction_id", F.lit(2)), F.lit(700))
+    rows = spark.range(8000).select(F.col("id").alias("transaction_id"), draw[0].alias("client_id"), draw[1].alias("card_id"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    laid = layout.write_clustered(df, str(tmp_path / "t"), ["client_id", "card_id"], "transaction_id", file_rows=50)
+    assert len(glob.glob(f"{tmp_path}/t/*.parquet")) <= 16
+    assert laid.exceptAll(df).isEmpty() and df.exceptAll(laid).isEmpty()
+    for column, value in (("client_id", 17), ("card_id", 333)):
+        same = laid.where(F.col(column) == value)
+        assert same.count() == df.where(F.col(column) == value).count() > 0
+        # One of 16 files has 500 rows; of the files that a filter on one column leaves, only some pages are read.
+        assert rows_scanned(same) <= 0.16 * 8000, column
+
+
 def test_investigation_reads_little_and_says_the_same(spark, tmp_path):
     clean = fx.stored_clean(spark, FOLDER)
     laid = layout.write_clustered(clean, str(tmp_path / "t"), ["client_id", "card_id"], "transaction_id", file_rows=50)
