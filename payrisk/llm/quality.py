@@ -22,6 +22,7 @@ from payrisk.llm.common import as_records
 
 # What separates words, and what counts as a symbol.
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
+MARKS, DIGITS = "!?", "0123456789"
 
 # At most so many labelled documents are learned from, those with the least hash of their id.
 MAX_LABELLED = 20_000
@@ -71,40 +72,50 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     rows = as_records(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("marked", F.regexp_replace(text, rf"[^{SYMBOLS}{MARKS}{DIGITS}\p{{Lu}}]+", ""))
+    marked = F.col("marked")
     rows = rows.select(
         "doc",
-        F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda line: F.length(_without(line, SPACE)) > 0).alias("lines"),
-        F.length(_without(text, SPACE)).cast("bigint").alias("word_chars"),
-        _count_in(text, SYMBOLS).cast("bigint").alias("n_symbols"),
-        _count_in(text, "!?").alias("marks"),
-        _count_in(text, "0123456789").alias("digits"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).alias("uppers"),
+        F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("words"),
+        F.filter(F.split(text, "\n"), lambda line: F.ltrim(line, F.lit(SPACE)) != "").alias("lines"),
+        _count_in(marked, SYMBOLS).cast("bigint").alias("n_symbols"),
+        _count_in(marked, MARKS).alias("marks"),
+        _count_in(marked, DIGITS).alias("digits"),
+        F.length(_without(marked, SYMBOLS + MARKS + DIGITS)).alias("uppers"),
     )
     words, lines = F.col("words"), F.col("lines")
-    windows = F.transform(
+    hashes = F.transform(
         F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("hash"), i.alias("at")),
+        lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
     )
     rows = rows.select(
-        "doc", "word_chars", "n_symbols", "marks", "digits", "uppers",
+        "doc", "n_symbols", "marks", "digits", "uppers",
+        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
         F.size(words).cast("bigint").alias("n_words"),
         F.size(F.array_distinct(words)).alias("distinct"),
         F.size(lines).alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        F.array_sort(windows).alias("windows"),
+        hashes.alias("hashes"),
     )
+    hashes = F.col("hashes")
+    # Only a text with equal windows needs their order.
+    windows = F.when(
+        F.size(F.array_distinct(hashes)) < F.size(hashes),
+        F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("at")))),
+    )
+    rows = rows.withColumn("windows", windows).drop("hashes")
     windows = F.col("windows")
     # Equal windows are neighbours now.
     repeated = F.filter(
         windows,
         lambda w, i: (w["hash"] == F.get(windows, i - 1)["hash"]) | (w["hash"] == F.get(windows, i + 1)["hash"]),
     )
-    rows = rows.withColumn("starts", F.array_sort(F.transform(repeated, lambda w: w["at"]))).drop("windows")
+    rows = rows.withColumn("starts", F.sort_array(F.transform(repeated, lambda w: w["at"]))).drop("windows")
     starts = F.col("starts")
     # A repeated window covers its three words as far as the next one does not.
     covered = F.transform(starts, lambda at, i: F.least(F.lit(3), F.coalesce(F.get(starts, i + 1) - at, F.lit(3))))
-    rows = rows.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, b: a + b))
+    total = F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    rows = rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("bigint")))
 
     def share(part: str, whole: str) -> Column:
         return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double")), F.lit(0.0))

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -35,6 +36,22 @@ def test_measures_equal_plain_python(spark):
         assert found[k] == plain(text), repr(text)[:80]
 
 
+def test_features_by_hand_and_no_sort_by_a_lambda(spark):
+    texts = ["Éa B1! 𝐀 ?#22\n\x0b\n x", "one two three four " * 3 + "ONE", "a b c d", None]
+    docs = spark.createDataFrame([(k, t, "w", True, "n", None) for k, t in enumerate(texts)], DOC_SCHEMA)
+    measured = ql.measure(docs)
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan
+    # Signs are counted in what is left of a text, not character by character in all of it.
+    assert "translate(text" not in plan and "translate(coalesce" not in plan
+    for row, text in zip(measured.orderBy("doc.doc_id").collect(), texts):
+        text = text or ""
+        n, words = max(1, len(re.sub(r"\s", "", text))), text.split()
+        shares = [sum(c in "!?" for c in text), sum(unicodedata.category(c) == "Lu" for c in text), sum(c in "0123456789" for c in text)]
+        assert [row["mark_share"], row["upper_share"], row["digit_share"]] == [s / n for s in shares]
+        assert row["distinct_share"] == len(set(words)) / max(1, len(words)) and tuple(row[m] for m in ql.MEASURES) == plain(text)
+
+
 def learnable(n=600, seed=5):
     draw = np.random.default_rng(seed)
     rows = {f: draw.random(n) for f in ql.FEATURES}
