@@ -27,6 +27,12 @@ from payrisk.llm.common import ready
 LEAST, MOST, CELL = 1 << 18, 1 << 23, 512
 BYTES_PER_WORD = 6
 
+# ASCII white space; the bits of the first 0 to 8 bytes; bytes of a word that are hashed in steps.
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(b" \t\n\v\f\r")] = True
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CELL_SCHEMA = "bucket int, seg int, hashes binary, extra binary"
 ANSWER_SCHEMA = "seg int, bucket int, answer binary"
@@ -38,6 +44,35 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def word_ids_of_texts(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of all texts, and how many words each text has. Words are what ``split`` finds: runs of other
+    characters than ASCII white space.
+
+    All words are hashed together, eight bytes of each in a step, so no word becomes an object; only those of more than
+    ``LONG_WORD`` bytes do. The hashes are others than those of ``word_ids``.
+    """
+    # A space before the first word, between texts and behind the last word, and bytes to read beyond it.
+    joined = b"".join([b" ", b" ".join(texts), b" " * 9])
+    space = IS_SPACE[np.frombuffer(joined, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, left = edges[::2], edges[1::2] - edges[::2]
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(starts, begins)).tolist()
+
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    ids = mixed(left.astype(np.uint64))
+    long = np.flatnonzero(left > LONG_WORD)
+    which = np.flatnonzero(left <= LONG_WORD)
+    at, left = starts[which], left[which]
+    while len(which):
+        ids[which] = mixed(ids[which] ^ (eight[at] & FIRST_BYTES[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        ids[k] = xxhash.xxh3_64_intdigest(joined[edges[2 * k] : edges[2 * k + 1]])
+    return ids, counts
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of a hash, one to one."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

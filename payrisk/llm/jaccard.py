@@ -42,24 +42,59 @@ PIVOTS, MEMBERS = 16, 64
 # Members this near to their home pivot belong to its region.
 BALL = 0.5
 CLOSE = 1e-9
+# Entries of the table of a group, and members that are counted in it at once.
+TABLE, AHEAD = 1 << 24, 64
+# Bytes of texts whose words are hashed at once, about.
+TOGETHER = 1 << 19
 
-SET_SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>"
+SET_SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, common double"
 SET_TYPES = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+    + [("common", pa.float64())]
 )
-MEMBER_SCHEMA = "group binary, digest binary, n bigint, shingles binary"
+MEMBER_SCHEMA = "group binary, digest binary, n bigint, shingles binary, common double"
 LINK_SCHEMA = "a binary, b binary"
 LINK_TYPES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values once each, in order. By sorting: numpy's own ``unique`` goes through a hash table, which is many times slower here."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
 def shingles_of(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles; of all words, if they are fewer than one shingle has."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    return np.unique(cells.window_hashes(cells.word_ids(words), size))
+    return shingles_of_each([text], size)[0]
+
+
+def shingles_of_each(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """The same for many texts: words and windows of some of them are hashed together, and windows across two texts are left out."""
+    sets: list[np.ndarray] = []
+    begin, n_bytes = 0, 0
+    for end, text in enumerate(texts, 1):
+        n_bytes += len(text or b"")
+        if n_bytes < TOGETHER and end < len(texts):
+            continue
+        ids, counts = cells.word_ids_of_texts([t.lower() if t else b"" for t in texts[begin:end]])
+        windows, at = cells.window_hashes(ids, size), 0
+        for text, n in zip(texts[begin:end], counts):
+            if n >= size:
+                sets.append(distinct(windows[at : at + n - size + 1]))
+            else:
+                few = [xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), seed=n)] if n else []
+                sets.append(np.array(few, np.uint64))
+            at += n
+        begin, n_bytes = end, 0
+    return sets
+
+
+def levels(totals: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, in their order: exact up to 127, then in steps of a tenth, and equal beyond 2 * 10^7."""
+    beyond = np.log(np.maximum(totals, 127) / 127) / np.log(1.1)
+    return np.minimum(np.where(totals < 128, totals, 128 + beyond), 255).astype(np.uint8)
 
 
 def digest_of(shingles: np.ndarray) -> bytes:
@@ -83,7 +118,7 @@ def shingle_sets(
     layout = cells.layout_of(texts, least, most)
 
     def sets_of(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-        sets = [shingles_of(t, size) for t in as_bytes(rows.column("text").combine_chunks())]
+        sets = shingles_of_each(as_bytes(rows.column("text").combine_chunks()), size)
         return sets, np.concatenate(sets)
 
     def to_cells(rows: pa.Table) -> pa.Table:
@@ -94,28 +129,32 @@ def shingle_sets(
         segments, sizes, hashes, counts, _ = cells.bucket_of(table, np.uint32)
         _, place = np.unique(hashes, return_inverse=True)
         totals = np.bincount(place, counts)[place]
-        # Beyond 255 all are as common; the order of shingles needs no more.
-        return cells.answers_of(table, segments, sizes, np.minimum(totals, 255).astype(np.uint8), lambda v: v.tobytes())
+        # The order of shingles needs no more than a byte each.
+        return cells.answers_of(table, segments, sizes, levels(totals), lambda v: v.tobytes())
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return SET_TYPES.empty_table()
         sets, joined = sets_of(rows)
-        hashes = np.unique(joined)
+        hashes, place = np.unique(joined, return_inverse=True)
         times = cells.read_answers(answers, layout.cuts(hashes), lambda raw, n: np.frombuffer(raw, np.uint8), np.uint8)
-        prefixes = []
+        times, at = times[place], 0
+        prefixes, means = [], []
         for own in sets:
             n = len(own)
             spare = n - least_shared(n, percent)  # what a neighbour may lack
-            common = times[np.searchsorted(hashes, own)]
+            common = times[at : at + n]
+            at += n
             rare = int((common == 1).sum())
             if not n or rare > spare:
                 prefixes.append(None)
+                means.append(None)
                 continue
             order = np.lexsort((own, common))[rare : spare + 1]
             prefixes.append(own[order].view(np.int64).tolist())
+            means.append(float(common.mean()))
         columns = [
-            rows.column("doc_id").to_pylist(), [len(s) for s in sets], [digest_of(s) for s in sets], prefixes
+            rows.column("doc_id").to_pylist(), [len(s) for s in sets], [digest_of(s) for s in sets], prefixes, means
         ]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SET_TYPES)], schema=SET_TYPES)
 
@@ -131,21 +170,41 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 
 
 class Group:
-    """Sets of a group with an index from shingles to members."""
+    """Sets of a group, with a table of the shingles that many members have and an index from the others to their members."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent = percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
         every, place = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.times = np.bincount(place, minlength=len(every))
+        common = np.flatnonzero(self.times >= max(MEMBERS, len(sets) // 8))
+        common = common[np.argsort(-self.times[common], kind="stable")][: TABLE // len(sets)]
+        column = np.full(len(every), -1)
+        column[common] = np.arange(len(common))
+        in_table = column[place] >= 0
+        # Counts up to 2^24 are exact in this type.
+        self.table = np.zeros((len(sets), len(common)), np.float32)
+        self.table[owner[in_table], column[place[in_table]]] = 1
         self.own = np.split(place, np.cumsum(self.sizes)[:-1])
+        self.rest = [own[column[own] < 0] for own in self.own]
         self.members = owner[np.argsort(place, kind="stable")]
-        self.begins = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(every)))])
+        self.begins = np.concatenate([[0], np.cumsum(self.times)])
+
+    def central(self) -> list[int]:
+        """All members, those first whose shingles are in most others on average."""
+        return np.argsort([-self.times[own].mean() for own in self.own], kind="stable").tolist()
 
-    def near(self, x: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def in_table_with(self, some: list[int]) -> dict[int, np.ndarray]:
+        """For each of these, how many shingles of the table each member shares with it."""
+        return dict(zip(some, self.table[some] @ self.table.T))
+
+    def near(self, x: int, in_table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Members that share a shingle with ``x``: which, their distance, whether they are linked."""
-        found = np.concatenate([self.members[self.begins[s] : self.begins[s + 1]] for s in self.own[x]])
-        inter = np.bincount(found, minlength=len(self.sizes))
+        inter = in_table.astype(np.int64)
+        if len(self.rest[x]):
+            found = np.concatenate([self.members[self.begins[s] : self.begins[s + 1]] for s in self.rest[x]])
+            inter += np.bincount(found, minlength=len(self.sizes))
         which = np.flatnonzero(inter)
         which = which[which != x]
         inter = inter[which]
@@ -156,8 +215,10 @@ class Group:
 def connect(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what is connected, without a link inside of what earlier ones connect.
 
-    Documents are pivots in turn. One that lies in the ball of an earlier pivot p needs no look at the others if all
-    members outside the ball, but within its distance to p and the radius, are connected to it already.
+    Documents are pivots in turn, those whose shingles most others have first: the middle of a cloud of near copies takes all of it
+    that is within the radius. Members of no ball are next, each against all that share a shingle with it. Only then
+    come those in the balls: one at the distance d of its pivot p needs no look at the others if no member outside the ball
+    within d and the radius of p is both without a look of its own and not connected to p.
     """
     group, radius = Group(sets, percent), 1 - percent / 100
     parent = list(range(len(sets)))
@@ -169,24 +230,56 @@ def connect(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, i
         return x
 
     ball: dict[int, tuple[int, float]] = {}
+    # Per pivot: how many are in its ball; members around it by their distance; how many of the first of these are of no concern any more.
+    held: dict[int, int] = {}
     shell: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    passed: dict[int, int] = {}
+    looked = np.zeros(len(sets), bool)
     found = []
-    for x in range(len(sets)):
-        if x in ball:
-            p, d = ball[x]
-            which, distance = shell[p]
-            own = root(x)
-            if all(root(y) == own for y in which[distance <= d + radius + CLOSE].tolist()):
-                continue
-        which, distance, close = group.near(x)
+
+    def leave(y: int) -> None:
+        if y in ball:
+            p, _ = ball.pop(y)
+            held[p] -= 1
+            if not held[p]:
+                del held[p], shell[p], passed[p]
+
+    def look(x: int, in_table: np.ndarray) -> None:
+        looked[x] = True
+        leave(x)
+        which, distance, close = group.near(x, in_table)
+        farthest = -1.0
         for y, d in zip(which[close].tolist(), distance[close].tolist()):
             a, b = root(x), root(y)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 found.append((x, y))
-            ball.setdefault(y, (x, d))
-        around = ~close & (distance <= 2 * radius + CLOSE)
-        shell[x] = which[around], distance[around]
+            if not looked[y] and (y not in ball or d < ball[y][1]):
+                leave(y)
+                ball[y], farthest = (x, d), max(farthest, d)
+                held[x] = held.get(x, 0) + 1
+        if x in held:
+            around = np.flatnonzero(~close & (distance <= farthest + radius + CLOSE) & ~looked[which])
+            around = around[np.argsort(distance[around], kind="stable")]
+            shell[x], passed[x] = (which[around].astype(np.int32), distance[around]), 0
+
+    def settled(x: int) -> bool:
+        p, d = ball[x]
+        (which, distance), at, own = shell[p], passed[p], root(x)
+        # What is looked at or connected stays so.
+        while at < len(which) and (looked[which[at]] or root(int(which[at])) == own):
+            at += 1
+        passed[p] = at
+        return at == len(which) or distance[at] > d + radius + CLOSE
+
+    order = group.central()
+    for open_now in (lambda x: x not in ball and not looked[x], lambda x: not looked[x] and not settled(x)):
+        ahead: dict[int, np.ndarray] = {}
+        for k, x in enumerate(order):
+            if open_now(x):
+                if x not in ahead:
+                    ahead = group.in_table_with([x, *filter(open_now, order[k + 1 : k + AHEAD])])
+                look(x, ahead.pop(x))
     return found
 
 
@@ -206,11 +299,11 @@ def join_groups(members: DataFrame, percent: int) -> DataFrame:
 
 
 NEAR_SCHEMA = (
-    "group binary, digest binary, n bigint, shingles binary, "
+    "group binary, digest binary, n bigint, shingles binary, common double, "
     "near array<struct<pivot: binary, distance: double, linked: boolean>>, is_pivot boolean"
 )
 NEAR_TYPES = pa.schema(
-    [("group", pa.binary()), ("digest", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())]
+    [("group", pa.binary()), ("digest", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary()), ("common", pa.float64())]
     + [("near", pa.list_(pa.struct([("pivot", pa.binary()), ("distance", pa.float64()), ("linked", pa.bool_())])))]
     + [("is_pivot", pa.bool_())]
 )
@@ -224,17 +317,27 @@ def distances(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
             return NEAR_TYPES.empty_table()
         names = chosen.column("digest").to_pylist()
         sets = [np.frombuffer(s, np.uint64) for s in chosen.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        # The pivots' shingles in order, each as often as it occurs, with the pivots that have it.
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
         near = []
         for digest, raw in zip(rows.column("digest").to_pylist(), rows.column("shingles").to_pylist()):
-            own, entries = np.frombuffer(raw, np.uint64), []
-            for name, pivot in zip(names, sets):
-                inter = len(np.intersect1d(own, pivot, assume_unique=True))
-                if inter and name != digest:
-                    close = linked(np.array(inter), len(own), np.array(len(pivot)), percent)
-                    entries.append({"pivot": name, "distance": 1 - inter / (len(own) + len(pivot) - inter), "linked": bool(close)})
-            near.append(entries)
-        is_pivot = [d in set(names) for d in rows.column("digest").to_pylist()]
-        columns = [*(rows.column(c).combine_chunks() for c in ("group", "digest", "n", "shingles"))]
+            own = np.frombuffer(raw, np.uint64)
+            begin, end = np.searchsorted(every, own), np.searchsorted(every, own, "right")
+            times = end - begin
+            held = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
+            inter = np.bincount(owner[held], minlength=len(sets))
+            which = [k for k in np.flatnonzero(inter).tolist() if names[k] != digest]
+            inter = inter[which]
+            apart, close = 1 - inter / (len(own) + sizes[which] - inter), linked(inter, len(own), sizes[which], percent)
+            near.append([
+                {"pivot": names[k], "distance": d, "linked": c} for k, d, c in zip(which, apart.tolist(), close.tolist())
+            ])
+        own_names = set(names)
+        is_pivot = [d in own_names for d in rows.column("digest").to_pylist()]
+        columns = [*(rows.column(c).combine_chunks() for c in ("group", "digest", "n", "shingles", "common"))]
         columns += [pa.array(near, NEAR_TYPES.field("near").type), pa.array(is_pivot)]
         return pa.Table.from_arrays(columns, schema=NEAR_TYPES)
 
@@ -251,7 +354,7 @@ def split_groups(large: DataFrame, level: int, percent: int, pivots: int) -> tup
     radius = 1 - percent / 100
     by_hash = F.xxhash64("digest", F.lit(level))
     some = F.pmod(by_hash, F.greatest(F.col("free_members"), F.lit(1))) < F.ceil(pivots * F.sqrt("parts"))
-    chosen = store(large.where((some & F.col("free")) | (F.col("digest") == F.col("least_free"))), "pivots")
+    chosen = store(large.where((some & F.col("free")) | (F.col("digest") == F.col("middle"))), "pivots")
     near = store(distances(large, chosen, percent), "pivot-distances")
     links = near.select("digest", "group", F.explode("near").alias("p")).where("p.linked")
     links = links.select("group", F.col("digest").alias("a"), F.col("p.pivot").alias("b"), F.col("p.distance").alias("d"))
@@ -292,7 +395,7 @@ def split_groups(large: DataFrame, level: int, percent: int, pivots: int) -> tup
     reach = F.when(settled, F.least(F.lit(BALL + radius), F.col("home.distance") + 2 * radius)).otherwise(F.lit(BALL + radius))
     regions = F.transform(F.filter("near", lambda p: p["distance"] <= reach + CLOSE), lambda p: p["pivot"])
     rest = F.when(settled, F.array().cast("array<binary>")).otherwise(F.array(F.lit(b"")))
-    placed = store(left.select("group", "digest", "n", "shingles", "free", F.concat(regions, rest).alias("regions")), "regions")
+    placed = store(left.select("group", "digest", "n", "shingles", "common", "free", F.concat(regions, rest).alias("regions")), "regions")
     # Where regions would hold far more than the group, it stays one, less its pivots and the members that are done.
     sizes = placed.groupBy("group").agg(
         (F.sum(F.col("n") * F.size("regions")) > F.lit(2) * F.sum("n")).alias("whole")
@@ -300,7 +403,7 @@ def split_groups(large: DataFrame, level: int, percent: int, pivots: int) -> tup
     kept = placed.join(sizes, "group")
     kept = kept.withColumn("region", F.explode(F.when(F.col("whole"), F.array(F.lit(b"-"))).otherwise(F.col("regions"))))
     name = F.unhex(F.md5(F.concat("group", "region")))
-    return links.select("a", "b"), kept.select(name.alias("group"), "digest", "n", "shingles", "free", F.col("whole").alias("stuck"))
+    return links.select("a", "b"), kept.select(name.alias("group"), "digest", "n", "shingles", "common", "free", F.col("whole").alias("stuck"))
 
 
 def link_members(
@@ -317,7 +420,8 @@ def link_members(
         sizes = left.groupBy("group").agg(
             F.sum("n").alias("volume"),
             F.count(F.when(F.col("free"), 1)).alias("free_members"),
-            F.coalesce(F.min(F.when(F.col("free"), F.col("digest"))), F.min("digest")).alias("least_free"),
+            # A pivot in any case: the free member, or else the member, with the most common shingles.
+            F.max(F.struct("free", "common", "digest"))["digest"].alias("middle"),
             F.count(F.lit(1)).alias("n_members"),
             F.max("stuck").alias("stuck"),
         )
@@ -357,30 +461,31 @@ def join_documents(
     ready(spark)
     sets = store(shingle_sets(docs, size, percent, least, most), "shingle-sets")
     several = sets.where("prefix is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.max("n_shingles").alias("n")
+        F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.max("n_shingles").alias("n"), F.max("common").alias("common")
     )
     classes = store(several, "classes")
     groups = store(components(candidate_links(classes), "digest", "head"), "groups")
     # The text of one document of each class that has candidates.
     wanted = classes.join(groups, classes["digest"] == groups["node"]).select(
-        F.col("doc_id").alias("_id"), "digest", F.col("component").alias("group")
+        F.col("doc_id").alias("_id"), "digest", "common", F.col("component").alias("group")
     )
     wanted = store(wanted, "class-texts")
     wanted = broadcast_if_small(wanted, wanted.count())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("group", "digest", "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("group", "digest", "text", "common")
 
     def read(batches: Batches) -> Batches:
         for batch in batches:
-            own = [shingles_of(t, size) for t in as_bytes(batch.column(2))]
+            own = shingles_of_each(as_bytes(batch.column(2)), size)
             # Another row may have the same doc_id.
             keep = [k for k, (s, d) in enumerate(zip(own, batch.column(1).to_pylist())) if digest_of(s) == d]
+            at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())),
-                    pa.array([len(own[k]) for k in keep], pa.int64()), pa.array([own[k].tobytes() for k in keep], pa.binary()),
+                    batch.column(0).take(at), batch.column(1).take(at), pa.array([len(own[k]) for k in keep], pa.int64()),
+                    pa.array([own[k].tobytes() for k in keep], pa.binary()), batch.column(3).take(at),
                 ],
-                names=["group", "digest", "n", "shingles"],
+                names=["group", "digest", "n", "shingles", "common"],
             )
 
     members = over_batches(texts, read, MEMBER_SCHEMA)

@@ -88,6 +88,60 @@ def test_local_join_equals_brute_force(seed):
                 assert found[a] == found[b]
 
 
+def test_words_hashed_together_are_those_of_each_text():
+    draw = random.Random(11)
+    some = [bytes(draw.choices(b"abZ \t\n\x0b\x0c\r\x00\x1c\x85\xc2\xa0", k=draw.randint(0, 60))) for _ in range(400)]
+    some += [b"x" * n + b" " + b"x" * m for n in (1, 7, 8, 9, 16, 63, 64, 65, 300) for m in (1, 8, 9, 64, 65, 301)]
+    ids, counts = cells.word_ids_of_texts(some)
+    words = [w for t in some for w in t.split()]
+    assert counts == [len(t.split()) for t in some]
+    assert len(set(zip(words, ids.tolist()))) == len(set(words)) == len(set(ids.tolist()))
+    assert cells.word_ids_of_texts([b""])[1] == [0]
+    for size in (1, 2, 5):
+        sets = jc.shingles_of_each([*some, None], size)
+        own = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in (t.lower().split() for t in some)]
+        assert [len(x) for x in sets] == [len(x) for x in own] + [0]
+        assert len({x.tobytes() for x in sets}) == len({frozenset(x) for x in own})
+
+
+def test_only_members_beside_a_cloud_are_compared_with_all(monkeypatch):
+    """The middle of a cloud of near copies takes all within the radius; of the others each is looked at once."""
+    draw = random.Random(5)
+    middle = [f"w{k}" for k in range(150)]
+    texts, outside = [middle], 0
+    for _ in range(500):
+        words, n = list(middle), draw.randint(1, 5)
+        for at in draw.sample(range(5, 145, 10), n):
+            words[at] = f"e{draw.random()}"
+        outside += n > 3
+        texts.append(words)
+    sets = [jc.shingles_of(" ".join(t).encode()) for t in draw.sample(texts, len(texts))]
+    looks, near = [], jc.Group.near
+    monkeypatch.setattr(jc.Group, "near", lambda *args: (looks.append(args[1]), near(*args))[1])
+    found = components_of(jc.connect(sets), len(sets))
+    n_looks = len(looks)
+    assert n_looks <= outside + 10
+    group = jc.Group(sets, 80)
+    for x in range(len(sets)):
+        which, _, close = near(group, x, group.in_table_with([x])[x])
+        assert {found[y] for y in which[close].tolist()} <= {found[x]}
+
+
+def test_common_shingles_do_not_connect_large_clouds(spark):
+    """Two clouds of 300 share a phrase that is as common as both together: they are groups of their own."""
+    draw = random.Random(8)
+    phrase = [f"p{k}" for k in range(30)]
+    rows = []
+    for k in range(600):
+        words = [f"h{k % 2}x{j}" for j in range(90)] + phrase
+        words[draw.randrange(80)] = f"e{k}"
+        rows.append((k, " ".join(words)))
+    classes = jc.shingle_sets(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    links = components(jc.candidate_links(classes), "digest", "head")
+    assert links.select("component").distinct().count() == 2
+    assert (np.diff(jc.levels(np.array([0, 1, 127, 128, 200, 255, 600, 10**6])).astype(int)) > 0).all()
+
+
 def test_components_of_links(spark):
     draw = random.Random(3)
     for n, m in ((1, 0), (60, 40), (200, 150), (40, 39)):
