@@ -109,6 +109,17 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class KnownChunks(dict[bytes, bytes]):
+    """Ids of chunks; those of a chunk that is not there are worked out when it is looked up."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        return self.learn(chunk)
+
+
 class CachedTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit integers, with the ids of chunks kept.
 
@@ -124,7 +135,7 @@ class CachedTokenizer:
         self.model = self.library.model
         self.word_level = self.library.normalizer is not None
         self.characters = byte_characters()
-        self.known: dict[bytes, bytes] = {}
+        self.known = KnownChunks(self.learn)
 
     def _ids(self, piece: bytes) -> bytes:
         """Of letters, with a space before them or not, or of marks: what the library's other steps leave whole."""
@@ -137,36 +148,32 @@ class CachedTokenizer:
             text = text.encode().decode("latin-1").translate(self.characters)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def learn(self, chunks: list[bytes]) -> None:
-        others, known, ids_of = [], self.known, self._ids
-        for chunk in chunks:
-            word = chunk.rstrip(MARKS)
-            if not (word.isalpha() or (word[:1] == b" " and word[1:].isalpha())):  # ASCII letters
-                if chunk.isascii() or not (m := PLAIN_WORD.fullmatch(chunk.decode())):
-                    others.append(chunk)
-                    continue
-                word = m.group(1).encode()
-            ids = known.get(word)
-            if ids is None:
-                known[word] = ids = ids_of(word)
-            if len(word) != len(chunk):
-                marks = chunk[len(word) :]
-                if marks not in known:
-                    known[marks] = ids_of(marks)
-                known[chunk] = ids + known[marks]
-        if others:
-            found = self.library.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
-            self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(others, found))
+    def learn(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that is not known, kept from now on."""
+        known = self.known
+        if len(known) > CACHED_CHUNKS:
+            known.clear()
+        word = chunk.rstrip(MARKS)
+        if not (word.isalpha() or (word[:1] == b" " and word[1:].isalpha())):  # ASCII letters
+            if chunk.isascii() or not (m := PLAIN_WORD.fullmatch(chunk.decode())):
+                found = self.library.encode_batch_fast([chunk.decode()], add_special_tokens=False)
+                known[chunk] = ids = array("I", found[0].ids).tobytes()
+                return ids
+            word = m.group(1).encode()
+        ids = known.get(word)
+        if ids is None:
+            known[word] = ids = self._ids(word)
+        if len(word) != len(chunk):
+            marks = chunk[len(word) :]
+            end = known.get(marks)
+            if end is None:
+                known[marks] = end = self._ids(marks)
+            known[chunk] = ids = ids + end
+        return ids
 
     def encode(self, text: bytes | None) -> bytes:
-        chunks = crossing_free_chunks(text or b"", self.word_level)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            if len(self.known) > CACHED_CHUNKS:
-                self.known.clear()
-            self.learn(list(set(chunks).difference(self.known)))
-        return b"".join(map(self.known.__getitem__, chunks))
+        # One look-up a chunk: with many chunks known, it is the memory they lie in that takes the time.
+        return b"".join(map(self.known.__getitem__, crossing_free_chunks(text or b"", self.word_level)))
 
 
 @lru_cache(maxsize=4)

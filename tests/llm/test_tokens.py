@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from payrisk.llm import binary_ids, packing
+from payrisk.llm import binary_ids, common, packing
 from payrisk.llm.common import CachedTokenizer
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,18 @@ def test_cached_ids_equal_the_library(path):
         assert np.frombuffer(cached.encode(text.encode()), "<u4").tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_chunk_is_learnt_when_it_is_looked_up(path, monkeypatch):
+    """So a text is gone through once, and the chunks kept stay within their number inside one text, too."""
+    library, cached = Tokenizer.from_file(path), CachedTokenizer(path)
+    monkeypatch.setattr(common, "CACHED_CHUNKS", 20)
+    text = " ".join(f"word{'abcdefghij'[k % 10] * (k // 10)}, 4x{k % 7} déjà. w" for k in range(200))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(cached.encode(text.encode()), "<u4").tolist() == want
+    assert 0 < len(cached.known) <= 24
+    assert np.frombuffer(cached.known[b"unseen"], "<u4").tolist() == library.encode("unseen", add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'st 1,\n\t  ́EÉ")), max_size=30))
 def test_cached_ids_equal_the_library_for_any_text(text):
